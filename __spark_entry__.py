@@ -12,7 +12,7 @@ import sys
 from collections.abc import Callable, Mapping
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -46,7 +46,8 @@ NARROW = JobFilter(
 
 
 def _comparable(df: DataFrame) -> DataFrame:
-    return df.select([F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to six decimals. ``rint`` stays in double arithmetic; ``round`` goes through decimals."""
+    return df.selectExpr([f"rint({c} * 1e6D) / 1e6D as {c}" if t == "double" else c for c, t in df.dtypes])
 
 
 def _on_staged(build: Callable[[Staged], DataFrame]) -> Query:

@@ -1,40 +1,40 @@
-"""Text to typed columns: required casts raise on bad text, optional ones give NULL."""
+"""Text to typed columns, as SQL expressions.
 
-from __future__ import annotations
+Required casts raise on bad text (ANSI mode); optional ones turn blank or malformed text
+into NULL.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
-REQUIRED_TYPES = {"text": None, "key": "bigint", "int": "int", "double": "double", "date": "date"}
+REQUIRED_TYPES = {"key": "bigint", "int": "int", "double": "double", "date": "date"}
 
 # Spark also reads '2025' and '2025-01' as dates; a usable date names all three parts.
-FULL_DATE = r"^\s*\d{4,}-\d{1,2}-\d{1,2}(\D|$)"
-
-
-def required(column: str, kind: str) -> Column:
-    """A column every row must be able to fill; NULL stays NULL, bad text raises (ANSI)."""
-    target = REQUIRED_TYPES[kind]
-    return F.col(column) if target is None else F.col(column).cast(target)
+FULL_DATE = r"^\\s*\\d{4,}-\\d{1,2}-\\d{1,2}(\\D|$)"
 
 
-def optional_whole(column: str, target: str) -> Column:
-    """Whole number, NULL when blank or malformed; '12.0' reads as 12 and '12.5' as 13."""
-    text = F.trim(F.col(column).cast("string"))
-    # The first attempt keeps ids beyond 2**53 exact.
-    return F.coalesce(text.try_cast(target), F.round(text.try_cast("double")).try_cast(target))
+def optional_whole(column: str, target: str) -> str:
+    """Whole number or NULL; '12.0' reads as 12 and '12.5' as 13."""
+    # Blanks, the common case, must not reach the casts: each failed parse costs an exception.
+    text = f"nullif(trim(cast({column} as string)), '')"
+    # The direct attempt comes first and keeps ids beyond 2**53 exact.
+    return f"coalesce(try_cast({text} as {target}), try_cast(round(try_cast({text} as double)) as {target}))"
 
 
-def optional_date(column: str) -> Column:
+def optional_date(column: str) -> str:
     """Calendar date, NULL when blank, partial or malformed."""
-    text = F.translate(F.col(column).cast("string"), "/", "-")
-    return F.when(text.rlike(FULL_DATE), text.try_cast("date"))
+    text = f"translate(cast({column} as string), '/', '-')"
+    return f"case when {text} rlike '{FULL_DATE}' then try_cast({text} as date) end"
 
 
-def typed(column: str, kind: str) -> Column:
+def typed(column: str, kind: str) -> str:
     """``column`` read as one of the kinds declared in ``sources.schemas``."""
+    column = f"`{column}`"
+    if kind == "text":
+        return column
     if kind == "optional_key":
         return optional_whole(column, "bigint")
     if kind == "optional_int":
         return optional_whole(column, "int")
     if kind == "optional_date":
         return optional_date(column)
-    return required(column, kind)
+    return f"cast({column} as {REQUIRED_TYPES[kind]})"

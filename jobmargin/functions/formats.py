@@ -1,33 +1,29 @@
-"""Display text for KPI cards. Rounding is half-even, as DecimalFormat does it."""
+"""Display text for KPI cards, as SQL expressions. Rounding is half-even."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
+def number(value: str, pattern: str) -> str:
+    return f"format_number(cast({value} as double), '{pattern}')"
 
-def number(value: Column, pattern: str) -> Column:
-    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
 
-
-def money(value: Column) -> Column:
+def money(value: str) -> str:
     """``$1.23M``, ``$12K`` or ``$999``; the sign follows the dollar sign."""
-    size = F.abs(value)
-    return F.concat(
-        F.lit("$"),
-        F.when(size >= 1_000_000, F.concat(number(value / 1_000_000, "#,##0.00"), F.lit("M")))
-        .when(size >= 1_000, F.concat(number(value / 1_000, "#,##0"), F.lit("K")))
-        .otherwise(number(value, "#,##0")),
+    millions, thousands = number(f"{value} / 1000000", "#,##0.00"), number(f"{value} / 1000", "#,##0")
+    return (
+        f"'$' || case when abs({value}) >= 1000000 then {millions} || 'M' "
+        f"when abs({value}) >= 1000 then {thousands} || 'K' else {number(value, '#,##0')} end"
     )
 
 
-def whole_dollars(value: Column) -> Column:
-    return F.concat(F.lit("$"), number(value, "#,##0"))
+def whole_dollars(value: str) -> str:
+    return f"'$' || {number(value, '#,##0')}"
 
 
-def percent(value: Column) -> Column:
-    return F.concat(number(value * 100, "0.0"), F.lit("%"))
+def percent(value: str) -> str:
+    return f"{number(f'{value} * 100', '0.0')} || '%'"
 
 
-def points(value: Column) -> Column:
+def points(value: str) -> str:
     """A gap already in percentage points, with its sign: ``+1.5 pts``."""
-    return F.concat(number(value, "+0.0;-0.0"), F.lit(" pts"))
+    return f"{number(value, '+0.0;-0.0')} || ' pts'"

@@ -2,72 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import Column
 
-from pyspark.sql import Column, functions as F
+from jobmargin.functions.ratios import expressions, ratio
 
-from jobmargin.functions.ratios import ratio
+WON = "count_if(estimate_status = 'Won')"
+ROWS = "count(1)"
 
 
-def _sum(column: str) -> Callable[[], Column]:
-    return lambda: F.sum(column)
-
-
-def _mean(column: str) -> Callable[[], Column]:
-    return lambda: F.avg(column)
-
-
-def _per(numerator: str, denominator: str) -> Callable[[], Column]:
-    return lambda: ratio(F.sum(numerator), F.sum(denominator))
-
-
-def _rows() -> Column:
-    return F.count(F.lit(1))
-
-
-def _known_customers() -> Column:
-    return F.count_distinct("customer_id")
-
-
-def _won() -> Column:
-    return F.sum(F.when(F.col("estimate_status") == "Won", 1).otherwise(0))
+def _per(numerator: str, denominator: str) -> str:
+    return ratio(f"sum({numerator})", f"sum({denominator})")
 
 
 # Margin, revenue per hour and win rate are ratios of sums; the variance measures named
 # avg_* are plain means of the per-job ratios. The two are not interchangeable.
-MEASURES: dict[str, Callable[[], Column]] = {
+MEASURES: dict[str, str] = {
     # volume
-    "jobs_completed": _rows,
-    "active_customers": _known_customers,
-    "customers_served": _known_customers,
+    "jobs_completed": ROWS,
+    "active_customers": "count(distinct customer_id)",
+    "customers_served": "count(distinct customer_id)",
     # money
-    "revenue": _sum("billed_revenue"),
-    "labor_cost": _sum("labor_cost"),
-    "material_cost": _sum("actual_material_cost"),
-    "gross_profit": _sum("gross_profit"),
+    "revenue": "sum(billed_revenue)",
+    "labor_cost": "sum(labor_cost)",
+    "material_cost": "sum(actual_material_cost)",
+    "gross_profit": "sum(gross_profit)",
     "gross_margin_pct": _per("gross_profit", "billed_revenue"),
-    "avg_job_value": _mean("billed_revenue"),
+    "avg_job_value": "avg(billed_revenue)",
     # labor and material
-    "actual_labor_hours": _sum("actual_labor_hours"),
+    "actual_labor_hours": "sum(actual_labor_hours)",
     "revenue_per_labor_hour": _per("billed_revenue", "actual_labor_hours"),
-    "labor_variance_hours": _sum("labor_variance_hours"),
-    "avg_labor_variance_pct": _mean("labor_variance_pct"),
-    "material_variance": _sum("material_variance"),
-    "avg_material_variance_pct": _mean("material_variance_pct"),
+    "labor_variance_hours": "sum(labor_variance_hours)",
+    "avg_labor_variance_pct": "avg(labor_variance_pct)",
+    "material_variance": "sum(material_variance)",
+    "avg_material_variance_pct": "avg(material_variance_pct)",
     # service quality
-    "rework_rate": _mean("rework_flag"),
-    "weather_delay_rate": _mean("weather_delay_flag"),
-    "avg_travel_minutes": _mean("travel_minutes"),
-    "avg_customer_rating": _mean("customer_rating"),
+    "rework_rate": "avg(rework_flag)",
+    "weather_delay_rate": "avg(weather_delay_flag)",
+    "avg_travel_minutes": "avg(travel_minutes)",
+    "avg_customer_rating": "avg(customer_rating)",
     # sales
-    "estimates_sent": _rows,
-    "estimates_won": _won,
-    "win_rate": lambda: ratio(_won(), _rows()),
-    "quoted_value": _sum("quoted_revenue"),
-    "avg_estimate_value": _mean("quoted_revenue"),
+    "estimates_sent": ROWS,
+    "estimates_won": WON,
+    "win_rate": ratio(WON, ROWS),
+    "quoted_value": "sum(quoted_revenue)",
+    "avg_estimate_value": "avg(quoted_revenue)",
 }
 
 
 def measures(*names: str) -> list[Column]:
     """Aggregate columns for ``groupBy(...).agg(*measures(...))``, named as registered."""
-    return [MEASURES[name]().alias(name) for name in names]
+    return expressions({name: MEASURES[name] for name in names})

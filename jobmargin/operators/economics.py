@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from jobmargin.functions.ratios import ratio, relative_gap
+from jobmargin.functions.ratios import expressions, ratio
 
 
 def labor_rollup(job_labor: DataFrame) -> DataFrame:
@@ -17,27 +17,38 @@ def labor_rollup(job_labor: DataFrame) -> DataFrame:
     it cannot multiply jobs, and Catalyst drops that join where no labor column is read.
     """
     return job_labor.groupBy("job_id").agg(
-        F.sum("labor_hours").alias("labor_hours_from_detail"),
-        F.sum("labor_cost").alias("labor_cost"),
+        F.sum("labor_hours").alias("labor_hours_from_detail"), F.sum("labor_cost").alias("labor_cost")
     )
 
 
+def _gap(actual: str, planned: str) -> str:
+    return f"{actual} - {planned}"
+
+
+def _relative_gap(actual: str, planned: str) -> str:
+    return ratio(f"{actual} - {planned}", planned)
+
+
+_HOURS = ("actual_labor_hours", "estimated_labor_hours")
+_MATERIAL = ("actual_material_cost", "estimated_material_cost")
+
+DERIVED = {
+    "gross_margin_pct": ratio("gross_profit", "billed_revenue"),
+    "labor_variance_hours": _gap(*_HOURS),
+    "labor_variance_pct": _relative_gap(*_HOURS),
+    "material_variance": _gap(*_MATERIAL),
+    "material_variance_pct": _relative_gap(*_MATERIAL),
+}
+
+
 def job_economics(jobs: DataFrame, rollup: DataFrame) -> DataFrame:
     """All job columns plus labor cost, profit, margin and the labor and material variances."""
-    costed = jobs.join(rollup.select("job_id", "labor_cost"), "job_id", "left").withColumn(
-        "labor_cost", F.coalesce("labor_cost", F.lit(0.0))
-    )
-    with_profit = costed.withColumn(
-        "gross_profit", F.col("billed_revenue") - F.col("labor_cost") - F.col("actual_material_cost")
-    )
-    return with_profit.withColumns(
-        {
-            "gross_margin_pct": ratio(F.col("gross_profit"), F.col("billed_revenue")),
-            "labor_variance_hours": F.col("actual_labor_hours") - F.col("estimated_labor_hours"),
-            "labor_variance_pct": relative_gap("actual_labor_hours", "estimated_labor_hours"),
-            "material_variance": F.col("actual_material_cost") - F.col("estimated_material_cost"),
-            "material_variance_pct": relative_gap("actual_material_cost", "estimated_material_cost"),
-        }
+    known_labor = rollup.selectExpr("job_id", "labor_cost as summed_labor")
+    return (
+        jobs.join(known_labor, "job_id", "left")
+        .selectExpr("* except (summed_labor)", "coalesce(summed_labor, 0D) as labor_cost")
+        .selectExpr("*", "billed_revenue - labor_cost - actual_material_cost as gross_profit")
+        .select("*", *expressions(DERIVED))
     )
 
 

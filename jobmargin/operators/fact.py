@@ -52,14 +52,12 @@ def attach(jobs: DataFrame, dimension: DataFrame, lookup: Lookup) -> DataFrame:
     dimension whose measured size is below its threshold, at planning or, for a derived
     one, at run time; a larger one is shuffled, with skewed keys split by AQE.
     """
-    found = "__found_key"
-    side = dimension.select(
-        F.col(lookup.key).alias(found), *[F.col(c).alias(new) for c, new in lookup.adds.items()]
-    )
+    added = [f"{column} as {name}" for column, name in lookup.adds.items()]
+    side = dimension.selectExpr(f"{lookup.key} as found_key", *added)
     return (
-        jobs.join(side, F.col(lookup.key) == F.col(found), "left")
+        jobs.join(side, F.expr(f"{lookup.key} = found_key"), "left")
         .drop(lookup.key)
-        .withColumnRenamed(found, lookup.key)
+        .withColumnRenamed("found_key", lookup.key)
     )
 
 
@@ -75,10 +73,10 @@ def job_fact(staged: Mapping[str, DataFrame], lookups: Iterable[str] = tuple(LOO
     stage keep AQE from splitting a customer that holds a large share of all jobs.
     """
     wanted = set(lookups)
-    fact = economics_of(staged).withColumn("completed_month", F.trunc("completed_date", "month"))
+    fact = economics_of(staged).withColumn("completed_month", F.expr("trunc(completed_date, 'month')"))
     columns = list(JOB_COLUMNS)
     for name, lookup in LOOKUPS.items():
         if name in wanted:
             fact = attach(fact, staged[name], lookup)
             columns += [lookup.key, *lookup.adds.values()]
-    return fact.select(*columns, *MEASURE_COLUMNS)
+    return fact.selectExpr(*columns, *MEASURE_COLUMNS)

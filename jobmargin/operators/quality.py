@@ -2,35 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from jobmargin.functions.ratios import expressions
 
 
 class QualityError(RuntimeError):
     """At least one quality rule failed."""
 
 
-def _gate_rules() -> dict[str, Column]:
-    """Violation count per gate check, all aggregates over the fact."""
-    margin = F.col("gross_margin_pct")
-    rows = F.count(F.lit(1))
-    return {
-        "job_id_unique": rows - F.count_distinct("job_id"),
-        "job_id_not_null": rows - F.count("job_id"),
-        "revenue_non_negative": F.count_if(F.col("billed_revenue") < 0),
-        "margin_reasonable": F.count_if((margin < -1) | (margin > 1)),
-        "crew_ids_present": F.count_if(F.col("crew_id").isNull()),
-    }
+# Violations per gate check, as aggregates over the fact.
+GATE = {
+    "job_id_unique": "count(1) - count(distinct job_id)",
+    "job_id_not_null": "count(1) - count(job_id)",
+    "revenue_non_negative": "count_if(billed_revenue < 0)",
+    "margin_reasonable": "count_if(abs(gross_margin_pct) > 1)",
+    "crew_ids_present": "count_if(crew_id is null)",
+}
 
 
 def quality_gate(fact: DataFrame) -> DataFrame:
     """``check_name, violations, passed``: five checks in one pass over the fact."""
-    rules = _gate_rules()
-    counts = fact.agg(*[rule.alias(name) for name, rule in rules.items()])
-    return counts.unpivot([], list(rules), "check_name", "violations").withColumn(
-        "passed", F.col("violations") == 0
+    counts = fact.agg(*expressions(GATE))
+    return counts.unpivot([], list(GATE), "check_name", "violations").selectExpr(
+        "*", "violations = 0 as passed"
     )
 
 
@@ -60,26 +58,22 @@ def table_constraints(name: str, df: DataFrame, key: str, required: tuple[str, .
     values that occur more than once, ``not_null`` counts rows.
     """
     columns = [key, *required]
-    per_key = df.groupBy(F.col(key).alias("key")).agg(
-        F.count(F.lit(1)).alias("copies"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(columns)],
-    )
-    repeated = F.count_if(F.col("key").isNotNull() & (F.col("copies") > 1))
-    nulls = [F.coalesce(F.sum(f"null_{i}"), F.lit(0)) for i in range(len(columns))]
-    found = per_key.agg(repeated.alias("unique"), *[n.alias(f"not_null_{i}") for i, n in enumerate(nulls)])
-    rules = [(key, "unique", "unique"), *[(c, "not_null", f"not_null_{i}") for i, c in enumerate(columns)]]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("table_name"),
-                F.lit(column).alias("column_name"),
-                F.lit(rule).alias("rule"),
-                F.col(source).alias("violations"),
-            )
-            for column, rule, source in rules
-        ]
+    nulls = {f"null_{i}": f"count_if({c} is null)" for i, c in enumerate(columns)}
+    per_key = df.groupBy(F.col(key).alias("key_value")).agg(*expressions({"copies": "count(1)", **nulls}))
+    found = per_key.agg(
+        *expressions(
+            {
+                "repeated": "count_if(key_value is not null and copies > 1)",
+                **{n: f"coalesce(sum({n}), 0L)" for n in nulls},
+            }
+        )
     )
-    return found.select(F.inline(rows))
+    rules = [(key, "unique", "repeated"), *[(c, "not_null", n) for c, n in zip(columns, nulls)]]
+    rows = [
+        f"struct('{name}' as table_name, '{column}' as column_name, '{rule}' as rule, {source} as violations)"
+        for column, rule, source in rules
+    ]
+    return found.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -88,11 +82,11 @@ def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
-def raise_on_failure(gate: DataFrame) -> list[tuple[str, bool]]:
-    """Collect the few gate rows, print each verdict and raise if any check failed."""
+def raise_on_failure(gate: DataFrame, show: Callable[[str], None] = print) -> list[tuple[str, bool]]:
+    """Collect the few gate rows, show each verdict and raise if any check failed."""
     verdicts = [(row["check_name"], row["passed"]) for row in gate.collect()]
     for name, passed in verdicts:
-        print(f"{'PASS' if passed else 'FAIL'}  {name}")
+        show(f"{'PASS' if passed else 'FAIL'}  {name}")
     failed = [name for name, passed in verdicts if not passed]
     if failed:
         raise QualityError(f"quality checks failed: {failed}")

@@ -13,7 +13,7 @@ from jobmargin.sources.schemas import RAW_TABLES, require_columns
 def stage(table: str, raw: DataFrame) -> DataFrame:
     """Apply the declared casts and renames of ``table``; a pure projection."""
     require_columns(table, raw.columns)
-    return raw.select([typed(f.source, f.kind).alias(f.name) for f in RAW_TABLES[table]])
+    return raw.selectExpr([f"{typed(f.source, f.kind)} as {f.name}" for f in RAW_TABLES[table]])
 
 
 class Staged(Mapping[str, DataFrame]):

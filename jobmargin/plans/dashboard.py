@@ -6,10 +6,9 @@ nothing are 0 here, as on the cards; the scorecards keep them NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from jobmargin.functions.measures import measures
-from jobmargin.functions.ratios import ascending, descending, highest, lowest, ratio, total
+from jobmargin.functions.ratios import ascending, descending, expressions, highest, lowest, ratio, total
 
 OVERRUN = 0.10  # share of planned hours above which a job counts as over plan
 
@@ -18,6 +17,25 @@ DETAIL_COLUMNS = (
     "estimated_labor_hours actual_labor_hours labor_variance_pct rework_flag"
 ).split()
 
+# Group aggregates of the dashboard, by output name.
+SUMMARY = {
+    "jobs": "count(job_id)",
+    "revenue": total("billed_revenue"),
+    "gross_profit": total("gross_profit"),
+    "labor_hours": total("actual_labor_hours"),
+    "avg_labor_variance": "avg(labor_variance_pct)",
+    "rework_rate": "avg(rework_flag)",
+    "avg_travel": "avg(travel_minutes)",
+    "avg_rating": "avg(customer_rating)",
+}
+# Ratios of the sums above.
+GROSS_MARGIN = f"{ratio('gross_profit', 'revenue')} as gross_margin"
+REVENUE_PER_HOUR = f"{ratio('revenue', 'labor_hours')} as revenue_per_labor_hour"
+
+
+def _summarize(picked: DataFrame, by: str, *names: str) -> DataFrame:
+    return picked.groupBy(by).agg(*expressions({n: SUMMARY[n] for n in names}))
+
 
 # -- filter widgets ---------------------------------------------------------------------
 
@@ -31,11 +49,10 @@ def filter_values(fact: DataFrame) -> DataFrame:
 
     One pass: the distinct combinations are few and are unpivoted only then.
     """
-    names = {"city": "city", "service": "service_name", "crew": "crew_name"}
-    combos = fact.select(*[F.col(c).alias(d) for d, c in names.items()]).distinct()
+    combos = fact.selectExpr("city", "service_name as service", "crew_name as crew").distinct()
     return (
-        combos.unpivot([], list(names), "dimension", "value")
-        .filter(F.col("value").isNotNull())
+        combos.unpivot([], ["city", "service", "crew"], "dimension", "value")
+        .filter("value is not null")
         .distinct()
         .orderBy("dimension", "value")
     )
@@ -46,21 +63,14 @@ def filter_values(fact: DataFrame) -> DataFrame:
 
 def kpi_totals(picked: DataFrame) -> DataFrame:
     """One row; margin and job value are 0, not NULL, without revenue or jobs."""
-    zero = F.lit(0.0)
-    sums = picked.agg(
-        total("billed_revenue").alias("revenue"),
-        total("gross_profit").alias("gross_profit"),
-        F.count(F.lit(1)).alias("jobs_completed"),
-        total("actual_labor_hours").alias("hours"),
-    )
-    revenue = F.col("revenue")
-    return sums.select(
+    sums = {n: SUMMARY[n] for n in ("revenue", "gross_profit", "labor_hours")}
+    return picked.agg(*expressions({**sums, "jobs_completed": "count(1)"})).selectExpr(
         "revenue",
         "gross_profit",
-        F.coalesce(ratio(F.col("gross_profit"), revenue), zero).alias("gross_margin"),
+        f"coalesce({ratio('gross_profit', 'revenue')}, 0D) as gross_margin",
         "jobs_completed",
-        F.coalesce(ratio(revenue, F.col("jobs_completed")), zero).alias("avg_job_value"),
-        ratio(revenue, F.col("hours")).alias("revenue_per_labor_hour"),
+        f"coalesce({ratio('revenue', 'jobs_completed')}, 0D) as avg_job_value",
+        REVENUE_PER_HOUR,
     )
 
 
@@ -71,19 +81,21 @@ def monthly_trend(picked: DataFrame) -> DataFrame:
     The window sees one row per month that has jobs, never job-grain rows, and saves the
     second scan that joining a calendar would need.
     """
-    by_month = picked.groupBy(F.trunc("completed_date", "month").alias("month")).agg(
-        total("billed_revenue").alias("revenue"), total("gross_profit").alias("gross_profit")
+    with_jobs = picked.groupBy(F.expr("trunc(completed_date, 'month') as month")).agg(
+        *expressions({n: SUMMARY[n] for n in ("revenue", "gross_profit")})
     )
-    following = F.lead("month").over(Window.orderBy("month"))
-    until = F.coalesce(F.add_months("following", -1), "month")
-    filled = by_month.withColumn("following", following).withColumn(
-        "calendar", F.explode(F.sequence("month", until, F.expr("interval 1 month")))
+    return (
+        with_jobs.withColumn("following", F.lead("month").over(Window.orderBy("month")))
+        .selectExpr(
+            "*", "explode(sequence(month, coalesce(add_months(following, -1), month), interval 1 month)) as calendar"
+        )
+        .selectExpr(
+            "calendar as month",
+            "if(calendar = month, revenue, 0D) as revenue",
+            "if(calendar = month, gross_profit, 0D) as gross_profit",
+        )
+        .orderBy("month")
     )
-    real = F.col("calendar") == F.col("month")
-    return filled.select(
-        F.col("calendar").alias("month"),
-        *[F.when(real, F.col(c)).otherwise(0.0).alias(c) for c in ("revenue", "gross_profit")],
-    ).orderBy("month")
 
 
 def monthly_trend_long(picked: DataFrame) -> DataFrame:
@@ -95,42 +107,21 @@ def monthly_trend_long(picked: DataFrame) -> DataFrame:
 
 
 def revenue_by(picked: DataFrame, column: str) -> DataFrame:
-    return picked.groupBy(column).agg(total("billed_revenue").alias("revenue")).orderBy(*ascending("revenue", column))
+    return _summarize(picked, column, "revenue").orderBy(*ascending("revenue", column))
 
 
-def _margin_by_service(picked: DataFrame) -> DataFrame:
+def margin_by_service(picked: DataFrame) -> DataFrame:
     return (
-        picked.groupBy("service_name")
-        .agg(total("billed_revenue").alias("revenue"), total("gross_profit").alias("gross_profit"))
-        .withColumn("gross_margin", ratio(F.col("gross_profit"), F.col("revenue")))
+        _summarize(picked, "service_name", "revenue", "gross_profit")
+        .selectExpr("*", GROSS_MARGIN)
+        .orderBy(*ascending("gross_margin", "service_name"))
     )
 
 
-def margin_by_service(picked: DataFrame) -> DataFrame:
-    return _margin_by_service(picked).orderBy(*ascending("gross_margin", "service_name"))
-
-
-def _crew_columns(*names: str) -> list[Column]:
-    """Crew aggregates shared by the crew reports, by output name."""
-    known = {
-        "jobs": lambda: F.count("job_id"),
-        "revenue": lambda: total("billed_revenue"),
-        "gross_profit": lambda: total("gross_profit"),
-        "labor_hours": lambda: total("actual_labor_hours"),
-        "avg_labor_variance": lambda: F.avg("labor_variance_pct"),
-        "rework_rate": lambda: F.avg("rework_flag"),
-        "avg_travel": lambda: F.avg("travel_minutes"),
-        "avg_rating": lambda: F.avg("customer_rating"),
-    }
-    return [known[n]().alias(n) for n in names]
-
-
 def crew_efficiency(picked: DataFrame) -> DataFrame:
-    return (
-        picked.groupBy("crew_name")
-        .agg(*_crew_columns("revenue", "labor_hours", "avg_labor_variance", "rework_rate"))
-        .withColumn("revenue_per_labor_hour", ratio(F.col("revenue"), F.col("labor_hours")))
-    )
+    return _summarize(
+        picked, "crew_name", "revenue", "labor_hours", "avg_labor_variance", "rework_rate"
+    ).selectExpr("*", REVENUE_PER_HOUR)
 
 
 def insights(picked: DataFrame) -> DataFrame:
@@ -141,32 +132,24 @@ def insights(picked: DataFrame) -> DataFrame:
     picks are aggregates over the few groups. Equal scores go to the smaller name.
     """
     crew, service = F.col("crew_name"), F.col("service_name")
+    sums = {n: SUMMARY[n] for n in ("revenue", "gross_profit", "labor_hours", "avg_labor_variance")}
     groups = (
         picked.groupingSets([[crew], [service]], crew, service)
-        .agg(
-            *_crew_columns("revenue", "gross_profit", "labor_hours", "avg_labor_variance"),
-            F.grouping("crew_name").alias("is_service"),
-        )
-        .withColumns(
-            {
-                "revenue_per_labor_hour": ratio(F.col("revenue"), F.col("labor_hours")),
-                "gross_margin": ratio(F.col("gross_profit"), F.col("revenue")),
-            }
-        )
+        .agg(*expressions({**sums, "all_crews": "grouping(crew_name)"}))
+        .selectExpr("*", GROSS_MARGIN, REVENUE_PER_HOUR)
     )
-    crews, services = F.col("is_service") == 0, F.col("is_service") == 1
-    picks = groups.agg(
-        highest("avg_labor_variance", "crew_name", among=crews).alias("highest_labor_variance"),
-        lowest("revenue_per_labor_hour", "crew_name", among=crews).alias("lowest_revenue_per_hour"),
-        lowest("gross_margin", "service_name", among=services).alias("lowest_service_margin"),
-    )
-    return pick_rows(picks, "insight").select("insight", "name", F.col("score").alias("value"))
+    picks = {
+        "highest_labor_variance": highest("avg_labor_variance", "crew_name", among="all_crews = 0"),
+        "lowest_revenue_per_hour": lowest("revenue_per_labor_hour", "crew_name", among="all_crews = 0"),
+        "lowest_service_margin": lowest("gross_margin", "service_name", among="all_crews = 1"),
+    }
+    return pick_rows(groups.agg(*expressions(picks)), "insight").selectExpr("insight", "name", "score as value")
 
 
 def pick_rows(picks: DataFrame, label: str) -> DataFrame:
     """Turn one row of pick structs into one row per pick, dropping picks among nothing."""
-    rows = F.array(*[F.struct(F.lit(n).alias(label), F.col(n).alias("pick")) for n in picks.columns])
-    return picks.select(F.inline(rows)).filter(F.col("pick").isNotNull()).select(label, "pick.*")
+    rows = ", ".join(f"struct('{name}' as {label}, {name} as pick)" for name in picks.columns)
+    return picks.selectExpr(f"inline(array({rows}))").filter("pick is not null").select(label, "pick.*")
 
 
 # -- job profitability ------------------------------------------------------------------
@@ -174,10 +157,14 @@ def pick_rows(picks: DataFrame, label: str) -> DataFrame:
 
 def job_risk_counts(picked: DataFrame) -> DataFrame:
     return picked.agg(
-        F.count(F.lit(1)).alias("jobs"),
-        ratio(F.sum("gross_profit"), F.sum("billed_revenue")).alias("gross_margin"),
-        F.count_if(F.col("gross_profit") < 0).alias("loss_jobs"),
-        F.count_if(F.col("labor_variance_pct") > OVERRUN).alias("labor_over_jobs"),
+        *expressions(
+            {
+                "jobs": "count(1)",
+                "gross_margin": ratio("sum(gross_profit)", "sum(billed_revenue)"),
+                "loss_jobs": "count_if(gross_profit < 0)",
+                "labor_over_jobs": f"count_if(labor_variance_pct > {OVERRUN}D)",
+            }
+        )
     )
 
 
@@ -189,10 +176,8 @@ def job_value_margin(picked: DataFrame) -> DataFrame:
 
 
 def labor_variance_by_crew(picked: DataFrame) -> DataFrame:
-    return (
-        picked.groupBy("crew_name")
-        .agg(*_crew_columns("avg_labor_variance"))
-        .orderBy(*ascending("avg_labor_variance", "crew_name"))
+    return _summarize(picked, "crew_name", "avg_labor_variance").orderBy(
+        *ascending("avg_labor_variance", "crew_name")
     )
 
 
@@ -202,9 +187,7 @@ def job_detail(picked: DataFrame, *extra: str) -> DataFrame:
     The job id breaks ties and keeps a profit shared by very many jobs from falling into a
     single range partition of the sort.
     """
-    columns = [*extra, *DETAIL_COLUMNS]
-    ordered = picked.orderBy(*ascending("gross_profit", "job_id"))
-    return ordered.select(*columns)
+    return picked.orderBy(*ascending("gross_profit", "job_id")).select(*extra, *DETAIL_COLUMNS)
 
 
 def job_detail_costs(picked: DataFrame) -> DataFrame:
@@ -224,33 +207,25 @@ def crew_dashboard(picked: DataFrame, order: str = "revenue") -> DataFrame:
     """The crew table, sorted as its chart (``revenue_per_labor_hour`` or ``gross_margin``,
     ascending) or as the table itself (``revenue``, descending)."""
     return (
-        picked.groupBy("crew_name")
-        .agg(
-            *_crew_columns(
-                "jobs", "revenue", "gross_profit", "labor_hours", "avg_labor_variance", "rework_rate", "avg_travel",
-                "avg_rating",
-            )
-        )
-        .withColumns(
-            {
-                "gross_margin": ratio(F.col("gross_profit"), F.col("revenue")),
-                "revenue_per_labor_hour": ratio(F.col("revenue"), F.col("labor_hours")),
-            }
-        )
+        _summarize(picked, "crew_name", *SUMMARY)
+        .selectExpr("*", GROSS_MARGIN, REVENUE_PER_HOUR)
         .orderBy(*CREW_TABLE_ORDERS[order]())
-    )
+    )
 
 
 # -- sales and estimates ----------------------------------------------------------------
 
 
 def estimate_totals(estimate_card: DataFrame) -> DataFrame:
-    sent, won = F.sum("estimates_sent"), F.sum("estimates_won")
     return estimate_card.agg(
-        sent.alias("estimates_sent"),
-        won.alias("estimates_won"),
-        ratio(won, sent).alias("win_rate"),
-        total("quoted_value").alias("quoted_value"),
+        *expressions(
+            {
+                "estimates_sent": "sum(estimates_sent)",
+                "estimates_won": "sum(estimates_won)",
+                "win_rate": ratio("sum(estimates_won)", "sum(estimates_sent)"),
+                "quoted_value": total("quoted_value"),
+            }
+        )
     )
 
 

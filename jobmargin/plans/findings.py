@@ -6,11 +6,11 @@ jobs whose dimension row is missing, as the scorecards do.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from jobmargin.functions.formats import number, percent, whole_dollars
-from jobmargin.functions.measures import measures
-from jobmargin.functions.ratios import ascending, descending, highest, lowest, ratio
+from jobmargin.functions.measures import MEASURES, measures
+from jobmargin.functions.ratios import ascending, descending, expressions, highest, lowest, ratio
 from jobmargin.operators.fact import LOOKUPS, attach
 from jobmargin.plans.dashboard import OVERRUN, pick_rows
 
@@ -20,60 +20,57 @@ TOP = 15  # rows in the top and bottom lists
 QUOTE_EDGES = (500, 1000, 2500, 4000)
 
 
+# Headline numbers: label, measure, display format.
+SNAPSHOT = (
+    ("Jobs completed", "jobs_completed", lambda v: number(v, "#,##0")),
+    ("Revenue", "revenue", whole_dollars),
+    ("Gross profit", "gross_profit", whole_dollars),
+    ("Gross margin", "gross_margin_pct", percent),
+    ("Average job value", "avg_job_value", whole_dollars),
+    ("Average labor variance", "avg_labor_variance_pct", percent),
+    ("Rework rate", "rework_rate", percent),
+    ("Weather delay rate", "weather_delay_rate", percent),
+    ("Average customer rating", "avg_customer_rating", lambda v: f"{number(v, '0.00')} || '/5'"),
+)
+
+
 def kpi_snapshot(fact: DataFrame) -> DataFrame:
     """``metric, value``: nine headline numbers as display text."""
-    sums = fact.agg(
-        *measures(
-            "jobs_completed", "revenue", "gross_profit", "gross_margin_pct", "avg_job_value",
-            "avg_labor_variance_pct", "rework_rate", "weather_delay_rate", "avg_customer_rating",
-        )
-    )
-    shown = {
-        "Jobs completed": number(F.col("jobs_completed"), "#,##0"),
-        "Revenue": whole_dollars(F.col("revenue")),
-        "Gross profit": whole_dollars(F.col("gross_profit")),
-        "Gross margin": percent(F.col("gross_margin_pct")),
-        "Average job value": whole_dollars(F.col("avg_job_value")),
-        "Average labor variance": percent(F.col("avg_labor_variance_pct")),
-        "Rework rate": percent(F.col("rework_rate")),
-        "Weather delay rate": percent(F.col("weather_delay_rate")),
-        "Average customer rating": F.concat(number(F.col("avg_customer_rating"), "0.00"), F.lit("/5")),
-    }
-    return sums.select([text.alias(name) for name, text in shown.items()]).unpivot([], list(shown), "metric", "value")
+    sums = fact.agg(*measures(*[measure for _, measure, _ in SNAPSHOT]))
+    rows = [f"struct('{label}' as metric, {show(measure)} as value)" for label, measure, show in SNAPSHOT]
+    return sums.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def findings(fact: DataFrame) -> DataFrame:
     """``finding, subject, value, context``: the extremes an owner should know.
 
-    ``context`` is the crew's labor variance, the city's job count or the portfolio margin.
-    Grouping sets by crew, service, city and over everything share one pass over the jobs.
+    ``context`` is the crew's labor variance, the job count of the service or city, or the
+    portfolio margin. Grouping sets by crew, service, city and over everything share one
+    pass over the jobs.
     """
     crew, service, city = F.col("crew_name"), F.col("service_name"), F.col("city")
+    names = ("revenue", "gross_margin_pct", "revenue_per_labor_hour", "avg_labor_variance_pct")
     groups = fact.groupingSets([[crew], [service], [city], []], crew, service, city).agg(
-        F.grouping_id().alias("level"),
-        *measures(
-            "jobs_completed", "revenue", "gross_margin_pct", "revenue_per_labor_hour", "avg_labor_variance_pct"
-        ),
+        *expressions({n: MEASURES[n] for n in names}),
+        F.expr(f"cast({MEASURES['jobs_completed']} as double) as jobs"),
+        F.expr("grouping_id() as level"),
     )
     # grouping_id has one bit per column, set where the column is rolled up
-    by_crew, by_service, by_city = (F.col("level") == n for n in (0b011, 0b101, 0b110))
-    jobs = F.col("jobs_completed").cast("double")
-    groups = groups.withColumns({"jobs": jobs, "everything": F.when(F.col("level") == 0b111, "All jobs")})
-    picks = groups.agg(
-        lowest("revenue_per_labor_hour", "crew_name", "avg_labor_variance_pct", among=by_crew & crew.isNotNull())
-        .alias("lowest_revenue_per_hour_crew"),
-        highest("gross_margin_pct", "service_name", "jobs", among=by_service & service.isNotNull())
-        .alias("highest_margin_service"),
-        lowest("gross_margin_pct", "service_name", "jobs", among=by_service & service.isNotNull())
-        .alias("lowest_margin_service"),
-        highest("revenue", "city", "jobs", among=by_city & city.isNotNull()).alias("highest_revenue_city"),
-        highest("revenue", "everything", "gross_margin_pct", among=F.col("everything").isNotNull())
-        .alias("portfolio_revenue"),
-    )
-    shape = "struct<rank:double,name:string,score:double,context:double>"
-    same = picks.select([F.col(c).cast(shape).alias(c) for c in picks.columns])
-    return pick_rows(same, "finding").select(
-        "finding", F.col("name").alias("subject"), F.col("score").alias("value"), "context"
+    by_crew, by_service, by_city, overall = (
+        f"level = {level} and {name} is not null"
+        for level, name in ((3, "crew_name"), (5, "service_name"), (6, "city"), (7, "level"))
+    )
+    picks = {
+        "lowest_revenue_per_hour_crew": lowest(
+            "revenue_per_labor_hour", "crew_name", "avg_labor_variance_pct as context", among=by_crew
+        ),
+        "highest_margin_service": highest("gross_margin_pct", "service_name", "jobs as context", among=by_service),
+        "lowest_margin_service": lowest("gross_margin_pct", "service_name", "jobs as context", among=by_service),
+        "highest_revenue_city": highest("revenue", "city", "jobs as context", among=by_city),
+        "portfolio_revenue": highest("revenue", "'All jobs'", "gross_margin_pct as context", among=overall),
+    }
+    return pick_rows(groups.agg(*expressions(picks)), "finding").selectExpr(
+        "finding", "name as subject", "score as value", "context"
     )
 
 
@@ -95,12 +92,16 @@ def bottom_jobs(economics: DataFrame, customers: DataFrame, services: DataFrame,
 def overrun_review(fact: DataFrame) -> DataFrame:
     """Jobs over plan by service and crew, most excess hours first."""
     return (
-        fact.filter(F.col("labor_variance_pct") > OVERRUN)
+        fact.filter(f"labor_variance_pct > {OVERRUN}D")
         .groupBy("service_name", "crew_name")
         .agg(
-            F.count(F.lit(1)).alias("overrun_jobs"),
-            F.sum("labor_variance_hours").alias("excess_hours"),
-            F.avg("labor_variance_pct").alias("avg_overrun_pct"),
+            *expressions(
+                {
+                    "overrun_jobs": "count(1)",
+                    "excess_hours": "sum(labor_variance_hours)",
+                    "avg_overrun_pct": "avg(labor_variance_pct)",
+                }
+            )
         )
         .orderBy(*descending("excess_hours"), *ascending("service_name", "crew_name"))
     )
@@ -135,7 +136,7 @@ def margin_vs_target(fact: DataFrame) -> DataFrame:
     return (
         fact.groupBy("service_id", "service_name", "target_margin")
         .agg(*measures("revenue", "gross_profit", "gross_margin_pct"))
-        .withColumn("margin_gap", F.col("gross_margin_pct") - F.col("target_margin"))
+        .selectExpr("*", "gross_margin_pct - target_margin as margin_gap")
         .orderBy(*ascending("margin_gap", "service_id"))
     )
 
@@ -158,25 +159,32 @@ def _per_customer(economics: DataFrame) -> DataFrame:
     customer holding a large share of all jobs is one row by then."""
     return economics.groupBy("customer_id").agg(
         *measures("jobs_completed", "revenue", "gross_profit"),
-        F.sum("travel_minutes").alias("travel_sum"),
-        F.count("travel_minutes").alias("travel_known"),
-        F.count_if(F.col("gross_profit") < 0).alias("loss_jobs"),
+        *expressions(
+            {
+                "travel_sum": "sum(travel_minutes)",
+                "travel_known": "count(travel_minutes)",
+                "loss_jobs": "count_if(gross_profit < 0)",
+            }
+        ),
     )
 
 
 def value_by(economics: DataFrame, customers: DataFrame, trait: str) -> DataFrame:
     """Jobs, revenue, margin and travel by a customer attribute, such as ``customer_type``."""
-    revenue, profit = F.sum("revenue"), F.sum("gross_profit")
     return (
         _per_customer(economics)
         .join(customers.select("customer_id", trait), "customer_id", "left")
         .groupBy(trait)
         .agg(
-            F.sum("jobs_completed").alias("jobs_completed"),
-            revenue.alias("revenue"),
-            profit.alias("gross_profit"),
-            ratio(profit, revenue).alias("gross_margin_pct"),
-            ratio(F.sum("travel_sum"), F.sum("travel_known")).alias("avg_travel_minutes"),
+            *expressions(
+                {
+                    "jobs_completed": "sum(jobs_completed)",
+                    "revenue": "sum(revenue)",
+                    "gross_profit": "sum(gross_profit)",
+                    "gross_margin_pct": ratio("sum(gross_profit)", "sum(revenue)"),
+                    "avg_travel_minutes": ratio("sum(travel_sum)", "sum(travel_known)"),
+                }
+            )
         )
         .orderBy(*descending("revenue"), *ascending(trait))
     )
@@ -186,7 +194,7 @@ def _customer_list(economics: DataFrame, customers: DataFrame) -> DataFrame:
     return (
         _per_customer(economics)
         .join(customers.select("customer_id", "customer_name"), "customer_id")
-        .withColumn("gross_margin_pct", ratio(F.col("gross_profit"), F.col("revenue")))
+        .selectExpr("*", f"{ratio('gross_profit', 'revenue')} as gross_margin_pct")
     )
 
 
@@ -214,21 +222,22 @@ def customer_review(economics: DataFrame, customers: DataFrame) -> DataFrame:
 
 # -- estimates --------------------------------------------------------------------------
 
-_SALES = ("estimates_sent", "estimates_won", "win_rate", "quoted_value", "avg_estimate_value")
-
 
 def win_rate_by_channel(estimates: DataFrame, customers: DataFrame) -> DataFrame:
     """Conversion by the customer's acquisition channel; summed per customer before the join."""
     per_customer = estimates.groupBy("customer_id").agg(*measures("estimates_sent", "estimates_won", "quoted_value"))
-    sent, won = F.sum("estimates_sent"), F.sum("estimates_won")
     return (
         per_customer.join(customers.select("customer_id", "acquisition_channel"), "customer_id", "left")
         .groupBy("acquisition_channel")
         .agg(
-            sent.alias("estimates_sent"),
-            won.alias("estimates_won"),
-            ratio(won, sent).alias("win_rate"),
-            F.sum("quoted_value").alias("quoted_value"),
+            *expressions(
+                {
+                    "estimates_sent": "sum(estimates_sent)",
+                    "estimates_won": "sum(estimates_won)",
+                    "win_rate": ratio("sum(estimates_won)", "sum(estimates_sent)"),
+                    "quoted_value": "sum(quoted_value)",
+                }
+            )
         )
         .orderBy(*descending("win_rate"), *ascending("acquisition_channel"))
     )
@@ -236,7 +245,7 @@ def win_rate_by_channel(estimates: DataFrame, customers: DataFrame) -> DataFrame
 
 def quoted_by_month(estimates: DataFrame) -> DataFrame:
     return (
-        estimates.groupBy(F.trunc("estimate_date", "month").alias("month"))
+        estimates.groupBy(F.expr("trunc(estimate_date, 'month') as month"))
         .agg(*measures("estimates_sent", "quoted_value"))
         .orderBy(*ascending("month"))
     )
@@ -251,21 +260,23 @@ def quoted_by_status(estimates: DataFrame) -> DataFrame:
     )
 
 
-def _size_band(value: Column) -> tuple[Column, Column]:
-    """Number and label of the band ``value`` falls in; each band excludes its upper edge."""
+def _size_bands() -> tuple[str, str]:
+    """SQL for the number and the label of a quote's size band; each excludes its upper edge."""
     floors = (0, *QUOTE_EDGES)
     labels = [f"${low:,} to ${high:,}" for low, high in zip(floors, QUOTE_EDGES)] + [f"${QUOTE_EDGES[-1]:,} and up"]
-    band, label = F.when(value.isNull(), F.lit(None)), F.when(value.isNull(), F.lit(None))
-    for i, (edge, text) in enumerate(zip(QUOTE_EDGES, labels), start=1):
-        band, label = band.when(value < edge, i), label.when(value < edge, text)
-    return band.otherwise(len(labels)), label.otherwise(labels[-1])
+
+    def cases(values: list) -> str:
+        upto = " ".join(f"when quoted_revenue < {edge} then {v!r}" for edge, v in zip(QUOTE_EDGES, values))
+        return f"case {upto} when quoted_revenue is not null then {values[-1]!r} end"
+
+    return cases(list(range(1, len(labels) + 1))), cases(labels)
 
 
 def win_rate_by_size(estimates: DataFrame) -> DataFrame:
     """Are larger jobs harder to close? Conversion by quote-size band."""
-    band, label = _size_band(F.col("quoted_revenue"))
+    band, label = _size_bands()
     return (
-        estimates.groupBy(band.alias("band"), label.alias("quote_size"))
-        .agg(*measures(*_SALES))
+        estimates.groupBy(F.expr(f"{band} as band"), F.expr(f"{label} as quote_size"))
+        .agg(*measures("estimates_sent", "estimates_won", "win_rate", "quoted_value", "avg_estimate_value"))
         .orderBy(*ascending("band"))
     )

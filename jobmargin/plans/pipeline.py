@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +75,9 @@ def export(published: Published, folder: str) -> None:
         export_csv(df, f"{folder}/{name}", order)
 
 
-def refresh(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) -> Published:
+def refresh(
+    spark: SparkSession, tables: Mapping[str, DataFrame], folder: str, show: Callable[[str], None] = print
+) -> Published:
     """The whole run, repeatable: load, stage, publish, export, then the quality gate.
 
     The gate comes last, as a verdict on what was published: it raises ``QualityError``
@@ -94,7 +96,7 @@ def refresh(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) -
         published.tables[name] = table(card.over(fact), name)
     published.tables[ESTIMATES] = table(estimate_scorecard(staged["estimates"], staged["services"]), ESTIMATES)
     export(published, f"{folder}/exports")
-    raise_on_failure(quality_gate(published.fact))
+    raise_on_failure(quality_gate(published.fact), show)
     return published
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobmargin.functions.measures import measures
-from jobmargin.functions.ratios import ascending, descending, ratio
+from jobmargin.functions.ratios import ascending, descending, expressions, ratio
 from jobmargin.operators.fact import job_fact
 
 
@@ -85,16 +85,19 @@ def estimate_scorecard(estimates: DataFrame, services: DataFrame) -> DataFrame:
     per_service = estimates.groupBy("service_id").agg(
         *measures("estimates_sent", "estimates_won", "quoted_value"), F.count("quoted_revenue").alias("priced")
     )
-    sent, won, value, priced = map(F.sum, ("estimates_sent", "estimates_won", "quoted_value", "priced"))
     return (
         per_service.join(services.select("service_id", "service_name"), "service_id", "left")
         .groupBy("service_id", "service_name")
         .agg(
-            sent.alias("estimates_sent"),
-            won.alias("estimates_won"),
-            ratio(won, sent).alias("win_rate"),
-            value.alias("quoted_value"),
-            ratio(value, priced).alias("avg_estimate_value"),
+            *expressions(
+                {
+                    "estimates_sent": "sum(estimates_sent)",
+                    "estimates_won": "sum(estimates_won)",
+                    "win_rate": ratio("sum(estimates_won)", "sum(estimates_sent)"),
+                    "quoted_value": "sum(quoted_value)",
+                    "avg_estimate_value": ratio("sum(quoted_value)", "sum(priced)"),
+                }
+            )
         )
     )
 

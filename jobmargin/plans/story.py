@@ -6,20 +6,39 @@ once and the what-if model is column arithmetic on a few rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from jobmargin.functions.formats import points
-from jobmargin.functions.ratios import ascending, highest, ratio, total
+from jobmargin.functions.ratios import ascending, expressions, highest, ratio, total
 from jobmargin.session import shared_root
 
 # Slider ranges of the what-if model, in percent: first, last, step, default.
 RECOVERY = (10, 75, 5, 40)
 REWORK_CUT = (0, 50, 5, 25)
 
-_SUMS = (
-    "jobs revenue gross_profit labor_cost labor_hours labor_variance_hours excess_hours variance_sum variance_jobs "
-    "rework_jobs rework_known"
-).split()
+# Additive per crew and month. Excess hours count overruns only; means are kept as sum and
+# count, so that they stay exact when months are added up.
+SUMS = {
+    "jobs": "count(job_id)",
+    "revenue": total("billed_revenue"),
+    "gross_profit": total("gross_profit"),
+    "labor_cost": total("labor_cost"),
+    "labor_hours": total("actual_labor_hours"),
+    "labor_variance_hours": total("labor_variance_hours"),
+    "excess_hours": total("greatest(labor_variance_hours, 0D)"),
+    "variance_sum": "sum(labor_variance_pct)",
+    "variance_jobs": "count(labor_variance_pct)",
+    "rework_jobs": "coalesce(sum(rework_flag), 0L)",
+    "rework_known": "count(rework_flag)",
+}
+
+RATES = {
+    "avg_labor_variance": ratio("variance_sum", "variance_jobs"),
+    "rework_rate": ratio("rework_jobs", "rework_known"),
+    "gross_margin": ratio("gross_profit", "revenue"),
+    "revenue_per_labor_hour": ratio("revenue", "labor_hours"),
+    "labor_rate": ratio("labor_cost", "labor_hours"),
+}
 
 
 def story_scope(picked: DataFrame) -> DataFrame:
@@ -28,25 +47,8 @@ def story_scope(picked: DataFrame) -> DataFrame:
 
 
 def crew_months(picked: DataFrame) -> DataFrame:
-    """Additive sums per crew and month, last month included.
-
-    Excess hours count overruns only. Means are kept as sum and count, so that they stay
-    exact when months are added up.
-    """
-    variance = F.col("labor_variance_pct")
-    return picked.groupBy("crew_name", "completed_month").agg(
-        F.count("job_id").alias("jobs"),
-        total("billed_revenue").alias("revenue"),
-        total("gross_profit").alias("gross_profit"),
-        total("labor_cost").alias("labor_cost"),
-        total("actual_labor_hours").alias("labor_hours"),
-        total("labor_variance_hours").alias("labor_variance_hours"),
-        total(F.greatest("labor_variance_hours", F.lit(0.0))).alias("excess_hours"),
-        F.sum(variance).alias("variance_sum"),
-        F.count(variance).alias("variance_jobs"),
-        F.coalesce(F.sum("rework_flag"), F.lit(0)).alias("rework_jobs"),
-        F.count("rework_flag").alias("rework_known"),
-    )
+    """``SUMS`` per crew and month, last month included."""
+    return picked.groupBy("crew_name", "completed_month").agg(*expressions(SUMS))
 
 
 def closed_months(picked: DataFrame) -> DataFrame:
@@ -57,25 +59,13 @@ def closed_months(picked: DataFrame) -> DataFrame:
     loss of executors.
     """
     shared_root(picked.sparkSession)
-    sums = crew_months(picked).checkpoint()
-    return sums.filter(F.col("completed_month") < sums.agg(F.max("completed_month")).scalar())
+    return story_scope(crew_months(picked).checkpoint())
 
 
 def crews_of(months: DataFrame) -> DataFrame:
     """One row per crew with its sums, means and ratios."""
-    return (
-        months.groupBy("crew_name")
-        .agg(*[F.sum(c).alias(c) for c in _SUMS])
-        .withColumns(
-            {
-                "avg_labor_variance": ratio(F.col("variance_sum"), F.col("variance_jobs")),
-                "rework_rate": ratio(F.col("rework_jobs"), F.col("rework_known")),
-                "gross_margin": ratio(F.col("gross_profit"), F.col("revenue")),
-                "revenue_per_labor_hour": ratio(F.col("revenue"), F.col("labor_hours")),
-                "labor_rate": ratio(F.col("labor_cost"), F.col("labor_hours")),
-            }
-        )
-    )
+    by_crew = months.groupBy("crew_name").agg(*expressions({c: f"sum({c})" for c in SUMS}))
+    return by_crew.select("*", *expressions(RATES))
 
 
 def crew_summary(months: DataFrame) -> DataFrame:
@@ -85,114 +75,110 @@ def crew_summary(months: DataFrame) -> DataFrame:
     )
 
 
-def _focus(*carry: str) -> Column:
-    """Aggregate over crews: the crew with the highest mean labor variance."""
-    return highest("avg_labor_variance", "crew_name", *carry)
-
-
-def focus_crew(months: DataFrame) -> DataFrame:
-    """The crew needing attention: one row, none without jobs in scope."""
-    carry = "gross_margin rework_rate rework_jobs revenue gross_profit revenue_per_labor_hour".split()
-    picked = crews_of(months).agg(_focus(*carry).alias("focus")).filter(F.col("focus").isNotNull())
-    return picked.select(
-        F.col("focus.name").alias("crew_name"),
-        F.col("focus.score").alias("avg_labor_variance"),
-        *[F.col(f"focus.{c}").alias(c) for c in carry],
+def focus_crew(months: DataFrame, *carry: str) -> DataFrame:
+    """The crew with the highest mean labor variance: one row, none without jobs in scope."""
+    carry = carry or tuple("gross_margin rework_rate rework_jobs revenue gross_profit revenue_per_labor_hour".split())
+    return (
+        crews_of(months)
+        .agg(F.expr(f"{highest('avg_labor_variance', 'crew_name', *carry)} as focus"))
+        .filter("focus is not null")
+        .selectExpr("focus.name as crew_name", "focus.score as avg_labor_variance", *[f"focus.{c}" for c in carry])
     )
 
 
 def focus_gaps(months: DataFrame) -> DataFrame:
     """How far the focus crew's margin trails the portfolio and the best crew, in points."""
-    facts = (
+    picks = {
+        "focus": highest("avg_labor_variance", "crew_name", "gross_margin"),
+        "best": highest("gross_margin", "crew_name"),
+        "portfolio_margin": ratio("sum(gross_profit)", "sum(revenue)"),
+    }
+    return (
         crews_of(months)
-        .agg(
-            _focus("gross_margin").alias("focus"),
-            highest("gross_margin", "crew_name").alias("best"),
-            ratio(F.sum("gross_profit"), F.sum("revenue")).alias("portfolio_margin"),
+        .agg(*expressions(picks))
+        .filter("focus is not null")
+        .selectExpr(
+            "focus.name as focus_crew",
+            "focus.gross_margin as focus_margin",
+            "portfolio_margin",
+            "(focus.gross_margin - portfolio_margin) * 100 as portfolio_gap_points",
+            "best.name as best_crew",
+            "best.score as best_margin",
+            "(best.score - focus.gross_margin) * 100 as best_gap_points",
         )
-        .filter(F.col("focus").isNotNull())
+        .selectExpr("*", f"{points('portfolio_gap_points')} as portfolio_gap")
     )
-    margin = F.col("focus.gross_margin")
-    return facts.select(
-        F.col("focus.name").alias("focus_crew"),
-        margin.alias("focus_margin"),
-        "portfolio_margin",
-        ((margin - F.col("portfolio_margin")) * 100).alias("portfolio_gap_points"),
-        F.col("best.name").alias("best_crew"),
-        F.col("best.score").alias("best_margin"),
-        ((F.col("best.score") - margin) * 100).alias("best_gap_points"),
-    ).withColumn("portfolio_gap", points(F.col("portfolio_gap_points")))
 
 
 def crew_status(months: DataFrame) -> DataFrame:
     """Crews by margin, the focus crew marked for investigation."""
-    crews = crews_of(months)
-    focus = crews.agg(_focus().alias("focus")).select("focus.name").scalar()
-    return crews.select(
-        "crew_name",
-        "gross_margin",
-        F.when(F.col("crew_name") == focus, "Investigate").otherwise("Other crews").alias("status"),
-    ).orderBy(*ascending("gross_margin", "crew_name"))
+    focus = focus_crew(months, "gross_margin").select("crew_name").scalar()
+    is_focus = F.col("crew_name") == focus
+    return (
+        crews_of(months)
+        .select("crew_name", "gross_margin", F.when(is_focus, "Investigate").otherwise("Other crews").alias("status"))
+        .orderBy(*ascending("gross_margin", "crew_name"))
+    )
 
 
 def excess_hours(months: DataFrame) -> DataFrame:
     """The evidence against the focus crew: overrun hours and the rates beside them."""
-    carry = "excess_hours rework_rate revenue_per_labor_hour labor_rate".split()
-    found = crews_of(months).agg(_focus(*carry).alias("focus")).filter(F.col("focus").isNotNull())
-    return found.select(F.col("focus.name").alias("crew_name"), *[F.col(f"focus.{c}").alias(c) for c in carry])
+    return focus_crew(months, "excess_hours", "rework_rate", "revenue_per_labor_hour", "labor_rate").drop(
+        "avg_labor_variance"
+    )
 
 
-def _slider(settings: tuple[int, int, int, int]) -> Column:
+def _slider(settings: tuple[int, int, int, int]) -> str:
     first, last, step, _ = settings
-    return F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step)))
+    return f"explode(sequence({first}, {last}, {step}))"
 
 
-def scenario(crews: DataFrame, recovery: Column, rework_cut: Column, months: Column) -> DataFrame:
-    """Value of recovering part of the excess hours and avoiding part of the rework."""
+def scenario(crews: DataFrame, recovery: str, rework_cut: str, months: DataFrame) -> DataFrame:
+    """Value of recovering part of the excess hours and avoiding part of the rework.
+
+    ``recovery`` and ``rework_cut`` are SQL for percentages; savings are annualized over the
+    number of months in scope.
+    """
+    month_count = months.agg(F.expr("greatest(1L, count(distinct completed_month))")).scalar()
     return (
-        crews.withColumn("recovery_pct", recovery)
-        .withColumn("rework_cut_pct", rework_cut)
-        .withColumn("months", F.greatest(F.lit(1), months).cast("bigint"))
-        .withColumn("recovered_hours", F.col("excess_hours") * F.col("recovery_pct") / 100)
-        .withColumn("period_savings", F.col("recovered_hours") * F.col("labor_rate"))
-        .withColumn("annual_savings", F.col("period_savings") / F.col("months") * 12)
-        .withColumn("avoided_rework", F.bround(F.col("rework_jobs") * F.col("rework_cut_pct") / 100).cast("bigint"))
-        .withColumn("modeled_margin", ratio(F.col("gross_profit") + F.col("period_savings"), F.col("revenue")))
-        .withColumn("margin_gain_points", (F.col("modeled_margin") - F.col("gross_margin")) * 100)
-        .select(
-            "crew_name", "recovery_pct", "rework_cut_pct", "months", "excess_hours", "labor_rate", "recovered_hours",
-            "period_savings", "annual_savings", "avoided_rework", "gross_margin", "modeled_margin",
-            "margin_gain_points",
+        crews.selectExpr("*", f"{recovery} as recovery_pct")
+        .selectExpr("*", f"{rework_cut} as rework_cut_pct")
+        .withColumn("months", month_count)
+        .selectExpr("*", "excess_hours * recovery_pct / 100 as recovered_hours")
+        .selectExpr("*", "recovered_hours * labor_rate as period_savings")
+        .selectExpr("*", f"{ratio('gross_profit + period_savings', 'revenue')} as modeled_margin")
+        .selectExpr(
+            "crew_name",
+            "recovery_pct",
+            "rework_cut_pct",
+            "months",
+            "excess_hours",
+            "labor_rate",
+            "recovered_hours",
+            "period_savings",
+            "period_savings / months * 12 as annual_savings",
+            "cast(bround(rework_jobs * rework_cut_pct / 100D) as bigint) as avoided_rework",
+            "gross_margin",
+            "modeled_margin",
+            "(modeled_margin - gross_margin) * 100 as margin_gain_points",
         )
-    )
-
-
-def _month_count(months: DataFrame) -> Column:
-    return months.agg(F.count_distinct("completed_month")).scalar()
+    )
 
 
 def scenario_grid(months: DataFrame) -> DataFrame:
     """Every crew at every position of the two sliders."""
-    return scenario(crews_of(months), _slider(RECOVERY), _slider(REWORK_CUT), _month_count(months))
+    return scenario(crews_of(months), _slider(RECOVERY), _slider(REWORK_CUT), months)
 
 
 def scenario_at(
     months: DataFrame, recovery_pct: int = RECOVERY[-1], rework_cut_pct: int = REWORK_CUT[-1]
 ) -> DataFrame:
     """The focus crew at one position of the sliders."""
-    carry = "excess_hours labor_rate rework_jobs gross_profit revenue gross_margin".split()
-    focus = (
-        crews_of(months)
-        .agg(_focus(*carry).alias("focus"))
-        .filter(F.col("focus").isNotNull())
-        .select(F.col("focus.name").alias("crew_name"), *[f"focus.{c}" for c in carry])
-    )
-    return scenario(focus, F.lit(recovery_pct), F.lit(rework_cut_pct), _month_count(months))
+    focus = focus_crew(months, "excess_hours", "labor_rate", "rework_jobs", "gross_profit", "revenue", "gross_margin")
+    return scenario(focus, str(recovery_pct), str(rework_cut_pct), months)
 
 
 def scenario_comparison(months: DataFrame) -> DataFrame:
     """``scenario, gross_margin``: the focus crew today and at the default settings."""
-    modeled = scenario_at(months).select(
-        F.col("gross_margin").alias("Current"), F.col("modeled_margin").alias("Modeled")
-    )
+    modeled = scenario_at(months).selectExpr("gross_margin as Current", "modeled_margin as Modeled")
     return modeled.unpivot([], ["Current", "Modeled"], "scenario", "gross_margin")

@@ -8,163 +8,133 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
-EPOCH = "1995-01-01"
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 class TestTables:
-    """Named access to ``<folder>/<name>.parquet``."""
+    """Named access to ``<folder>/<name>.parquet``; a file's schema is inferred once per process."""
 
     __test__ = False
+    _schemas: dict[str, StructType] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder, self._opened = spark, folder, {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._opened:
-            self._opened[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+            path = f"{self._folder}/{name}.parquet"
+            if path not in self._schemas:
+                self._schemas[path] = self._spark.read.parquet(path).schema
+            self._opened[name] = self._spark.read.schema(self._schemas[path]).parquet(path)
         return self._opened[name]
 
+    def in_nation(self, located: DataFrame, nation_key: str) -> DataFrame:
+        """``located`` rows joined to their nation."""
+        return located.join(self["nation"], F.expr(f"{nation_key} = n_nationkey"))
 
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
-
-
-def _day(column: str) -> Column:
-    return F.col(column).cast("date")
-
-
-def _days_before_epoch(key: str, cycle: int) -> Column:
-    return F.date_sub(F.to_date(F.lit(EPOCH)), (F.col(key) % cycle).cast("int"))
 
+SERVICE_OF_ORDER = "cast(o_orderkey % 6 + 1 as int) as service_id"
+CREW_OF_NATION = "n_regionkey + 1 as crew_id"
 
-def _won() -> Column:
-    return F.col("o_orderstatus") == "F"
 
+def _if_won(value: str) -> str:
+    """Text for won orders, blank for all others, as CSV sources leave it."""
+    return f"if(o_orderstatus = 'F', cast({value} as string), '')"
 
-def _text_if_won(value: Column) -> Column:
-    return F.when(_won(), value.cast("string")).otherwise("")
 
-
-def _service_of_order() -> Column:
-    return (F.col("o_orderkey") % 6 + 1).cast("int").alias("service_id")
+def _hourly_rate(supplier_key: str) -> str:
+    return f"18D + {supplier_key} % 8"
 
 
 def customers(t: TestTables) -> DataFrame:
-    segment, balance, key = F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_custkey")
-    return (
-        t["customer"]
-        .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            key.alias("customer_id"),
-            F.col("c_name").alias("customer_name"),
-            F.when(segment.isin("BUILDING", "MACHINERY"), "Commercial").otherwise("Residential").alias("customer_type"),
-            F.col("n_name").alias("city"),
-            F.col("c_nationkey").cast("string").alias("zip_code"),
-            _days_before_epoch("c_custkey", 365).alias("signup_date"),
-            F.when(balance < 0, "Inactive").otherwise("Active").alias("status"),
-            F.when(key % 2 == 0, "Recurring").otherwise("One-Time").alias("contract_type"),
-            segment.alias("acquisition_channel"),
-            F.when(balance < 0, "Basic").when(balance < 5000, "Standard").otherwise("Premium").alias("property_tier"),
-        )
+    return t.in_nation(t["customer"], "c_nationkey").selectExpr(
+        "c_custkey as customer_id",
+        "c_name as customer_name",
+        "if(c_mktsegment in ('BUILDING', 'MACHINERY'), 'Commercial', 'Residential') as customer_type",
+        "n_name as city",
+        "cast(c_nationkey as string) as zip_code",
+        "date_sub(date'1995-01-01', cast(c_custkey % 365 as int)) as signup_date",
+        "if(c_acctbal < 0, 'Inactive', 'Active') as status",
+        "if(c_custkey % 2 = 0, 'Recurring', 'One-Time') as contract_type",
+        "c_mktsegment as acquisition_channel",
+        "case when c_acctbal < 0 then 'Basic' when c_acctbal < 5000 then 'Standard' else 'Premium' end as property_tier",
     )
 
 
 def services(t: TestTables) -> DataFrame:
     """One service per part type. The numbering window sees the distinct types only."""
-    kind = F.col("p_type")
-    recurring = kind.isin("ECONOMY", "STANDARD")
-    return (
-        t["part"]
-        .groupBy("p_type")
-        .agg(F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size"))
-        .select(
-            F.row_number().over(Window.orderBy("p_type")).alias("service_id"),
-            kind.alias("service_name"),
-            F.when(recurring, "Recurring Maintenance").otherwise("Project").alias("service_category"),
-            F.when(recurring, "recurring").otherwise("one-time").alias("billing_type"),
-            F.col("price").alias("default_price"),
-            F.col("size").alias("default_est_labor_hours"),
-            (F.col("price") * 0.2).alias("default_material_cost"),
-            F.lit(0.35).alias("target_margin"),
-        )
+    types = t["part"].groupBy("p_type").agg(F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size"))
+    recurring = "p_type in ('ECONOMY', 'STANDARD')"
+    return types.selectExpr(
+        "row_number() over (order by p_type) as service_id",
+        "p_type as service_name",
+        f"if({recurring}, 'Recurring Maintenance', 'Project') as service_category",
+        f"if({recurring}, 'recurring', 'one-time') as billing_type",
+        "price as default_price",
+        "size as default_est_labor_hours",
+        "price * 0.2D as default_material_cost",
+        "0.35D as target_margin",
     )
 
 
 def crews(t: TestTables) -> DataFrame:
-    name = F.col("r_name")
-    return t["region"].select(
-        (F.col("r_regionkey") + 1).alias("crew_id"),
-        F.concat(F.lit("Crew "), name).alias("crew_name"),
-        name.alias("home_base"),
-        F.concat(F.lit("Supervisor "), name).alias("supervisor"),
-        F.lit(3).alias("crew_size"),
-        (F.lit(0.9) + F.col("r_regionkey") * F.lit(0.05)).alias("labor_efficiency_factor"),
+    return t["region"].selectExpr(
+        "r_regionkey + 1 as crew_id",
+        "'Crew ' || r_name as crew_name",
+        "r_name as home_base",
+        "'Supervisor ' || r_name as supervisor",
+        "3 as crew_size",
+        "0.9D + r_regionkey * 0.05D as labor_efficiency_factor",
     )
 
 
-def _hourly_rate(supplier_key: str) -> Column:
-    return F.lit(18.0) + F.col(supplier_key) % 8
-
-
 def employees(t: TestTables) -> DataFrame:
-    key = F.col("s_suppkey")
-    return (
-        t["supplier"]
-        .join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            key.alias("employee_id"),
-            F.col("s_name").alias("employee_name"),
-            (F.col("n_regionkey") + 1).alias("crew_id"),
-            F.when(key % 3 == 0, "Crew Lead").otherwise("Landscape Technician").alias("role"),
-            _hourly_rate("s_suppkey").alias("hourly_rate"),
-            _days_before_epoch("s_suppkey", 900).alias("hire_date"),
-        )
+    return t.in_nation(t["supplier"], "s_nationkey").selectExpr(
+        "s_suppkey as employee_id",
+        "s_name as employee_name",
+        CREW_OF_NATION,
+        "if(s_suppkey % 3 = 0, 'Crew Lead', 'Landscape Technician') as role",
+        f"{_hourly_rate('s_suppkey')} as hourly_rate",
+        "date_sub(date'1995-01-01', cast(s_suppkey % 900 as int)) as hire_date",
     )
 
 
 def estimates(t: TestTables) -> DataFrame:
-    key, price, status = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderstatus")
-    return t["orders"].select(
-        key.alias("estimate_id"),
-        F.col("o_custkey").alias("customer_id"),
-        _service_of_order(),
-        _day("o_orderdate").alias("estimate_date"),
-        (price / 100.0).alias("quoted_revenue"),
-        (F.lit(1.0) + (key % 40) / 4.0).alias("quoted_labor_hours"),
-        (price * 0.003).alias("quoted_material_cost"),
-        F.when(status == "F", "Won").when(status == "O", "Lost").otherwise("Pending").alias("estimate_status"),
-        _text_if_won(F.date_add(_day("o_orderdate"), 7)).alias("won_date"),
+    return t["orders"].selectExpr(
+        "o_orderkey as estimate_id",
+        "o_custkey as customer_id",
+        SERVICE_OF_ORDER,
+        "cast(o_orderdate as date) as estimate_date",
+        "o_totalprice / 100D as quoted_revenue",
+        "1D + (o_orderkey % 40) / 4D as quoted_labor_hours",
+        "o_totalprice * 0.003D as quoted_material_cost",
+        "case o_orderstatus when 'F' then 'Won' when 'O' then 'Lost' else 'Pending' end as estimate_status",
+        f"{_if_won('date_add(cast(o_orderdate as date), 7)')} as won_date",
     )
 
 
 def jobs(t: TestTables) -> DataFrame:
-    key, price = F.col("o_orderkey"), F.col("o_totalprice")
-    return (
-        t["orders"]
-        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            key.alias("job_id"),
-            _text_if_won(key).alias("estimate_id"),
-            F.col("o_custkey").alias("customer_id"),
-            _service_of_order(),
-            (F.col("n_regionkey") + 1).alias("crew_id"),
-            _day("o_orderdate").alias("scheduled_date"),
-            F.date_add(_day("o_orderdate"), (key % 10).cast("int")).alias("completed_date"),
-            F.when(F.col("o_orderstatus") == "P", "In Progress").otherwise("Completed").alias("job_status"),
-            F.col("n_name").alias("city"),
-            F.when(key % 997 == 0, 0.0).otherwise(price / 100.0).alias("billed_revenue"),
-            F.when(key % 50 == 0, 0.0).otherwise(F.lit(1.0) + ((key * 7) % 40) / 4.0).alias("estimated_labor_hours"),
-            (F.lit(1.0) + (key % 41) / 4.0).alias("actual_labor_hours"),
-            F.when(key % 60 == 0, 0.0).otherwise(price * 0.0025).alias("estimated_material_cost"),
-            (price * (F.lit(0.002) + (key % 5) * F.lit(0.0005))).alias("actual_material_cost"),
-            _flag(key % 29 == 0).alias("rework_flag"),
-            _flag(key % 9 == 0).alias("weather_delay_flag"),
-            (F.col("o_custkey") % 45 + 10).cast("int").alias("travel_minutes"),
-            F.when(key % 13 != 0, F.lit(3.0) + (key % 5) * F.lit(0.5)).alias("customer_rating"),
-        )
+    orders = t["orders"].join(t["customer"], F.expr("o_custkey = c_custkey"))
+    return t.in_nation(orders, "c_nationkey").selectExpr(
+        "o_orderkey as job_id",
+        f"{_if_won('o_orderkey')} as estimate_id",
+        "o_custkey as customer_id",
+        SERVICE_OF_ORDER,
+        CREW_OF_NATION,
+        "cast(o_orderdate as date) as scheduled_date",
+        "date_add(cast(o_orderdate as date), cast(o_orderkey % 10 as int)) as completed_date",
+        "if(o_orderstatus = 'P', 'In Progress', 'Completed') as job_status",
+        "n_name as city",
+        "if(o_orderkey % 997 = 0, 0D, o_totalprice / 100D) as billed_revenue",
+        "if(o_orderkey % 50 = 0, 0D, 1D + ((o_orderkey * 7) % 40) / 4D) as estimated_labor_hours",
+        "1D + (o_orderkey % 41) / 4D as actual_labor_hours",
+        "if(o_orderkey % 60 = 0, 0D, o_totalprice * 0.0025D) as estimated_material_cost",
+        "o_totalprice * (0.002D + (o_orderkey % 5) * 0.0005D) as actual_material_cost",
+        "if(o_orderkey % 29 = 0, 1, 0) as rework_flag",
+        "if(o_orderkey % 9 = 0, 1, 0) as weather_delay_flag",
+        "cast(10 + o_custkey % 45 as int) as travel_minutes",
+        "if(o_orderkey % 13 = 0, null, 3D + (o_orderkey % 5) * 0.5D) as customer_rating",
     )
 
 
@@ -175,73 +145,59 @@ def job_labor(t: TestTables) -> DataFrame:
     readers that do not use the crew, and line items are then never shuffled by supplier.
     """
     crew_of = (
-        t["supplier"]
-        .join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
-        .groupBy("s_suppkey")
-        .agg(F.min(F.col("n_regionkey") + 1).alias("crew_id"))
+        t.in_nation(t["supplier"], "s_nationkey").groupBy("s_suppkey").agg(F.expr("min(n_regionkey + 1) as crew_id"))
     )
-    hours = F.col("l_quantity") / 10.0
     return (
         t["lineitem"]
-        .join(crew_of, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        .select(
-            F.col("l_orderkey").alias("job_id"),
-            F.col("l_suppkey").alias("employee_id"),
+        .join(crew_of, F.expr("l_suppkey = s_suppkey"), "left")
+        .selectExpr(
+            "l_orderkey as job_id",
+            "l_suppkey as employee_id",
             "crew_id",
-            _day("l_shipdate").alias("work_date"),
-            hours.alias("labor_hours"),
-            (hours * _hourly_rate("l_suppkey")).alias("labor_cost"),
+            "cast(l_shipdate as date) as work_date",
+            "l_quantity / 10D as labor_hours",
+            f"l_quantity / 10D * ({_hourly_rate('l_suppkey')}) as labor_cost",
         )
     )
 
 
 def invoices(t: TestTables) -> DataFrame:
-    key = F.col("o_orderkey")
-    invoiced = F.date_add(_day("o_orderdate"), 10)
-    days = (key % 60).cast("int")
-    return t["orders"].select(
-        key.alias("invoice_id"),
-        key.alias("job_id"),
-        F.col("o_custkey").alias("customer_id"),
-        invoiced.alias("invoice_date"),
-        (F.col("o_totalprice") / 100.0).alias("invoice_amount"),
-        F.when(_won(), "Paid").otherwise("Open").alias("payment_status"),
-        _text_if_won(days).alias("days_to_pay"),
-        _text_if_won(F.date_add(invoiced, days)).alias("paid_date"),
+    days = "cast(o_orderkey % 60 as int)"
+    return t["orders"].selectExpr(
+        "o_orderkey as invoice_id",
+        "o_orderkey as job_id",
+        "o_custkey as customer_id",
+        "date_add(cast(o_orderdate as date), 10) as invoice_date",
+        "o_totalprice / 100D as invoice_amount",
+        "if(o_orderstatus = 'F', 'Paid', 'Open') as payment_status",
+        f"{_if_won(days)} as days_to_pay",
+        f"{_if_won(f'date_add(cast(o_orderdate as date), 10 + {days})')} as paid_date",
     )
 
 
 def weather_daily(t: TestTables) -> DataFrame:
-    return (
-        t["events"]
-        .groupBy(_day("ts").alias("date"), F.col("event_type").alias("city"))
-        .agg(F.avg("value").alias("high_temp_f"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .select(
-            "date",
-            "city",
-            "high_temp_f",
-            (F.col("low") / 100.0).alias("precip_inches"),
-            _flag(F.col("low") < 1.0).alias("rain_flag"),
-            _flag(F.col("high") > 400.0).alias("severe_weather_flag"),
-        )
+    by_day = t["events"].groupBy(F.expr("cast(ts as date) as date"), F.expr("event_type as city"))
+    return by_day.agg(
+        F.expr("avg(value) as high_temp_f"),
+        F.expr("min(value) / 100D as precip_inches"),
+        F.expr("if(min(value) < 1D, 1, 0) as rain_flag"),
+        F.expr("if(max(value) > 400D, 1, 0) as severe_weather_flag"),
     )
 
 
 def _damaged_jobs(t: TestTables) -> DataFrame:
-    job = F.col("job_id")
     damaged = jobs(t).withColumns(
         {
-            "crew_id": F.when(job % 211 == 0, 99).otherwise(F.col("crew_id")),
-            "completed_date": F.when(job % 401 != 0, F.col("completed_date")),
-            "billed_revenue": F.when(job % 301 == 0, -F.col("billed_revenue")).otherwise(F.col("billed_revenue")),
+            "crew_id": F.expr("if(job_id % 211 = 0, 99, crew_id)"),
+            "completed_date": F.expr("if(job_id % 401 = 0, null, completed_date)"),
+            "billed_revenue": F.expr("if(job_id % 301 = 0, -billed_revenue, billed_revenue)"),
         }
     )
-    copies = F.when(job % 500 == 0, 2).otherwise(1)
-    return damaged.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).drop("copy")
+    return damaged.withColumn("copy", F.expr("explode(array_repeat(0, if(job_id % 500 = 0, 2, 1)))")).drop("copy")
 
 
 def _missing_customers(t: TestTables) -> DataFrame:
-    return customers(t).filter(F.col("customer_id") % 97 != 0)
+    return customers(t).filter("customer_id % 97 <> 0")
 
 
 BINDINGS: dict[str, Callable[[TestTables], DataFrame]] = {
