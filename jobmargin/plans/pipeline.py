@@ -2,48 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from jobmargin.operators.economics import economics_of, labor_rollup
 from jobmargin.operators.fact import FACT_COLUMNS, job_fact
 from jobmargin.operators.quality import constraint_report, quality_gate, raise_on_failure
 from jobmargin.operators.staging import Staged
 from jobmargin.plans.scorecards import SCORECARDS, estimate_order, estimate_scorecard
-from jobmargin.sources.writers import ensure_database, export_csv, replace_table, replace_view, write_parquet
+from jobmargin.sources.writers import ensure_database, export_csv, replace_table, replace_view
 
 FACT = "job_fact"
 ESTIMATES = "estimate_scorecard"
+THREADS = 4  # independent tables written at the same time
 
+T = TypeVar("T")
 
-@dataclass
+
+@dataclass(frozen=True)
 class Published:
-    """What a refresh leaves behind: tables by name, read back from storage."""
+    """The fact and the five scorecards, by name."""
 
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: Mapping[str, DataFrame]
 
     @property
     def fact(self) -> DataFrame:
         return self.tables[FACT]
 
 
-def publish(raw: Mapping[str, DataFrame], folder: str) -> Published:
-    """Write the fact, partitioned by month, and from the stored fact the scorecards.
+def display_order(name: str) -> list[Column]:
+    """How a published table is sorted for display; the fact is not."""
+    if name in SCORECARDS:
+        return SCORECARDS[name].order()
+    return estimate_order() if name == ESTIMATES else []
 
-    The joins run once, for the fact; every scorecard is a scan of the few columns it
-    reads. Paths only, no catalog: ``refresh`` adds databases and views.
-    """
-    staged = Staged(raw)
-    fact = write_parquet(job_fact(staged), f"{folder}/{FACT}", partition_by="completed_month")
-    done = Published({FACT: fact})
-    for name, card in SCORECARDS.items():
-        done.tables[name] = write_parquet(card.over(fact), f"{folder}/{name}")
-    done.tables[ESTIMATES] = write_parquet(
-        estimate_scorecard(staged["estimates"], staged["services"]), f"{folder}/{ESTIMATES}"
-    )
-    return done
+
+def _side_by_side(spark: SparkSession, work: Callable[[str], T], names: Iterable[str]) -> dict[str, T]:
+    """Run independent writes from a few driver threads, so that small ones overlap."""
+    names = list(names)
+    with ThreadPoolExecutor(THREADS) as pool:
+        return dict(zip(names, pool.map(inheritable_thread_target(spark)(work), names)))
+
+
+def scorecards_over(fact: DataFrame, staged: Staged) -> dict[str, DataFrame]:
+    """All five scorecards, lazily; given the stored fact each is a scan of the columns it reads."""
+    cards = {name: card.over(fact) for name, card in SCORECARDS.items()}
+    cards[ESTIMATES] = estimate_scorecard(staged["estimates"], staged["services"])
+    return cards
 
 
 def read_published(spark: SparkSession, database: str = "analytics") -> Published:
@@ -62,17 +72,18 @@ def register_views(staged: Staged) -> None:
 def load_raw(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
     """Copy the raw tables into database ``raw``, so that CSV text is parsed only once."""
     ensure_database(spark, "raw", f"{folder}/raw")
-    return {name: replace_table(df, f"raw.{name}", f"{folder}/raw/{name}") for name, df in tables.items()}
+    return _side_by_side(
+        spark, lambda name: replace_table(tables[name], f"raw.{name}", f"{folder}/raw/{name}"), tables
+    )
 
 
 def export(published: Published, folder: str) -> None:
     """One CSV folder per published table; the scorecards in their display order."""
-    for name, df in published.tables.items():
-        if name in SCORECARDS:
-            order = SCORECARDS[name].order()
-        else:
-            order = estimate_order() if name == ESTIMATES else ()
-        export_csv(df, f"{folder}/{name}", order)
+    _side_by_side(
+        published.fact.sparkSession,
+        lambda name: export_csv(published.tables[name], f"{folder}/{name}", display_order(name)),
+        published.tables,
+    )
 
 
 def refresh(
@@ -80,27 +91,26 @@ def refresh(
 ) -> Published:
     """The whole run, repeatable: load, stage, publish, export, then the quality gate.
 
-    The gate comes last, as a verdict on what was published: it raises ``QualityError``
-    with everything already in place for inspection.
+    The joins run once, for the fact; the scorecards are scans of the stored fact. The gate
+    comes last, as a verdict on what was published: it raises ``QualityError`` with
+    everything already in place for inspection.
     """
     staged = Staged(load_raw(spark, tables, folder))
     register_views(staged)
     ensure_database(spark, "analytics", f"{folder}/analytics")
 
-    def table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         return replace_table(df, f"analytics.{name}", f"{folder}/analytics/{name}", partition_by)
 
-    fact = table(job_fact(staged), FACT, "completed_month")
-    published = Published({FACT: fact})
-    for name, card in SCORECARDS.items():
-        published.tables[name] = table(card.over(fact), name)
-    published.tables[ESTIMATES] = table(estimate_scorecard(staged["estimates"], staged["services"]), ESTIMATES)
+    fact = store(job_fact(staged), FACT, "completed_month")
+    cards = scorecards_over(fact, staged)
+    stored = _side_by_side(spark, lambda name: store(cards[name], name), cards)
+    published = Published({FACT: fact, **stored})
     export(published, f"{folder}/exports")
     raise_on_failure(quality_gate(published.fact), show)
     return published
 
 
-def check_constraints(raw: Mapping[str, DataFrame], published: Published) -> DataFrame:
+def check_constraints(staged: Staged, published: Published) -> DataFrame:
     """The key constraints over staged and published tables."""
-    staged = Staged(raw)
     return constraint_report({**{name: staged[name] for name in staged}, **published.tables})

@@ -40,8 +40,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
     """``replace_table`` without a catalog: the folder is the table."""
     schema = df.schema
     if partition_by:
-        df = df.hint("rebalance", partition_by)
-        df.write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path).select(*schema.names)

@@ -15,7 +15,7 @@ SPARSE = "city = 'NATION_1' and service_name = 'PROMO'"
 
 
 def _r(expression: str, name: str) -> str:
-    return f"round({expression}, 6) as {name}"
+    return f"six({expression}) as {name}"
 
 
 def _rounded(columns: str) -> str:
@@ -164,17 +164,17 @@ def _constraint_sql() -> str:
 # -- dashboard --------------------------------------------------------------------------
 
 KPIS = """
-    select round(revenue, 6) as revenue, round(gross_profit, 6) as gross_profit,
-      round(case when revenue = 0 then 0e0 else gross_profit / revenue end, 6) as gross_margin, jobs_completed,
-      round(case when jobs_completed = 0 then 0e0 else revenue / jobs_completed end, 6) as avg_job_value,
-      round(revenue / nullif(hours, 0), 6) as revenue_per_labor_hour
+    select six(revenue) as revenue, six(gross_profit) as gross_profit,
+      six(case when revenue = 0 then 0e0 else gross_profit / revenue end) as gross_margin, jobs_completed,
+      six(case when jobs_completed = 0 then 0e0 else revenue / jobs_completed end) as avg_job_value,
+      six(revenue / nullif(hours, 0)) as revenue_per_labor_hour
     from (select ifnull(sum(billed_revenue), 0e0) as revenue, ifnull(sum(gross_profit), 0e0) as gross_profit,
             count(*) as jobs_completed, ifnull(sum(actual_labor_hours), 0e0) as hours
           from picked where {where})"""
 
 TREND = """
-    select cast(c.month as date) as month, round(ifnull(m.revenue, 0e0), 6) as revenue,
-      round(ifnull(m.gross_profit, 0e0), 6) as gross_profit
+    select cast(c.month as date) as month, six(ifnull(m.revenue, 0e0)) as revenue,
+      six(ifnull(m.gross_profit, 0e0)) as gross_profit
     from (select unnest(generate_series(min(completed_month), max(completed_month), interval 1 month)) as month
           from picked where {where}) c
     left join (select completed_month, sum(billed_revenue) as revenue, sum(gross_profit) as gross_profit
@@ -195,13 +195,13 @@ CREWS = {
 }
 
 INSIGHTS = """
-    (select 'highest_labor_variance' as insight, crew_name as name, round(avg_labor_variance, 6) as value
+    (select 'highest_labor_variance' as insight, crew_name as name, six(avg_labor_variance) as value
      from crew_totals order by avg_labor_variance desc nulls last, crew_name limit 1)
     union all
-    (select 'lowest_revenue_per_hour', crew_name, round(revenue_per_labor_hour, 6)
+    (select 'lowest_revenue_per_hour', crew_name, six(revenue_per_labor_hour)
      from crew_totals order by revenue_per_labor_hour nulls last, crew_name limit 1)
     union all
-    (select 'lowest_service_margin', service_name, round(gross_margin, 6)
+    (select 'lowest_service_margin', service_name, six(gross_margin)
      from service_totals order by gross_margin nulls last, service_name limit 1)"""
 
 # -- story ------------------------------------------------------------------------------
@@ -237,21 +237,21 @@ STORY = {
 
 SCENARIO_GRID = """
     select crew_name, recovery_pct, rework_cut_pct, cast(months as bigint) as months,
-      round(excess_hours, 6) as excess_hours, round(labor_rate, 6) as labor_rate,
-      round(recovered_hours, 6) as recovered_hours, round(period_savings, 6) as period_savings,
-      round(period_savings / months * 12, 6) as annual_savings, avoided_rework, round(gross_margin, 6) as gross_margin,
-      round((gross_profit + period_savings) / nullif(revenue, 0), 6) as modeled_margin,
-      round(((gross_profit + period_savings) / nullif(revenue, 0) - gross_margin) * 100, 6) as margin_gain_points
+      six(excess_hours) as excess_hours, six(labor_rate) as labor_rate,
+      six(recovered_hours) as recovered_hours, six(period_savings) as period_savings,
+      six(period_savings / months * 12) as annual_savings, avoided_rework, six(gross_margin) as gross_margin,
+      six((gross_profit + period_savings) / nullif(revenue, 0)) as modeled_margin,
+      six(((gross_profit + period_savings) / nullif(revenue, 0) - gross_margin) * 100) as margin_gain_points
     from grid"""
 
 SCENARIO_COMPARISON = """
-    select 'Current' as scenario, round(gross_margin, 6) as gross_margin from chosen
-    union all select 'Modeled', round((gross_profit + period_savings) / nullif(revenue, 0), 6) from chosen"""
+    select 'Current' as scenario, six(gross_margin) as gross_margin from chosen
+    union all select 'Modeled', six((gross_profit + period_savings) / nullif(revenue, 0)) from chosen"""
 
 FOCUS_GAPS = """
-    select f.crew_name as focus_crew, round(f.gross_margin, 6) as focus_margin, round(p.margin, 6) as portfolio_margin,
-      round((f.gross_margin - p.margin) * 100, 6) as portfolio_gap_points, b.crew_name as best_crew,
-      round(b.gross_margin, 6) as best_margin, round((b.gross_margin - f.gross_margin) * 100, 6) as best_gap_points,
+    select f.crew_name as focus_crew, six(f.gross_margin) as focus_margin, six(p.margin) as portfolio_margin,
+      six((f.gross_margin - p.margin) * 100) as portfolio_gap_points, b.crew_name as best_crew,
+      six(b.gross_margin) as best_margin, six((b.gross_margin - f.gross_margin) * 100) as best_gap_points,
       printf('%+.1f pts', (f.gross_margin - p.margin) * 100) as portfolio_gap
     from focus f, best b, portfolio p"""
 
@@ -278,8 +278,8 @@ SNAPSHOT = """
 
 
 def _extreme(finding: str, key: str, score: str, direction: str, context: str) -> str:
-    return f"""(select '{finding}' as finding, {key} as subject, round({score}, 6) as value,
-        round(cast({context} as double), 6) as context
+    return f"""(select '{finding}' as finding, {key} as subject, six({score}) as value,
+        six(cast({context} as double)) as context
         from fact where {key} is not null group by {key} order by {score} {direction} nulls last, {key} limit 1)"""
 
 
@@ -293,7 +293,7 @@ FINDINGS = " union all ".join(
         _extreme("highest_margin_service", "service_name", _MARGIN, "desc", "count(*)"),
         _extreme("lowest_margin_service", "service_name", _MARGIN, "asc", "count(*)"),
         _extreme("highest_revenue_city", "city", "sum(billed_revenue)", "desc", "count(*)"),
-        f"select 'portfolio_revenue', 'All jobs', round(sum(billed_revenue), 6), round({_MARGIN}, 6) from fact",
+        f"select 'portfolio_revenue', 'All jobs', six(sum(billed_revenue)), six({_MARGIN}) from fact",
     ]
 )
 
@@ -373,7 +373,7 @@ BODIES: dict[str, str] = {
     "focus_crew": f"""select {_rounded('''crew_name ~avg_labor_variance ~gross_margin ~rework_rate rework_jobs ~revenue
         ~gross_profit ~revenue_per_labor_hour''')} from focus""",
     "focus_gaps": FOCUS_GAPS,
-    "crew_status": """select crew_name, round(gross_margin, 6) as gross_margin,
+    "crew_status": """select crew_name, six(gross_margin) as gross_margin,
         case when crew_name = (select crew_name from focus) then 'Investigate' else 'Other crews' end as status
         from crew_story""",
     "excess_hours": f"""select {_rounded('crew_name ~excess_hours ~rework_rate ~revenue_per_labor_hour ~labor_rate')}
@@ -429,6 +429,27 @@ BODIES: dict[str, str] = {
 
 DIRTY = {"quality_gate_dirty", "constraint_report_dirty"}
 
+
+def _spell_out(sql: str) -> str:
+    """Replace ``six(x)`` by its arithmetic, as one statement cannot define a macro.
+
+    Doubles are compared to six decimals, from a million on to three, since the last bits of
+    a sum depend on its order. Means over 16 or 32 rows often end exactly half way between
+    two such values; the small shift moves the rounding threshold away from there.
+    __spark_entry__ does the same.
+    """
+    while (start := sql.find("six(")) >= 0:
+        end, depth = start + 4, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x = f"({sql[start + 4 : end - 1]})"
+        exact = f"if(abs{x} < 1e6, round({x} * 1e6 + 137e-4) / 1e6, round({x} * 1e3 + 137e-4) / 1e3)"
+        sql = sql[:start] + exact + sql[end:]
+    return sql
+
+
 ORACLES: dict[str, str] = {
-    name: with_tables(body, dirty=name in DIRTY, **CREWS, **STORY, **HEADLINES) for name, body in BODIES.items()
+    name: with_tables(_spell_out(body), dirty=name in DIRTY, **CREWS, **STORY, **HEADLINES)
+    for name, body in BODIES.items()
 }
