@@ -169,6 +169,7 @@ def queries() -> dict[str, Query]:
         "filtered_jobs": _on_picked(lambda picked: picked, "customers", chosen=NARROW),
         "kpi_totals": _on_picked(dashboard.kpi_totals),
         "kpi_totals_narrow": _on_picked(dashboard.kpi_totals, chosen=NARROW),
+        "kpi_cards": _on_picked(dashboard.kpi_cards),
         "monthly_trend_dense": _on_picked(dashboard.monthly_trend),
         "monthly_trend_sparse": _on_picked(dashboard.monthly_trend, chosen=SPARSE),
         "monthly_trend_long": _on_picked(dashboard.monthly_trend_long, chosen=SPARSE),
@@ -195,6 +196,7 @@ def queries() -> dict[str, Query]:
         "excess_hours": _on_story(story.excess_hours),
         "scenario_grid": _on_story(story.scenario_grid),
         "scenario_comparison": _on_story(story.scenario_comparison),
+        "scenario_cards": _on_story(story.scenario_cards),
         # findings
         "kpi_snapshot": _on_fact(findings.kpi_snapshot),
         "findings": _on_fact(findings.findings, "services", "crews"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from jobmargin.functions.formats import money, number, percent
 from jobmargin.functions.ratios import ascending, descending, expressions, highest, lowest, ratio, total
 
 OVERRUN = 0.10  # share of planned hours above which a job counts as over plan
@@ -74,6 +75,25 @@ def kpi_totals(picked: DataFrame) -> DataFrame:
     )
 
 
+def kpi_cards(picked: DataFrame) -> DataFrame:
+    """``card, value``: the KPI totals as display text."""
+    cards = {
+        "Revenue": money("revenue"),
+        "Gross Profit": money("gross_profit"),
+        "Gross Margin": percent("gross_margin"),
+        "Jobs Completed": number("jobs_completed", "#,##0"),
+        "Avg Job Value": money("avg_job_value"),
+        "Revenue / Labor Hr": money("revenue_per_labor_hour"),
+    }
+    return as_cards(kpi_totals(picked), cards)
+
+
+def as_cards(row: DataFrame, cards: dict[str, str]) -> DataFrame:
+    """One row turned into ``card, value`` rows of display text."""
+    texts = ", ".join(f"struct('{card}' as card, {text} as value)" for card, text in cards.items())
+    return row.selectExpr(f"inline(array({texts}))")
+
+
 def monthly_trend(picked: DataFrame) -> DataFrame:
     """``month, revenue, gross_profit`` for every calendar month from first to last job.
 

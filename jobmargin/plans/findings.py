@@ -12,7 +12,7 @@ from jobmargin.functions.formats import number, percent, whole_dollars
 from jobmargin.functions.measures import MEASURES, measures
 from jobmargin.functions.ratios import ascending, descending, expressions, highest, lowest, ratio
 from jobmargin.operators.fact import LOOKUPS, attach
-from jobmargin.plans.dashboard import OVERRUN, pick_rows
+from jobmargin.plans.dashboard import OVERRUN, as_cards, pick_rows
 
 TOP = 15  # rows in the top and bottom lists
 
@@ -37,8 +37,8 @@ SNAPSHOT = (
 def kpi_snapshot(fact: DataFrame) -> DataFrame:
     """``metric, value``: nine headline numbers as display text."""
     sums = fact.agg(*measures(*[measure for _, measure, _ in SNAPSHOT]))
-    rows = [f"struct('{label}' as metric, {show(measure)} as value)" for label, measure, show in SNAPSHOT]
-    return sums.selectExpr(f"inline(array({', '.join(rows)}))")
+    shown = as_cards(sums, {label: show(measure) for label, measure, show in SNAPSHOT})
+    return shown.withColumnRenamed("card", "metric")
 
 
 def findings(fact: DataFrame) -> DataFrame:

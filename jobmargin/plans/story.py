@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from jobmargin.functions.formats import points
+from jobmargin.functions.formats import money, number, percent, points
 from jobmargin.functions.ratios import ascending, expressions, highest, ratio, total
+from jobmargin.plans.dashboard import as_cards
 from jobmargin.session import shared_root
 
 # Slider ranges of the what-if model, in percent: first, last, step, default.
@@ -182,3 +183,15 @@ def scenario_comparison(months: DataFrame) -> DataFrame:
     """``scenario, gross_margin``: the focus crew today and at the default settings."""
     modeled = scenario_at(months).selectExpr("gross_margin as Current", "modeled_margin as Modeled")
     return modeled.unpivot([], ["Current", "Modeled"], "scenario", "gross_margin")
+
+
+def scenario_cards(months: DataFrame) -> DataFrame:
+    """``card, value``: the focus crew's outcome at the default settings, as display text."""
+    cards = {
+        "Hours recovered": number("recovered_hours", "#,##0"),
+        "Annualized profit impact": money("annual_savings"),
+        "Modeled crew margin": percent("modeled_margin"),
+        "Margin change": f"{number('margin_gain_points', '0.0')} || ' pts'",
+        "Rework jobs avoided": number("avoided_rework", "#,##0"),
+    }
+    return as_cards(scenario_at(months), cards)

@@ -172,6 +172,29 @@ KPIS = """
             count(*) as jobs_completed, ifnull(sum(actual_labor_hours), 0e0) as hours
           from picked where {where})"""
 
+
+
+def _money(x: str) -> str:
+    return f"""'$' || case when abs({x}) >= 1e6 then format('{{:,.2f}}', {x} / 1e6) || 'M'
+        when abs({x}) >= 1e3 then format('{{:,.0f}}', {x} / 1e3) || 'K' else format('{{:,.0f}}', {x}) end"""
+
+
+CARDS = f"""
+    select 'Revenue' as card, {_money('revenue')} as value from kpis
+    union all select 'Gross Profit', {_money('gross_profit')} from kpis
+    union all select 'Gross Margin', printf('%.1f%%', gross_margin * 100) from kpis
+    union all select 'Jobs Completed', format('{{:,}}', jobs_completed) from kpis
+    union all select 'Avg Job Value', {_money('avg_job_value')} from kpis
+    union all select 'Revenue / Labor Hr', {_money('revenue_per_labor_hour')} from kpis"""
+
+SCENARIO_CARDS = f"""
+    select 'Hours recovered' as card, format('{{:,.0f}}', recovered_hours) as value from chosen
+    union all select 'Annualized profit impact', {_money('(period_savings / months * 12)')} from chosen
+    union all select 'Modeled crew margin', printf('%.1f%%', (gross_profit + period_savings) / revenue * 100) from chosen
+    union all select 'Margin change',
+      printf('%.1f pts', ((gross_profit + period_savings) / revenue - gross_margin) * 100) from chosen
+    union all select 'Rework jobs avoided', format('{{:,}}', avoided_rework) from chosen"""
+
 TREND = """
     select cast(c.month as date) as month, six(ifnull(m.revenue, 0e0)) as revenue,
       six(ifnull(m.gross_profit, 0e0)) as gross_profit
@@ -258,6 +281,12 @@ FOCUS_GAPS = """
 # -- findings ---------------------------------------------------------------------------
 
 HEADLINES = {
+    "kpis": """
+        select sum(billed_revenue) as revenue, sum(gross_profit) as gross_profit, count(*) as jobs_completed,
+          sum(gross_profit) / nullif(sum(billed_revenue), 0) as gross_margin,
+          sum(billed_revenue) / count(*) as avg_job_value,
+          sum(billed_revenue) / nullif(sum(actual_labor_hours), 0) as revenue_per_labor_hour
+        from picked""",
     "s": """
         select count(*) as jobs, sum(billed_revenue) as revenue, sum(gross_profit) as profit,
           avg(billed_revenue) as job_value, avg(labor_variance_pct) as variance, avg(rework_flag) as rework,
@@ -342,6 +371,7 @@ BODIES: dict[str, str] = {
     "filtered_jobs": f"select {_rounded(FACT_COLUMNS)} from fact where {NARROW}",
     "kpi_totals": KPIS.format(where="true"),
     "kpi_totals_narrow": KPIS.format(where=NARROW),
+    "kpi_cards": CARDS,
     "monthly_trend_dense": TREND.format(where="true"),
     "monthly_trend_sparse": TREND.format(where=SPARSE),
     "monthly_trend_long": f"""
@@ -380,6 +410,7 @@ BODIES: dict[str, str] = {
         from focus""",
     "scenario_grid": SCENARIO_GRID,
     "scenario_comparison": SCENARIO_COMPARISON,
+    "scenario_cards": SCENARIO_CARDS,
     # findings
     "kpi_snapshot": SNAPSHOT,
     "findings": FINDINGS,

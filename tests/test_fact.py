@@ -1,5 +1,6 @@
 import pytest
 
+from jobmargin.functions.measures import MEASURES, measures
 from jobmargin.operators.economics import economics_of
 from jobmargin.operators.fact import FACT_COLUMNS, LOOKUPS, job_fact
 from jobmargin.operators.quality import QualityError, constraint_report, quality_gate, raise_on_failure
@@ -143,6 +144,21 @@ def test_constraint_report(spark):
     assert report["estimates", "estimate_id", "unique"] == 0
 
 
+def test_measures_follow_their_definitions(spark):
+    """Revenue 100 and 300, labor 30 and 0, material 12 each, hours 3 of 2 planned, then 1 of 2."""
+    jobs = [{}, {"job_id": "2", "billed_revenue": "300", "actual_labor_hours": "1", "rework_flag": "1", "customer_rating": "3.5"}]
+    staged = _staged(spark, jobs=jobs)
+    names = [n for n in MEASURES if not n.startswith(("estimate", "win", "quoted", "avg_estimate"))]
+    row = job_fact(staged).agg(*measures(*names)).first().asDict()
+    assert row == {
+        "jobs_completed": 2, "active_customers": 1, "customers_served": 1, "revenue": 400.0, "labor_cost": 30.0,
+        "material_cost": 24.0, "gross_profit": 346.0, "gross_margin_pct": 346 / 400, "avg_job_value": 200.0,
+        "actual_labor_hours": 4.0, "revenue_per_labor_hour": 100.0, "labor_variance_hours": 0.0,
+        "avg_labor_variance_pct": 0.0, "material_variance": 4.0, "avg_material_variance_pct": 0.2,
+        "rework_rate": 0.5, "weather_delay_rate": 0.0, "avg_travel_minutes": 15.0, "avg_customer_rating": 4.0,
+    }
+
+
 def test_economics_keeps_job_columns(spark):
     staged = _staged(spark)
     assert set(staged["jobs"].columns) < set(economics_of(staged).columns)

@@ -20,6 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables n
 EAGER = {
     "csv_estimates", "csv_jobs", "csv_invoices", "published_months", "constraint_report", "constraint_report_dirty",
     "crew_summary", "focus_crew", "focus_gaps", "crew_status", "excess_hours", "scenario_grid", "scenario_comparison",
+    "scenario_cards",
 }
 
 
