@@ -122,6 +122,14 @@ def _through_csv(table: str) -> Query:
     return run
 
 
+def _exported_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The city scorecard as its CSV export delivers it."""
+    card = scorecard("city_scorecard", Staged(bind(spark, sf_dir)))
+    path = f"{run_folder(spark, 'export')}/city_scorecard"
+    export_csv(card, path, pipeline.display_order("city_scorecard"))
+    return _comparable(spark.read.schema(card.schema).option("header", True).csv(path))
+
+
 def _published_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selection over the stored, month-partitioned fact."""
     fact = job_fact(Staged(bind(spark, sf_dir)))
@@ -150,6 +158,7 @@ def queries() -> dict[str, Query]:
         "csv_estimates": _through_csv("estimates"),
         "csv_jobs": _through_csv("jobs"),
         "csv_invoices": _through_csv("invoices"),
+        "exported_cities": _exported_cities,
         "published_months": _published_months,
         # job economics and the fact
         "labor_rollup": _on_staged(lambda s: labor_rollup(s["job_labor"])),
@@ -202,9 +211,7 @@ def queries() -> dict[str, Query]:
         "findings": _on_fact(findings.findings, "services", "crews"),
         "billing_type_split": _on_fact(findings.billing_type_split, "services"),
         "material_plan_vs_actual": _on_fact(findings.material_plan_vs_actual, "services"),
-        "bottom_jobs": _on_staged(
-            lambda s: findings.bottom_jobs(economics_of(s), s["customers"], s["services"], s["crews"])
-        ),
+        "bottom_jobs": _on_staged(lambda s: findings.bottom_jobs(economics_of(s), s)),
         "win_rate_by_channel": _on_staged(lambda s: findings.win_rate_by_channel(s["estimates"], s["customers"])),
         "quoted_by_month": _on_staged(lambda s: findings.quoted_by_month(s["estimates"])),
         "quoted_by_status": _on_staged(lambda s: findings.quoted_by_status(s["estimates"])),

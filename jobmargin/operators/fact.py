@@ -22,6 +22,7 @@ def _same(*names: str) -> dict[str, str]:
     return {n: n for n in names}
 
 
+# Column names of the fact are fixed values.
 LOOKUPS: dict[str, Lookup] = {
     "customers": Lookup(
         "customer_id",

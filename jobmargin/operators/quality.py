@@ -14,7 +14,7 @@ class QualityError(RuntimeError):
     """At least one quality rule failed."""
 
 
-# Violations per gate check, as aggregates over the fact.
+# Violations per gate check, as aggregates over the fact. The check names are fixed values.
 GATE = {
     "job_id_unique": "count(1) - count(distinct job_id)",
     "job_id_not_null": "count(1) - count(job_id)",

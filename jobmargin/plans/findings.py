@@ -6,6 +6,8 @@ jobs whose dimension row is missing, as the scorecards do.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from jobmargin.functions.formats import number, percent, whole_dollars
@@ -13,14 +15,14 @@ from jobmargin.functions.measures import MEASURES, measures
 from jobmargin.functions.ratios import ascending, descending, expressions, highest, lowest, ratio
 from jobmargin.operators.fact import LOOKUPS, attach
 from jobmargin.plans.dashboard import OVERRUN, as_cards, pick_rows
+from jobmargin.session import shared_root
 
 TOP = 15  # rows in the top and bottom lists
 
 # Upper edges of the quote-size bands, in dollars.
 QUOTE_EDGES = (500, 1000, 2500, 4000)
 
-
-# Headline numbers: label, measure, display format.
+# Headline numbers: label (a fixed value), measure, display format.
 SNAPSHOT = (
     ("Jobs completed", "jobs_completed", lambda v: number(v, "#,##0")),
     ("Revenue", "revenue", whole_dollars),
@@ -77,12 +79,18 @@ def findings(fact: DataFrame) -> DataFrame:
 # -- jobs -------------------------------------------------------------------------------
 
 
-def bottom_jobs(economics: DataFrame, customers: DataFrame, services: DataFrame, crews: DataFrame) -> DataFrame:
-    """The least profitable jobs. The list is cut first, so only its rows meet the lookups."""
+def bottom_jobs(economics: DataFrame, dimensions: Mapping[str, DataFrame]) -> DataFrame:
+    """The least profitable jobs, with their names from ``dimensions`` (the staged tables).
+
+    The list is cut and checkpointed first; each dimension is then reduced, in its own scan,
+    to the keys on the list, so neither jobs nor customers are shuffled for the lookups.
+    """
+    shared_root(economics.sparkSession)
     order = ascending("gross_profit", "job_id")
-    jobs = economics.orderBy(*order).limit(TOP)
-    for name, dimension in {"customers": customers, "services": services, "crews": crews}.items():
-        jobs = attach(jobs, dimension, LOOKUPS[name])
+    jobs = listed = economics.orderBy(*order).limit(TOP).checkpoint()
+    for name, lookup in LOOKUPS.items():
+        needed = dimensions[name].join(listed.select(lookup.key), lookup.key, "left_semi")
+        jobs = attach(jobs, needed, lookup)
     return jobs.select(
         "job_id", "completed_date", "customer_name", "service_name", "crew_name", "city", "billed_revenue",
         "gross_profit", "gross_margin_pct",

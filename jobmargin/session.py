@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -40,20 +39,19 @@ def local_session(app: str, cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting, such as a bare local test, gets a folder of
-    its own.
+    Only a local session without that setting, such as a bare test, gets a folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="jobmargin-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
     return root
 
 
 def run_folder(spark: SparkSession, label: str) -> str:
     """A fresh, not yet existing path under the shared folder."""
-    return os.path.join(shared_root(spark), "jobmargin", f"{label}-{uuid.uuid4().hex}")
+    return f"{shared_root(spark)}/jobmargin/{label}-{uuid.uuid4().hex}"

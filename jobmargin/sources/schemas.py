@@ -28,6 +28,7 @@ def _fields(declaration: str) -> tuple[Field, ...]:
     return tuple(Field(*item.split(":")) for item in declaration.split())
 
 
+# Table and column names are fixed values: the files to be read carry them.
 RAW_TABLES: dict[str, tuple[Field, ...]] = {
     "customers": _fields(
         "customer_id:key customer_name:text customer_type:text city:text zip_code:text signup_date:date "

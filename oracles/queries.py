@@ -350,6 +350,7 @@ BODIES: dict[str, str] = {
     "csv_estimates": f"select {_rounded(ESTIMATE_COLUMNS)} from estimates_t",
     "csv_jobs": f"select {_rounded(JOB_COLUMNS)} from jobs_t",
     "csv_invoices": f"select {_rounded(INVOICE_COLUMNS)} from invoices_t",
+    "exported_cities": SCORECARDS["city_scorecard"],
     "published_months": f"select {_rounded(FACT_COLUMNS)} from fact where {NARROW}",
     # job economics and the fact
     "labor_rollup": f"select {_rounded('job_id ~labor_hours_from_detail ~labor_cost')} from labor_sums",

@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 
 from jobmargin.functions import formats
+from jobmargin.operators.economics import economics_of
 from jobmargin.operators.fact import job_fact
 from jobmargin.operators.filters import JobFilter, NoMatchingJobs, require_jobs
 from jobmargin.operators.staging import Staged
@@ -205,10 +206,15 @@ def test_percent_and_points(spark):
 
 def test_bottom_jobs_ties_and_order(spark):
     staged = Staged(raw_tables(spark, jobs=[{"job_id": str(i)} for i in range(30, 0, -1)], job_labor=[{"job_id": "0"}]))
-    from jobmargin.operators.economics import economics_of
+    rows = findings.bottom_jobs(economics_of(staged), staged).collect()
+    assert [r["job_id"] for r in rows] == list(range(1, 16))
+    assert {(r["customer_name"], r["service_name"], r["crew_name"]) for r in rows} == {("Ada", "Mowing", "North")}
 
-    rows = findings.bottom_jobs(economics_of(staged), staged["customers"], staged["services"], staged["crews"])
-    assert [r["job_id"] for r in rows.collect()] == list(range(1, 16))
+
+def test_bottom_jobs_keep_jobs_of_unknown_customers(spark):
+    staged = Staged(raw_tables(spark, jobs=[{"customer_id": "9"}, {"job_id": "2"}]))
+    rows = findings.bottom_jobs(economics_of(staged), staged).collect()
+    assert [(r["job_id"], r["customer_name"]) for r in rows] == [(1, None), (2, "Ada")]
 
 
 def test_size_bands_exclude_their_upper_edge(spark):

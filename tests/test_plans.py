@@ -18,7 +18,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables n
 
 # These run jobs while they are built (writes, checkpoints); their final plan is a scan.
 EAGER = {
-    "csv_estimates", "csv_jobs", "csv_invoices", "published_months", "constraint_report", "constraint_report_dirty",
+    "csv_estimates", "csv_jobs", "csv_invoices", "exported_cities", "published_months", "bottom_jobs",
+    "constraint_report", "constraint_report_dirty",
     "crew_summary", "focus_crew", "focus_gaps", "crew_status", "excess_hours", "scenario_grid", "scenario_comparison",
     "scenario_cards",
 }
