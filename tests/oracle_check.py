@@ -7,7 +7,6 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
 
 import __spark_entry__ as contract
 
@@ -28,15 +27,6 @@ def connect(sf_dir):
     return con
 
 
-def _rows(frame, columns):
-    frame = frame[columns].astype(object).where(frame[columns].notna(), None)
-    return sorted((tuple(r) for r in frame.itertuples(index=False)), key=repr)
-
-
-def _plain(value):
-    return value.date() if isinstance(value, pd.Timestamp) else value
-
-
 def differences(spark, con, sf_dir, name):
     """Human-readable differences; empty when query and SQL agree."""
     query = contract.queries()[name](spark, sf_dir)
