@@ -29,6 +29,13 @@ from jobmargin.sources.sample_binding import bind, bind_dirty  # noqa: E402
 from jobmargin.sources.writers import export_csv, write_parquet  # noqa: E402
 from oracles.queries import ORACLES  # noqa: E402
 
+try:
+    from jobmargin.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    if missing.name not in ("jobmargin.llm", "corpus_pipeline"):
+        raise
+    corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -144,6 +151,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        **(corpus.QUERIES if corpus else {}),
         # staging
         "stage_customers": _staging("customers"),
         "stage_services": _staging("services"),
@@ -231,4 +239,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **(corpus.ORACLES if corpus else {})}
