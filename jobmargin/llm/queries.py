@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from jobmargin.llm import decontaminate, mixing, quality_rules, sharding, simhash
+from jobmargin.llm import (
+    chat_format,
+    decontaminate,
+    language,
+    line_dedup,
+    mixing,
+    quality_rules,
+    sharding,
+    simhash,
+    token_records,
+    toxicity,
+)
 from jobmargin.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,17 +34,83 @@ def _source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.source_mixing(docs, mixing.language_labels(spark, docs, sf_dir))
 
 
+def _on_two(operator: Callable[[DataFrame, DataFrame], DataFrame], table: str) -> Query:
+    return lambda spark, sf_dir: operator(read(spark, sf_dir, "documents"), read(spark, sf_dir, table))
+
+
+def _token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.token_records(read(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_dedup": _on_documents(simhash.simhash_dedup),
+    "op2_toxicity": _on_two(toxicity.toxicity, "labels"),
+    "op3_token_records": _token_records,
+    "op4_language_id": _on_documents(language.language_id),
     "op5_quality_rules": _on_documents(quality_rules.quality_rules),
+    "op6_chat_format": lambda spark, sf_dir: chat_format.chat_format(read(spark, sf_dir, "conversations")),
+    "op7_line_dedup": _on_documents(line_dedup.line_dedup),
     "op8_source_mixing": _source_mixing,
     "op9_sharding": _on_documents(sharding.sharding),
-    "op10_decontamination": lambda spark, sf_dir: decontaminate.decontamination(
-        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    ),
+    "op10_decontamination": _on_two(decontaminate.decontamination, "benchmark"),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+QUALITY_SQL = r"""
+with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+split as (
+  select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), w -> w <> '') as words,
+    list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) as lines,
+    length(regexp_replace(t, '\P{L}+', '', 'g')) as letters, length(regexp_replace(t, '\P{Lu}+', '', 'g')) as capitals
+  from texts),
+windows as (select r, words, unnest(range(1, len(words) - 1)) as i from split where len(words) >= 3),
+repeated as (
+  select r, i from (
+    select r, i, count(*) over (partition by r, words[i], words[i + 1], words[i + 2]) as n from windows) where n > 1),
+covered as (
+  select r, count(distinct place) as n_repeat_words
+  from (select r, unnest([i, i + 1, i + 2]) as place from repeated) group by r),
+counted as (
+  select split.*, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words
+  from split left join covered using (r)),
+judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    capitals > 0.4 * letters or letters < 0.5 * word_chars
+      or len(list_filter(words, w -> not regexp_matches(w, '\p{L}'))) > 0.3 * n_words
+      or len(regexp_extract_all(t, '[!?]{2,}')) > 0.2 * n_words
+      or word_chars not between 2 * n_words and 15 * n_words
+      or n_symbols > 0.1 * n_words or n_dup_lines > 0.5 * len(lines) as rule_failed
+  from counted)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+  n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not base_failed and not rule_failed as kept
+from judged
+"""
+
+CHAT_SQL = r"""
+with turns as (
+  select conv_id, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as position
+  from conversations where conv_id is not null),
+prefixes as (
+  select conv_id, position, count(*) over (partition by conv_id) as n_turns,
+    string_agg(length(role) || ':' || length(text) || ':' || role || text, '') over
+      (partition by conv_id order by position) as prefix
+  from turns),
+logs as (
+  select min(conv_id) as conv_id, position, prefix, count(*) as n_logged
+  from prefixes where position = n_turns group by position, prefix),
+kept as (
+  select * from logs where (position, prefix) not in (select (position, prefix) from prefixes where position < n_turns))
+select conv_id, any_value(kept.position)::bigint as n_turns, any_value(n_logged)::bigint as n_logged,
+  string_agg('<|im_start|>' || regexp_replace(role, '<\|im_(start|end)\|>', '<| im_\1 |>', 'g') || chr(10)
+    || regexp_replace(text, '<\|im_(start|end)\|>', '<| im_\1 |>', 'g') || '<|im_end|>' || chr(10), '' order by turns.position) as chat
+from kept join turns using (conv_id) group by conv_id
+"""
+
+# The other operators hash, learn, encode or pack beyond SQL; tests/llm checks them against plain Python.
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op6_chat_format": CHAT_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
