@@ -18,10 +18,13 @@ text; long texts are encoded in pieces between blanks; an empty table gives no f
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,15 @@ END_ID = 2
 FILE_BYTES = 128 << 20
 RECORDS_AT_ONCE = 2048
 WORDS_AT_ONCE = 1 << 16
-REMEMBERED = 200_000  # words whose ids a task keeps at hand
+ENCODED_AT_ONCE = 1000
+REMEMBERED = 600_000  # words whose ids a Python worker keeps at hand
+# Stretches of ASCII signs but the apostrophe, and of letters that are one character each, in either case.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e!-&(-/:;=-@\\[-`{-~]+")
+RUNS = re.compile("[a-z\u00df-\u00f6\u00f8-\u017e]+|[^a-z\u00df-\u00f6\u00f8-\u017e]+")
+SIGN = re.compile(rb"[!-@\[-`{-~]")
+# Byte-level vocabularies show bytes without a printable form of their own as the characters from 256 on.
+UNPRINTABLE = [*range(33), *range(127, 161), 173]
+SHOWN = {byte: 256 + i for i, byte in enumerate(UNPRINTABLE)}
 # Fixed value: what is added to a rotated checksum.
 MASK = 0xA282EAD8
 FRAME, HEAD = struct.Struct("<QI"), struct.Struct("<qHH")
@@ -56,30 +67,63 @@ def masked_crc(data: bytes) -> int:
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer never joins characters across ASCII blanks, so each stretch
-    between blanks is encoded once and remembered."""
+    """Ids of whole texts as bytes. The tokenizer never joins characters across ASCII blanks, so each stretch between blanks
+    is encoded once and remembered.
 
-    def __init__(self, tokenizer_path: str) -> None:
+    ``by_letters`` holds for tokenizers that lower-case and keep runs of letters and runs of other signs apart: there a
+    stretch of Latin letters and ASCII signs is put together from its runs, each of which goes to the tokenizer's model or the
+    tokenizer once. Stretches with digits, apostrophes or other characters always go to the tokenizer as they are.
+    """
+
+    def __init__(self, tokenizer_path: str, by_letters: bool = True) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
+        self._by_letters = by_letters
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._known: dict[bytes, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         words = text.encode().split()
-        return b"".join(self._piece(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE))
+        return b"".join([self._piece(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)])
 
     def _piece(self, words: list[bytes]) -> bytes:
         known = self._known
         new = {word for word in words if word not in known}
         if new:
-            if len(known) + len(new) > REMEMBERED:
+            if len(known) + 2 * len(new) > REMEMBERED:
                 known.clear()
                 new = set(words)
-            new = list(new)
-            encoded = self._tokenizer.encode_batch([word.decode() for word in new], add_special_tokens=False)
-            known.update((word, np.array(e.ids, f"<u{self.width}").tobytes()) for word, e in zip(new, encoded))
+            runs = {}
+            for word in new if self._by_letters else ():
+                stretch = word.decode()
+                if PLAIN.fullmatch(stretch):
+                    runs[word] = [run.encode() for run in RUNS.findall(stretch.lower())]
+            signs = {run for parts in runs.values() for run in parts if SIGN.match(run)}
+            self._learn([word for word in new | signs if word not in runs and word not in known])
+            for word, parts in runs.items():
+                known[word] = b"".join([known.get(run) or self._letters(run) for run in parts])
         return b"".join([known[word] for word in words])
 
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), ENCODED_AT_ONCE):
+            part = words[at : at + ENCODED_AT_ONCE]
+            encoded = self._tokenizer.encode_batch_fast([word.decode() for word in part], add_special_tokens=False)
+            self._known.update((word, self._bytes(e.ids)) for word, e in zip(part, encoded))
+
+    def _letters(self, run: bytes) -> bytes:
+        ids = self._bytes([token.id for token in self._tokenizer.model.tokenize(run.decode("latin-1").translate(SHOWN))])
+        self._known[run] = ids
+        return ids
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+
+@cache
+def _encoder(tokenizer_path: str) -> Encoder:
+    """One per Python worker, so that tasks after the first start with its words."""
+    return Encoder(tokenizer_path)
+
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     system, path = fs.FileSystem.from_uri(folder)
@@ -125,7 +169,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """Writes record files into ``folder``; the stored manifest (part, seq, file, records, ids) in id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
         files = _Files(folder, TaskContext.get().partitionId(), encoder.width)
         for batch in batches:
