@@ -59,8 +59,8 @@ QUERIES: dict[str, Query] = {
 QUALITY_SQL = r"""
 with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 split as (
-  select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), w -> w <> '') as words,
-    list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) as lines,
+  select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines,
     length(regexp_replace(t, '\P{L}+', '', 'g')) as letters, length(regexp_replace(t, '\P{Lu}+', '', 'g')) as capitals
   from texts),
 windows as (select r, words, unnest(range(1, len(words) - 1)) as i from split where len(words) >= 3),
@@ -78,7 +78,7 @@ counted as (
 judged as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
     capitals > 0.4 * letters or letters < 0.5 * word_chars
-      or len(list_filter(words, w -> not regexp_matches(w, '\p{L}'))) > 0.3 * n_words
+      or len(list_filter(words, lambda w: not regexp_matches(w, '\p{L}'))) > 0.3 * n_words
       or len(regexp_extract_all(t, '[!?]{2,}')) > 0.2 * n_words
       or word_chars not between 2 * n_words and 15 * n_words
       or n_symbols > 0.1 * n_words or n_dup_lines > 0.5 * len(lines) as rule_failed
