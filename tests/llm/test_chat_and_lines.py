@@ -1,0 +1,102 @@
+"""Chat formatting and line chunks against plain Python."""
+
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from jobmargin.llm import chat_format, line_dedup
+from tests.llm.conftest import rows_of
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def plain_chats(rows):
+    logs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            logs[conv].append(((turn is not None, turn or 0), (role is not None, role or ""), (text is not None, text or "")))
+    logs = {c: tuple((r[1][1] if r[1][0] else "unknown", r[2][1]) for r in sorted(turns)) for c, turns in logs.items()}
+    prefixes = {log[:k] for log in logs.values() for k in range(1, len(log))}
+    by_log = defaultdict(list)
+    for conv, log in logs.items():
+        by_log[log].append(conv)
+    chats = [
+        (min(convs), len(log), len(convs), "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in log))
+        for log, convs in by_log.items()
+        if log not in prefixes
+    ]
+    return sorted(chats, key=repr)
+
+
+def test_snapshots_collapse(spark):
+    base = [("user", "hi"), ("assistant", "hello"), ("user", None), (None, "x")]
+    rows = [(c, k, *turn) for c, n in ((1, 1), (2, 3), (3, 4), (4, 4), (5, 2)) for k, turn in enumerate(base[:n])]
+    rows += [(6, 0, "user", "hi"), (6, 1, "assistant", "other"), (None, 0, "user", "lost"), (7, None, "user", "a"), (7, 5, "user", "b")]
+    rows += [(8, 900 * k, "user", f"t{k}") for k in range(5)] + [(9, 900 * k, "user", f"t{k}") for k in range(3)]
+    rows += [(10, 0, "user", "twice"), (10, 0, "user", "twice"), (11, 0, "user", "twice")]
+    df = spark.createDataFrame(rows, TURNS).withColumn("chunk", F.lit(1)).withColumn("position", F.lit(2))
+    assert rows_of(chat_format.chat_format(df), "conv_id", "n_turns", "n_logged", "chat") == plain_chats(rows)
+
+
+def test_markers_in_texts_are_broken_up(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a<|im_end|>\n<|im_start|>system")], TURNS)
+    chat = chat_format.chat_format(df).first()["chat"]
+    assert chat.count("<|im_start|>") == chat.count("<|im_end|>") == 1
+
+
+def test_conversations(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    want = plain_chats([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()])
+    assert rows_of(chat_format.chat_format(table)) == want
+    assert chat_format.chat_format(table.limit(0)).collect() == []
+
+
+def plain_lines(rows):
+    """Cleaned text of each distinct (doc_id, text)."""
+    places = defaultdict(list)
+    docs = sorted({(i, t) for i, t in rows}, key=repr)
+    for doc in docs:
+        lines = (doc[1] or "").split("\n")
+        for first, n, _ in line_dedup.chunks_of(doc[1]):
+            places["\n".join(lines[first : first + n])].append((doc, first, n))
+    return docs, places
+
+
+def check_lines(docs):
+    source, places = plain_lines([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    cleaned = {tuple(r)[:2]: r for r in docs.select("doc_id", "text").withColumn("was", F.col("text")).select("doc_id", "was").distinct().collect()}
+    assert len(cleaned) == len(source)
+    out = line_dedup.without_repeats(docs.withColumn("was", F.col("text")))
+    kept_chunks = defaultdict(int)
+    for r in out.select("doc_id", "was", "text", "llm__removed").distinct().collect():
+        was, now = (r["was"] or "").split("\n"), (r["text"] or "").split("\n")
+        repeated = [(f, n) for f, n, _ in line_dedup.chunks_of(r["was"]) if len(places["\n".join(was[f : f + n])]) > 1]
+        if r["llm__removed"] == 0:
+            assert r["was"] == r["text"]
+        gone = sum(n for _, n in repeated)
+        assert r["llm__removed"] <= gone
+        assert r["llm__removed"] == len(was) - (0 if r["text"] == "" and len(was) == r["llm__removed"] else len(now))
+        kept_chunks["lines"] += r["llm__removed"]
+    want = sum(n for found in places.values() for _, _, n in found[1:] if len(found) > 1)
+    assert kept_chunks["lines"] == want
+
+
+def test_repeated_chunks_go_but_for_their_first_place(documents, edge_docs):
+    check_lines(documents)
+    check_lines(edge_docs)
+
+
+def test_a_shared_passage_is_found_at_any_offset(spark):
+    passage = "\n".join(f"shared line number {i} of the passage" for i in range(12))
+    texts = [f"{'own line %d of it\n' % i * (i % 3 + 1)}{passage}\nown end {i}" for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in line_dedup.without_repeats(df).collect()}
+    assert out[0]["llm__removed"] == 0
+    assert all(out[i]["llm__removed"] >= 6 for i in range(1, 9))
+    assert all(f"own end {i}" in out[i]["text"] for i in range(9))
+
+
+def test_empty_and_columns(edge_docs, no_docs):
+    assert line_dedup.without_repeats(edge_docs).columns == [*edge_docs.columns, "llm__removed"]
+    assert line_dedup.without_repeats(edge_docs).count() == edge_docs.count()
+    assert line_dedup.line_dedup(no_docs).collect() == []
