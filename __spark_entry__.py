@@ -26,6 +26,7 @@ from jobmargin.plans.scorecards import SCORECARDS, estimate_order, estimate_scor
 from jobmargin.session import run_folder  # noqa: E402
 from jobmargin.sources.readers import read_csv_table  # noqa: E402
 from jobmargin.sources.sample_binding import bind, bind_dirty  # noqa: E402
+from jobmargin.sources.schemas import RAW_TABLES  # noqa: E402
 from jobmargin.sources.writers import export_csv, write_parquet  # noqa: E402
 from oracles.queries import ORACLES  # noqa: E402
 
@@ -163,9 +164,7 @@ def queries() -> dict[str, Query]:
         "stage_invoices": _staging("invoices"),
         "stage_weather": _staging("weather_daily"),
         # sources and sinks
-        "csv_estimates": _through_csv("estimates"),
-        "csv_jobs": _through_csv("jobs"),
-        "csv_invoices": _through_csv("invoices"),
+        **{f"csv_{table.removesuffix('_daily')}": _through_csv(table) for table in RAW_TABLES},
         "exported_cities": _exported_cities,
         "published_months": _published_months,
         # job economics and the fact
@@ -189,7 +188,7 @@ def queries() -> dict[str, Query]:
         "kpi_cards": _on_picked(dashboard.kpi_cards),
         "monthly_trend_dense": _on_picked(dashboard.monthly_trend),
         "monthly_trend_sparse": _on_picked(dashboard.monthly_trend, chosen=SPARSE),
-        "monthly_trend_long": _on_picked(dashboard.monthly_trend_long, chosen=SPARSE),
+        "monthly_trend_long": _on_picked(dashboard.monthly_trend_long),
         "revenue_by_service": _on_picked(lambda p: dashboard.revenue_by(p, "service_name")),
         "margin_by_service": _on_picked(dashboard.margin_by_service),
         "revenue_by_city": _on_picked(lambda p: dashboard.revenue_by(p, "city")),

@@ -1,29 +1,46 @@
 """Text to typed columns, as SQL expressions.
 
-Required casts raise on bad text (ANSI mode); optional ones turn blank or malformed text
-into NULL.
+The whole text must have the shape of the type. Required casts raise on any other text, whatever
+``spark.sql.ansi.enabled`` says; optional ones turn blank or malformed text into NULL. NULL stays NULL.
 """
 
 from __future__ import annotations
 
-REQUIRED_TYPES = {"key": "bigint", "int": "int", "double": "double", "date": "date"}
+NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# Date, then nothing or a time of day with an optional zone.
+DATE = (
+    r"^[0-9]{4,}-[0-9]{1,2}-[0-9]{1,2}"
+    r"([T ][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}([.][0-9]+)?)?(Z|[+-][0-9]{1,2}(:?[0-9]{2})?)?)?$"
+)
 
-# Spark also reads '2025' and '2025-01' as dates; a usable date names all three parts.
-FULL_DATE = r"^\\s*\\d{4,}-\\d{1,2}-\\d{1,2}(\\D|$)"
+
+def _text(column: str) -> str:
+    # Blanks, the common case, must not reach the casts: each failed parse costs an exception.
+    return f"nullif(trim(cast({column} as string)), '')"
 
 
 def optional_whole(column: str, target: str) -> str:
-    """Whole number or NULL; '12.0' reads as 12 and '12.5' as 13."""
-    # Blanks, the common case, must not reach the casts: each failed parse costs an exception.
-    text = f"nullif(trim(cast({column} as string)), '')"
-    # The direct attempt comes first and keeps ids beyond 2**53 exact.
-    return f"coalesce(try_cast({text} as {target}), try_cast(round(try_cast({text} as double)) as {target}))"
+    """Whole number or NULL; '12.0' reads as 12 and '12.5' as 13. Decimals keep ids beyond 2**53 exact."""
+    text = _text(column)
+    return f"case when {text} rlike '{NUMBER}' then try_cast(round(try_cast({text} as decimal(38, 10))) as {target}) end"
+
+
+def optional_double(column: str) -> str:
+    """Number or NULL; no type suffixes, NaN or infinities."""
+    text = _text(column)
+    return f"case when {text} rlike '{NUMBER}' then try_cast({text} as double) end"
 
 
 def optional_date(column: str) -> str:
     """Calendar date, NULL when blank, partial or malformed."""
-    text = f"translate(cast({column} as string), '/', '-')"
-    return f"case when {text} rlike '{FULL_DATE}' then try_cast({text} as date) end"
+    text = f"translate({_text(column)}, '/', '-')"
+    return f"case when {text} rlike '{DATE}' then try_cast({text} as date) end"
+
+
+def required(column: str, value: str) -> str:
+    """``value``, an error where it is NULL for a text that is not."""
+    error = f"raise_error(concat('malformed value in {column.strip('`')}: ', cast({column} as string)))"
+    return f"case when {column} is not null then coalesce({value}, {error}) end"
 
 
 def typed(column: str, kind: str) -> str:
@@ -37,4 +54,10 @@ def typed(column: str, kind: str) -> str:
         return optional_whole(column, "int")
     if kind == "optional_date":
         return optional_date(column)
-    return f"cast({column} as {REQUIRED_TYPES[kind]})"
+    values = {
+        "key": optional_whole(column, "bigint"),
+        "int": optional_whole(column, "int"),
+        "double": optional_double(column),
+        "date": optional_date(column),
+    }
+    return required(column, values[kind])

@@ -17,8 +17,6 @@ from jobmargin.operators.fact import LOOKUPS, attach
 from jobmargin.plans.dashboard import OVERRUN, as_cards, pick_rows
 from jobmargin.session import shared_root
 
-TOP = 15  # rows in the top and bottom lists
-
 # Upper edges of the quote-size bands, in dollars.
 QUOTE_EDGES = (500, 1000, 2500, 4000)
 
@@ -79,15 +77,15 @@ def findings(fact: DataFrame) -> DataFrame:
 # -- jobs -------------------------------------------------------------------------------
 
 
-def bottom_jobs(economics: DataFrame, dimensions: Mapping[str, DataFrame]) -> DataFrame:
-    """The least profitable jobs, with their names from ``dimensions`` (the staged tables).
+def bottom_jobs(economics: DataFrame, dimensions: Mapping[str, DataFrame], n: int = 15) -> DataFrame:
+    """The ``n`` least profitable jobs, with their names from ``dimensions`` (the staged tables).
 
     The list is cut and checkpointed first; each dimension is then reduced, in its own scan,
     to the keys on the list, so neither jobs nor customers are shuffled for the lookups.
     """
     shared_root(economics.sparkSession)
     order = ascending("gross_profit", "job_id")
-    jobs = listed = economics.orderBy(*order).limit(TOP).checkpoint()
+    jobs = listed = economics.orderBy(*order).limit(n).checkpoint()
     for name, lookup in LOOKUPS.items():
         needed = dimensions[name].join(listed.select(lookup.key), lookup.key, "left_semi")
         jobs = attach(jobs, needed, lookup)
@@ -199,28 +197,33 @@ def value_by(economics: DataFrame, customers: DataFrame, trait: str) -> DataFram
 
 
 def _customer_list(economics: DataFrame, customers: DataFrame) -> DataFrame:
+    """Sums per customer with the name; jobs of unknown customers are one row without id and name."""
+    sums = ("jobs_completed", "revenue", "gross_profit", "loss_jobs")
+    known = customers.select(F.col("customer_id").alias("known_id"), "customer_name")
+    per_customer = _per_customer(economics)
     return (
-        _per_customer(economics)
-        .join(customers.select("customer_id", "customer_name"), "customer_id")
+        per_customer.join(known, per_customer["customer_id"] == known["known_id"], "left")
+        .groupBy(F.col("known_id").alias("customer_id"), "customer_name")
+        .agg(*[F.sum(c).alias(c) for c in sums])
         .selectExpr("*", f"{ratio('gross_profit', 'revenue')} as gross_margin_pct")
     )
 
 
-def top_customers(economics: DataFrame, customers: DataFrame) -> DataFrame:
+def top_customers(economics: DataFrame, customers: DataFrame, n: int = 15) -> DataFrame:
+    """The ``n`` customers with the most revenue."""
     return (
         _customer_list(economics, customers)
         .orderBy(*descending("revenue"), *ascending("customer_id"))
-        .limit(TOP)
+        .limit(n)
         .select("customer_id", "customer_name", "jobs_completed", "revenue")
     )
 
 
 def customer_review(economics: DataFrame, customers: DataFrame) -> DataFrame:
-    """Customers to look at before renewal or repricing: lowest margin first."""
+    """All customers, to look at before renewal or repricing: lowest margin first."""
     return (
         _customer_list(economics, customers)
         .orderBy(*ascending("gross_margin_pct", "customer_id"))
-        .limit(TOP)
         .select(
             "customer_id", "customer_name", "jobs_completed", "revenue", "gross_profit", "gross_margin_pct",
             "loss_jobs",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def ensure_database(spark: SparkSession, name: str, location: str) -> None:
@@ -46,19 +46,32 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
     return df.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def _plain_decimal(column: str) -> Column:
+    """A double as text without an exponent where twelve decimals hold it exactly."""
+    text = f"cast(`{column}` as string)"
+    plain = f"cast(try_cast({text} as decimal(38, 12)) as string)"
+    exact = f"{text} like '%E%' and try_cast({plain} as double) = `{column}`"
+    trimmed = f"regexp_replace(regexp_replace({plain}, '0+$', ''), '[.]$', '.0')"
+    return F.expr(f"case when {exact} then {trimmed} else {text} end").alias(column)
+
+
 def export_csv(df: DataFrame, path: str, order: Sequence[Column] = ()) -> None:
     """CSV folder with a header line per part file.
 
-    With ``order`` the part files are in global order. A scorecard is small enough for
+    Texts keep their blanks, an empty text is written in quotes and NULL as nothing, doubles as plain
+    decimals. With ``order`` the part files are in global order. A scorecard is small enough for
     adaptive execution to leave it in one part; a large table keeps many.
     """
     if order:
         df = df.orderBy(*order)
     (
-        df.write.mode("overwrite")
+        df.select([_plain_decimal(c) if t == "double" else c for c, t in df.dtypes])
+        .write.mode("overwrite")
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("emptyValue", "")
+        .option("emptyValue", '""')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

@@ -347,9 +347,6 @@ BODIES: dict[str, str] = {
     "stage_weather": f"""select {_rounded('weather_date city ~high_temp_f ~precip_inches rain_flag severe_weather_flag')}
         from weather_t""",
     # sources and sinks
-    "csv_estimates": f"select {_rounded(ESTIMATE_COLUMNS)} from estimates_t",
-    "csv_jobs": f"select {_rounded(JOB_COLUMNS)} from jobs_t",
-    "csv_invoices": f"select {_rounded(INVOICE_COLUMNS)} from invoices_t",
     "exported_cities": SCORECARDS["city_scorecard"],
     "published_months": f"select {_rounded(FACT_COLUMNS)} from fact where {NARROW}",
     # job economics and the fact
@@ -376,8 +373,8 @@ BODIES: dict[str, str] = {
     "monthly_trend_dense": TREND.format(where="true"),
     "monthly_trend_sparse": TREND.format(where=SPARSE),
     "monthly_trend_long": f"""
-        select month, 'Revenue' as metric, revenue as amount from ({TREND.format(where=SPARSE)})
-        union all select month, 'Gross Profit', gross_profit from ({TREND.format(where=SPARSE)})""",
+        select month, 'Revenue' as metric, revenue as amount from ({TREND.format(where="true")})
+        union all select month, 'Gross Profit', gross_profit from ({TREND.format(where="true")})""",
     "revenue_by_service": f"select service_name, {_zero_sum('billed_revenue', 'revenue')} from picked group by 1",
     "margin_by_service": f"select {_rounded('service_name ~revenue ~gross_profit ~gross_margin')} from service_totals",
     "revenue_by_city": f"select city, {_zero_sum('billed_revenue', 'revenue')} from picked group by 1",
@@ -441,12 +438,11 @@ BODIES: dict[str, str] = {
     "customer_type_value": _value_by("customer_type"),
     "revenue_by_channel": _value_by("acquisition_channel"),
     "top_customers": f"""select customer_id, customer_name, {_list(f'{ROWS} as jobs_completed', REVENUE)}
-        from fact where customer_id is not null group by 1, 2
-        order by sum(billed_revenue) desc nulls last, customer_id limit 15""",
+        from fact group by 1, 2
+        order by sum(billed_revenue) desc nulls last, customer_id nulls last limit 15""",
     "customer_review": f"""select customer_id, customer_name, {_list(f'{ROWS} as jobs_completed', REVENUE, PROFIT, MARGIN)},
           count(*) filter (where gross_profit < 0) as loss_jobs
-        from fact where customer_id is not null group by 1, 2
-        order by {_MARGIN} nulls last, customer_id limit 15""",
+        from fact group by 1, 2""",
     "win_vs_margin": f"""
         select w.service_id, w.service_name, w.estimates_sent, w.win_rate, r.jobs_completed, r.revenue, r.gross_margin_pct
         from ({SCORECARDS['estimate_scorecard']}) w join ({SCORECARDS['service_scorecard']}) r
@@ -481,6 +477,12 @@ def _spell_out(sql: str) -> str:
     return sql
 
 
+# A table that went through CSV is the staged table.
+BODIES |= {
+    f"csv_{name}": BODIES[f"stage_{name}"]
+    for name in ("customers", "services", "crews", "employees", "estimates", "jobs", "job_labor", "invoices", "weather")
+}
+
 ORACLES: dict[str, str] = {
     name: with_tables(_spell_out(body), dirty=name in DIRTY, **CREWS, **STORY, **HEADLINES)
     for name, body in BODIES.items()
