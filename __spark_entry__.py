@@ -31,9 +31,9 @@ from jobmargin.sources.writers import export_csv, write_parquet  # noqa: E402
 from oracles.queries import ORACLES  # noqa: E402
 
 try:
-    from jobmargin.llm import queries as corpus
+    import jobmargin.llm.queries as corpus
 except ModuleNotFoundError as missing:
-    if missing.name not in ("jobmargin.llm", "corpus_pipeline"):
+    if missing.name not in ("jobmargin.llm", "jobmargin.llm.queries", "corpus_pipeline"):
         raise
     corpus = None
 
