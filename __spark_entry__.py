@@ -11,15 +11,16 @@ import os
 import sys
 from collections.abc import Callable, Mapping
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from jobmargin.operators.economics import economics_of, labor_rollup  # noqa: E402
 from jobmargin.operators.fact import job_fact  # noqa: E402
 from jobmargin.operators.filters import JobFilter  # noqa: E402
-from jobmargin.operators.quality import quality_gate  # noqa: E402
+from jobmargin.operators.quality import QualityError, quality_gate  # noqa: E402
 from jobmargin.operators.staging import Staged, stage  # noqa: E402
 from jobmargin.plans import dashboard, findings, pipeline, story  # noqa: E402
 from jobmargin.plans.scorecards import SCORECARDS, estimate_order, estimate_scorecard, scorecard  # noqa: E402
@@ -27,7 +28,7 @@ from jobmargin.session import run_folder  # noqa: E402
 from jobmargin.sources.readers import read_csv_table  # noqa: E402
 from jobmargin.sources.sample_binding import bind, bind_dirty  # noqa: E402
 from jobmargin.sources.schemas import RAW_TABLES  # noqa: E402
-from jobmargin.sources.writers import export_csv, write_parquet  # noqa: E402
+from jobmargin.sources.writers import export_csv, remove_folder, write_parquet  # noqa: E402
 from oracles.queries import ORACLES  # noqa: E402
 
 try:
@@ -54,12 +55,12 @@ NARROW = JobFilter(
 
 
 def _comparable(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, from a million on to three; ``rint`` stays in double arithmetic.
+    """Doubles to nine significant digits, whatever their magnitude.
 
     Means over 16 or 32 rows often end exactly half way between two such values, where the
-    last bit of a sum would decide; the small shift moves the threshold away from there.
+    last bit of a sum would decide; the small factor moves them away from there.
     """
-    rounded = "if(abs({0}) < 1e6D, rint({0} * 1e6D + 0.0137D) / 1e6D, rint({0} * 1e3D + 0.0137D) / 1e3D) as {0}"
+    rounded = "if({0} is null, null, cast(format_string('%.8e', {0} * 1.0000000000137D + 0D) as double)) as {0}"
     return df.selectExpr([rounded.format(c) if t == "double" else c for c, t in df.dtypes])
 
 
@@ -108,13 +109,14 @@ def _dirty_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _constraints(binding: Callable[..., Mapping[str, DataFrame]]) -> Query:
-    """Stores the fact first, so that its joins run once for all the tests on it."""
+    """Stores the fact's tested columns first, so that its joins run once for all the tests on it."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        staged = Staged(binding(spark, sf_dir))
-        fact = write_parquet(job_fact(staged), run_folder(spark, "constraints"))
-        tables = {pipeline.FACT: fact, **pipeline.scorecards_over(fact, staged)}
-        return pipeline.check_constraints(staged, pipeline.Published(tables))
+        staged, folder = Staged(binding(spark, sf_dir)), run_folder(spark, "constraints")
+        fact = write_parquet(pipeline.constrained_fact(staged), folder)
+        report = pipeline.check_constraints(staged, pipeline.constrained_tables(fact, staged)).checkpoint()
+        remove_folder(spark, folder)
+        return report
 
     return run
 
@@ -138,6 +140,37 @@ def _exported_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(spark.read.schema(card.schema).option("header", True).csv(path))
 
 
+def _exported(name: str) -> Query:
+    """A published table as its CSV export delivers it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        staged = Staged(bind(spark, sf_dir))
+        if name == pipeline.ESTIMATES:
+            table = _estimate_card(staged)
+        else:
+            table = job_fact(staged) if name == pipeline.FACT else scorecard(name, staged)
+        path = f"{run_folder(spark, 'export')}/{name}"
+        export_csv(table, path, pipeline.display_order(name))
+        return _comparable(spark.read.schema(table.schema).option("header", True).option("escape", '"').csv(path))
+
+    return run
+
+
+def _refreshed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``table_name, n_rows``: the tables and views of a full refresh, read back by their names."""
+    folder = run_folder(spark, "refresh")
+    mark = folder.rsplit("-", 1)[1]
+    raw, analytics = f"raw_{mark}", f"analytics_{mark}"
+    try:
+        pipeline.refresh(spark, bind(spark, sf_dir), folder, lambda line: None, raw, analytics)
+    except QualityError:
+        pass  # the test data holds jobs outside the margin range; everything is published by then
+    views = [*(f"staged_{table}" for table in RAW_TABLES), "labor_rollup", "job_economics"]
+    tables = {**{view: spark.table(view) for view in views}, **pipeline.read_published(spark, analytics).tables}
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()]
+    return reduce(DataFrame.union, counts)
+
+
 def _published_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selection over the stored, month-partitioned fact."""
     fact = job_fact(Staged(bind(spark, sf_dir)))
@@ -166,6 +199,8 @@ def queries() -> dict[str, Query]:
         # sources and sinks
         **{f"csv_{table.removesuffix('_daily')}": _through_csv(table) for table in RAW_TABLES},
         "exported_cities": _exported_cities,
+        **{f"exported_{name}": _exported(name) for name in (pipeline.FACT, *SCORECARDS, pipeline.ESTIMATES)},
+        "refreshed_tables": _refreshed_tables,
         "published_months": _published_months,
         # job economics and the fact
         "labor_rollup": _on_staged(lambda s: labor_rollup(s["job_labor"])),
@@ -186,6 +221,8 @@ def queries() -> dict[str, Query]:
         "kpi_totals": _on_picked(dashboard.kpi_totals),
         "kpi_totals_narrow": _on_picked(dashboard.kpi_totals, chosen=NARROW),
         "kpi_cards": _on_picked(dashboard.kpi_cards),
+        "active_customers": _on_picked(dashboard.active_customers, "customers"),
+        "active_customers_narrow": _on_picked(dashboard.active_customers, "customers", chosen=NARROW),
         "monthly_trend_dense": _on_picked(dashboard.monthly_trend),
         "monthly_trend_sparse": _on_picked(dashboard.monthly_trend, chosen=SPARSE),
         "monthly_trend_long": _on_picked(dashboard.monthly_trend_long),
@@ -200,9 +237,12 @@ def queries() -> dict[str, Query]:
         "job_detail": _on_picked(dashboard.job_detail, "customers"),
         "job_detail_costs": _on_picked(dashboard.job_detail_costs, "customers"),
         "crew_dashboard": _on_picked(dashboard.crew_dashboard),
+        "crew_dashboard_by_hour": _on_picked(lambda p: dashboard.crew_dashboard(p, "revenue_per_labor_hour")),
+        "crew_dashboard_by_margin": _on_picked(lambda p: dashboard.crew_dashboard(p, "gross_margin")),
         "estimate_totals": _on_estimate_card(dashboard.estimate_totals),
         "win_rate_ranking": _on_estimate_card(dashboard.win_rate_ranking),
         "pipeline_ranking": _on_estimate_card(dashboard.pipeline_ranking),
+        "pipeline_ranking_table": _on_estimate_card(lambda card: dashboard.pipeline_ranking(card, largest_first=True)),
         # story and what-if
         "story_scope": _on_picked(lambda p: story.story_scope(p), "customers"),
         "crew_summary": _on_story(story.crew_summary),

@@ -50,6 +50,11 @@ CONSTRAINTS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 
 
+def constrained_columns(table: str) -> tuple[str, ...]:
+    """The columns of ``table`` that its rules read."""
+    return next((key, *more) for name, key, more in CONSTRAINTS if name == table)
+
+
 def table_constraints(name: str, df: DataFrame, key: str, required: tuple[str, ...] = ()) -> DataFrame:
     """Violations of one table's rules from a single shuffle on its key.
 

@@ -13,10 +13,11 @@ from jobmargin.functions.ratios import ascending, descending, expressions, highe
 
 OVERRUN = 0.10  # share of planned hours above which a job counts as over plan
 
+# Fixed values.
 DETAIL_COLUMNS = (
-    "completed_date customer_name service_name crew_name city billed_revenue gross_profit gross_margin_pct "
-    "estimated_labor_hours actual_labor_hours labor_variance_pct rework_flag"
-).split()
+    "completed_date", "customer_name", "service_name", "crew_name", "city", "billed_revenue", "gross_profit",
+    "gross_margin_pct", "estimated_labor_hours", "actual_labor_hours", "labor_variance_pct", "rework_flag",
+)
 
 # Group aggregates of the dashboard, by output name.
 SUMMARY = {
@@ -75,8 +76,13 @@ def kpi_totals(picked: DataFrame) -> DataFrame:
     )
 
 
+def active_customers(picked: DataFrame) -> DataFrame:
+    """One row: the customers with a job in the selection. Monthly counts do not add up to it."""
+    return picked.agg(F.countDistinct("customer_id").alias("active_customers"))
+
+
 def kpi_cards(picked: DataFrame) -> DataFrame:
-    """``card, value``: the KPI totals as display text."""
+    """``card, value``: the KPI totals as display text. Card labels are fixed values."""
     cards = {
         "Revenue": money("revenue"),
         "Gross Profit": money("gross_profit"),
@@ -148,14 +154,23 @@ def insights(picked: DataFrame) -> DataFrame:
     """``insight, name, value``: the crew with the highest mean labor variance, the crew with
     the lowest revenue per hour and the service with the lowest margin.
 
-    Grouping sets answer the crew and the service question in one pass over the jobs; the
-    picks are aggregates over the few groups. Equal scores go to the smaller name.
+    The jobs are summed once per crew and service; grouping sets over those few rows answer both
+    questions, and the picks are aggregates over the groups. Equal scores go to the smaller name.
     """
     crew, service = F.col("crew_name"), F.col("service_name")
-    sums = {n: SUMMARY[n] for n in ("revenue", "gross_profit", "labor_hours", "avg_labor_variance")}
+    names = ("revenue", "gross_profit", "labor_hours")
+    cells = picked.groupBy(crew, service).agg(
+        *expressions({n: SUMMARY[n] for n in names}),
+        F.sum("labor_variance_pct").alias("variance_sum"),
+        F.count("labor_variance_pct").alias("variance_jobs"),
+    )
     groups = (
-        picked.groupingSets([[crew], [service]], crew, service)
-        .agg(*expressions({**sums, "all_crews": "grouping(crew_name)"}))
+        cells.groupingSets([[crew], [service]], crew, service)
+        .agg(
+            *expressions({n: f"sum({n})" for n in names}),
+            F.expr(f"{ratio('sum(variance_sum)', 'sum(variance_jobs)')} as avg_labor_variance"),
+            F.expr("grouping(crew_name) as all_crews"),
+        )
         .selectExpr("*", GROSS_MARGIN, REVENUE_PER_HOUR)
     )
     picks = {

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from jobmargin.functions.formats import number, percent, whole_dollars
-from jobmargin.functions.measures import MEASURES, measures
+from jobmargin.functions.measures import measures
 from jobmargin.functions.ratios import ascending, descending, expressions, highest, lowest, ratio
 from jobmargin.operators.fact import LOOKUPS, attach
 from jobmargin.plans.dashboard import OVERRUN, as_cards, pick_rows
@@ -45,15 +45,26 @@ def findings(fact: DataFrame) -> DataFrame:
     """``finding, subject, value, context``: the extremes an owner should know.
 
     ``context`` is the crew's labor variance, the job count of the service or city, or the
-    portfolio margin. Grouping sets by crew, service, city and over everything share one
-    pass over the jobs.
+    portfolio margin. The jobs are summed once per crew, service and city, with means as sum and
+    count; grouping sets by each of them and over everything then see only those rows.
     """
     crew, service, city = F.col("crew_name"), F.col("service_name"), F.col("city")
-    names = ("revenue", "gross_margin_pct", "revenue_per_labor_hour", "avg_labor_variance_pct")
-    groups = fact.groupingSets([[crew], [service], [city], []], crew, service, city).agg(
-        *expressions({n: MEASURES[n] for n in names}),
-        F.expr(f"cast({MEASURES['jobs_completed']} as double) as jobs"),
-        F.expr("grouping_id() as level"),
+    cells = fact.groupBy(crew, service, city).agg(
+        *measures("jobs_completed", "revenue", "gross_profit", "actual_labor_hours"),
+        F.sum("labor_variance_pct").alias("variance_sum"),
+        F.count("labor_variance_pct").alias("variance_jobs"),
+    )
+    groups = cells.groupingSets([[crew], [service], [city], []], crew, service, city).agg(
+        *expressions(
+            {
+                "revenue": "sum(revenue)",
+                "gross_margin_pct": ratio("sum(gross_profit)", "sum(revenue)"),
+                "revenue_per_labor_hour": ratio("sum(revenue)", "sum(actual_labor_hours)"),
+                "avg_labor_variance_pct": ratio("sum(variance_sum)", "sum(variance_jobs)"),
+                "jobs": "cast(sum(jobs_completed) as double)",
+                "level": "grouping_id()",
+            }
+        )
     )
     # grouping_id has one bit per column, set where the column is rolled up
     by_crew, by_service, by_city, overall = (
@@ -148,11 +159,14 @@ def margin_vs_target(fact: DataFrame) -> DataFrame:
 
 
 def win_vs_margin(estimate_card: DataFrame, service_card: DataFrame) -> DataFrame:
-    """Services that sell well beside what they earn: highest win rate, lowest margin first."""
+    """Services that sell well beside what they earn: highest win rate, lowest margin first.
+
+    A service that was quoted and never performed stays, with NULL for what it earned.
+    """
     realized = service_card.select("service_id", "jobs_completed", "revenue", "gross_margin_pct")
     return (
         estimate_card.select("service_id", "service_name", "estimates_sent", "win_rate")
-        .join(realized, "service_id")
+        .join(realized, "service_id", "left")
         .orderBy(*descending("win_rate"), *ascending("gross_margin_pct", "service_id"))
     )
 

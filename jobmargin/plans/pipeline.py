@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from jobmargin.operators.economics import economics_of, labor_rollup
 from jobmargin.operators.fact import FACT_COLUMNS, job_fact
-from jobmargin.operators.quality import constraint_report, quality_gate, raise_on_failure
+from jobmargin.operators.quality import constrained_columns, constraint_report, quality_gate, raise_on_failure
 from jobmargin.operators.staging import Staged
 from jobmargin.plans.scorecards import SCORECARDS, estimate_order, estimate_scorecard
 from jobmargin.sources.writers import ensure_database, export_csv, replace_table, replace_view
@@ -56,6 +56,18 @@ def scorecards_over(fact: DataFrame, staged: Staged) -> dict[str, DataFrame]:
     return cards
 
 
+def constrained_fact(staged: Staged) -> DataFrame:
+    """The fact's columns that key constraints read, its own and the scorecards' keys; labor is not among them."""
+    keys = [key for card in SCORECARDS.values() for key in card.keys]
+    return job_fact(staged).select(*dict.fromkeys((*constrained_columns(FACT), *keys)))
+
+
+def constrained_tables(fact: DataFrame, staged: Staged) -> Published:
+    """What ``check_constraints`` needs of the published tables, from a stored ``constrained_fact``."""
+    cards = {name: card.groups(fact) for name, card in SCORECARDS.items()}
+    return Published({FACT: fact, **cards, ESTIMATES: estimate_scorecard(staged["estimates"], staged["services"])})
+
+
 def read_published(spark: SparkSession, database: str = "analytics") -> Published:
     tables = {name: spark.table(f"{database}.{name}") for name in (FACT, *SCORECARDS, ESTIMATES)}
     return Published({**tables, FACT: tables[FACT].select(*FACT_COLUMNS)})
@@ -69,11 +81,13 @@ def register_views(staged: Staged) -> None:
     replace_view(economics_of(staged), "job_economics")
 
 
-def load_raw(spark: SparkSession, tables: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Copy the raw tables into database ``raw``, so that CSV text is parsed only once."""
-    ensure_database(spark, "raw", f"{folder}/raw")
+def load_raw(
+    spark: SparkSession, tables: Mapping[str, DataFrame], folder: str, database: str = "raw"
+) -> dict[str, DataFrame]:
+    """Copy the raw tables into ``database``, so that CSV text is parsed only once."""
+    ensure_database(spark, database, f"{folder}/raw")
     return _side_by_side(
-        spark, lambda name: replace_table(tables[name], f"raw.{name}", f"{folder}/raw/{name}"), tables
+        spark, lambda name: replace_table(tables[name], f"{database}.{name}", f"{folder}/raw/{name}"), tables
     )
 
 
@@ -87,20 +101,26 @@ def export(published: Published, folder: str) -> None:
 
 
 def refresh(
-    spark: SparkSession, tables: Mapping[str, DataFrame], folder: str, show: Callable[[str], None] = print
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    folder: str,
+    show: Callable[[str], None] = print,
+    raw: str = "raw",
+    analytics: str = "analytics",
 ) -> Published:
     """The whole run, repeatable: load, stage, publish, export, then the quality gate.
 
     The joins run once, for the fact; the scorecards are scans of the stored fact. The gate
     comes last, as a verdict on what was published: it raises ``QualityError`` with
-    everything already in place for inspection.
+    everything already in place for inspection. ``raw`` and ``analytics`` name the databases, so
+    that several refreshes can share a catalog.
     """
-    staged = Staged(load_raw(spark, tables, folder))
+    staged = Staged(load_raw(spark, tables, folder, raw))
     register_views(staged)
-    ensure_database(spark, "analytics", f"{folder}/analytics")
+    ensure_database(spark, analytics, f"{folder}/analytics")
 
     def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        return replace_table(df, f"analytics.{name}", f"{folder}/analytics/{name}", partition_by)
+        return replace_table(df, f"{analytics}.{name}", f"{folder}/analytics/{name}", partition_by)
 
     fact = store(job_fact(staged), FACT, "completed_month")
     cards = scorecards_over(fact, staged)

@@ -23,6 +23,10 @@ class Scorecard:
         """Aggregate the fact; jobs without a key keep their own NULL row."""
         return fact.groupBy(*self.keys).agg(*measures(*self.measures))
 
+    def groups(self, fact: DataFrame) -> DataFrame:
+        """The rows of ``over`` without their measures."""
+        return fact.select(*self.keys).distinct()
+
 
 def _by_revenue() -> list[Column]:
     return descending("revenue")

@@ -46,6 +46,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
     return df.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a run wrote and nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _plain_decimal(column: str) -> Column:
     """A double as text without an exponent where twelve decimals hold it exactly."""
     text = f"cast(`{column}` as string)"

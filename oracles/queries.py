@@ -445,7 +445,7 @@ BODIES: dict[str, str] = {
         from fact group by 1, 2""",
     "win_vs_margin": f"""
         select w.service_id, w.service_name, w.estimates_sent, w.win_rate, r.jobs_completed, r.revenue, r.gross_margin_pct
-        from ({SCORECARDS['estimate_scorecard']}) w join ({SCORECARDS['service_scorecard']}) r
+        from ({SCORECARDS['estimate_scorecard']}) w left join ({SCORECARDS['service_scorecard']}) r
           on r.service_id = w.service_id""",
     "overrun_review": f"""select service_name, crew_name, {ROWS} as overrun_jobs,
           {_sum('labor_variance_hours', 'excess_hours')}, {_avg('labor_variance_pct', 'avg_overrun_pct')}
@@ -461,10 +461,9 @@ DIRTY = {"quality_gate_dirty", "constraint_report_dirty"}
 def _spell_out(sql: str) -> str:
     """Replace ``six(x)`` by its arithmetic, as one statement cannot define a macro.
 
-    Doubles are compared to six decimals, from a million on to three, since the last bits of
-    a sum depend on its order. Means over 16 or 32 rows often end exactly half way between
-    two such values; the small shift moves the rounding threshold away from there.
-    __spark_entry__ does the same.
+    Doubles are compared to nine significant digits, since the last bits of a sum depend on its
+    order. Means over 16 or 32 rows often end exactly half way between two such values; the small
+    factor moves them away from there. __spark_entry__ does the same.
     """
     while (start := sql.find("six(")) >= 0:
         end, depth = start + 4, 1
@@ -472,7 +471,7 @@ def _spell_out(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
         x = f"({sql[start + 4 : end - 1]})"
-        exact = f"if(abs{x} < 1e6, round({x} * 1e6 + 137e-4) / 1e6, round({x} * 1e3 + 137e-4) / 1e3)"
+        exact = f"cast(printf('%.8e', {x} * 1.0000000000137e0 + 0e0) as double)"
         sql = sql[:start] + exact + sql[end:]
     return sql
 
@@ -483,6 +482,25 @@ BODIES |= {
     for name in ("customers", "services", "crews", "employees", "estimates", "jobs", "job_labor", "invoices", "weather")
 }
 
+# An export reads back as the published table.
+BODIES |= {f"exported_{name}": BODIES[name] for name in ("job_fact", *SCORECARDS)}
+# Sort orders and selections of one answer.
+BODIES |= {name: BODIES["crew_dashboard"] for name in ("crew_dashboard_by_hour", "crew_dashboard_by_margin")}
+BODIES["pipeline_ranking_table"] = BODIES["pipeline_ranking"]
+BODIES["active_customers"] = "select count(distinct customer_id) as active_customers from picked"
+BODIES["active_customers_narrow"] = f"{BODIES['active_customers']} where {NARROW}"
+# Every table and view of a full refresh.
+REFRESHED = {
+    "staged_customers": "customers_t", "staged_services": "services_t", "staged_crews": "crews_t",
+    "staged_employees": "employees_t", "staged_estimates": "estimates_t", "staged_jobs": "jobs_t",
+    "staged_job_labor": "labor_t", "staged_invoices": "invoices_t", "staged_weather_daily": "weather_t",
+    "labor_rollup": "labor_sums", "job_economics": "economics", "job_fact": "fact",
+    **{name: f"({sql})" for name, sql in SCORECARDS.items()},
+}
+BODIES["refreshed_tables"] = " union all ".join(
+    f"select '{name}' as table_name, {ROWS} as n_rows from {source}" for name, source in REFRESHED.items()
+)
+
 ORACLES: dict[str, str] = {
     name: with_tables(_spell_out(body), dirty=name in DIRTY, **CREWS, **STORY, **HEADLINES)
     for name, body in BODIES.items()

@@ -9,7 +9,7 @@ import __spark_entry__ as contract
 from jobmargin.operators.fact import job_fact
 from jobmargin.operators.filters import JobFilter
 from jobmargin.operators.staging import Staged
-from jobmargin.plans import dashboard
+from jobmargin.plans import dashboard, pipeline
 from jobmargin.sources.sample_binding import bind
 from jobmargin.sources.writers import write_parquet
 
@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables n
 # These run jobs while they are built (writes, checkpoints); their final plan is a scan.
 EAGER = {
     "csv_estimates", "csv_jobs", "csv_invoices", "exported_cities", "published_months", "bottom_jobs",
-    "constraint_report", "constraint_report_dirty",
+    "exported_job_fact", "refreshed_tables", "constraint_report", "constraint_report_dirty",
     "crew_summary", "focus_crew", "focus_gaps", "crew_status", "excess_hours", "scenario_grid", "scenario_comparison",
     "scenario_cards",
 }
@@ -41,6 +41,18 @@ def test_no_python_no_cross_join_one_labor_scan(spark, name):
     assert scans(text, "l_orderkey") <= 1
 
 
+def test_key_constraints_store_no_labor(spark):
+    text = plan(pipeline.constrained_fact(Staged(bind(spark, SF_DIR))))
+    assert scans(text, "l_orderkey") == 0
+
+
+@pytest.mark.parametrize("name", ["findings", "insights"])
+def test_grouping_sets_see_sums_not_jobs(spark, name):
+    text = plan(contract.queries()[name](spark, SF_DIR))
+    below = text[text.index("Expand") :]
+    assert "HashAggregate" in below  # jobs are summed before they are expanded
+
+
 def test_scan_reads_only_the_columns_used(spark):
     text = plan(contract.queries()["revenue_by_city"](spark, SF_DIR))
     orders = next(line for line in text.splitlines() if "FileScan" in line and "o_orderkey" in line)
