@@ -38,8 +38,14 @@ CLOSE = 1e-4
 UNIFORM = 1 << 30
 
 
+def _words() -> Column:
+    """Lower-cased words; the text is lower-cased as a whole, which is far cheaper than word by word."""
+    return words_of(F.lower(text_of()))
+
+
 def _feature(word: str) -> Column:
-    return F.pmod(F.xxhash64(F.lower(word)), F.lit(FEATURES)).cast("int")
+    """NULL for no word, which meets no feature of the model."""
+    return F.when(F.col(word).isNotNull(), F.pmod(F.xxhash64(word), F.lit(FEATURES))).cast("int")
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], DataFrame, list[float]]:
@@ -48,12 +54,15 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS)
     ``labelled``: (doc_id, domain). The model has FEATURES x domains numbers, whatever the corpus.
     """
     known = labelled.where("doc_id is not null and domain is not null").select("doc_id", F.col("domain").cast("string")).distinct()
+    known = stored(known, "labelled")
     total = max(1, known.count())
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(UNIFORM)) < int(min(1.0, fit_rows / total) * UNIFORM))
-    words = docs.select("doc_id", "text").join(chosen, "doc_id").select("domain", F.explode(words_of(text_of())).alias("word"))
+    priors = {r["domain"]: r["n"] for r in chosen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The sample is broadcast, as its rows are counted here; labels whose sample came out larger are joined as Spark sees fit.
+    side = F.broadcast(chosen) if sum(priors.values()) <= 2 * FIT_ROWS else chosen
+    words = docs.select("doc_id", "text").join(side, "doc_id").select("domain", F.explode(_words()).alias("word"))
     counts = stored(words.groupBy("domain", _feature("word").alias("feature")).agg(F.count(F.lit(1)).alias("n")), "counts")
     totals = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
-    priors = {r["domain"]: r["n"] for r in chosen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(totals)
     if len(domains) > DOMAINS:
         raise ValueError(f"{len(domains)} domains; the model is made for at most {DOMAINS}")
@@ -71,19 +80,17 @@ def posteriors(docs: DataFrame, domains: Sequence[str], model: DataFrame, log_pr
     """(doc, n_words, p0, p1, ...): ``doc`` holds id and text key; ``n_words`` covers all rows of the document.
 
     Words meet the model, whose size is fixed, in a broadcast join, and are summed up in the task that read
-    them; one row per document and task is shuffled.
+    them; one row per document and task is shuffled. The key of the text is made in a step before the one that
+    lists the words: beside the generator it would be hashed again for every word.
     """
     k = range(len(domains))
-    doc = F.struct("doc_id", text_key().alias("text_key"))
-    words = docs.select(doc.alias("doc"), F.explode_outer(words_of(text_of())).alias("word"))
-    scored = words.select("doc", F.isnotnull("word").cast("int").alias("one"), _feature("word").alias("feature")).join(
-        F.broadcast(model), "feature", "left"
-    )
-    sums = scored.groupBy("doc").agg(
-        F.sum("one").alias("n_words"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count("l0").alias("known"),
-        *[F.sum(F.when(F.col("one") == 1, F.col(f"l{i}"))).alias(f"s{i}") for i in k],
+    keyed = docs.select("doc_id", text_key().alias("text_key"), _words().alias("words"))
+    words = keyed.select("doc_id", "text_key", F.explode_outer("words").alias("word"))
+    scored = words.select("doc_id", "text_key", "word", _feature("word").alias("feature")).join(F.broadcast(model), "feature", "left")
+    sums = (
+        scored.groupBy("doc_id", "text_key")
+        .agg(F.count("word").alias("n_words"), F.count("l0").alias("known"), *[F.sum(f"l{i}").alias(f"s{i}") for i in k])
+        .withColumn("doc", F.struct("doc_id", "text_key"))
     )
     # Words that the fit has not met say nothing about the domain.
     weight = F.least(F.col("known"), F.lit(EVIDENCE)) / F.greatest(F.col("known"), F.lit(1))
