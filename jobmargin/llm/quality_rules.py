@@ -32,7 +32,8 @@ class Rule:
     work: str
 
 
-LETTERS = r"length(regexp_replace(llm__text, '\\P{L}+', ''))"
+# With the marks that belong to them: scripts with vowel signs write up to half of a word as marks.
+LETTERS = r"length(regexp_replace(llm__text, '[^\\p{L}\\p{M}]+', ''))"
 CAPITALS = r"length(regexp_replace(llm__text, '\\P{Lu}+', ''))"
 TEXT_WORK = "2 * length(llm__text)"
 

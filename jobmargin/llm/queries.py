@@ -61,7 +61,7 @@ with texts as (select row_number() over () as r, doc_id, coalesce(text, '') as t
 split as (
   select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
     list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines,
-    length(regexp_replace(t, '\P{L}+', '', 'g')) as letters, length(regexp_replace(t, '\P{Lu}+', '', 'g')) as capitals
+    length(regexp_replace(t, '[^\p{L}\p{M}]+', '', 'g')) as letters, length(regexp_replace(t, '\P{Lu}+', '', 'g')) as capitals
   from texts),
 windows as (select r, words, unnest(range(1, len(words) - 1)) as i from split where len(words) >= 3),
 repeated as (

@@ -56,3 +56,10 @@ def test_own_columns_and_empty_table(edge_docs, no_docs):
     assert {r["doc_id"] for r in kept.collect()} >= {None, 5, 6}
     assert q.quality_rules(no_docs).collect() == []
     assert q.keep_good(no_docs).collect() == []
+
+
+def test_prose_with_vowel_signs_is_kept(spark):
+    words = "हिन्दी में लिखी गयी किताबें नदी किनारे मिलीं थीं और बच्चों ने उन्हें ध्यान से पढ़ा".split()
+    text = " ".join(f"{word}{words[i % 7]}{words[i % 11]}" for i, word in enumerate(words * 4))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [tuple(r) for r in q.quality_rules(docs).select("base_failed", "kept").collect()] == [(False, True)]
