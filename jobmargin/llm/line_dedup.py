@@ -1,22 +1,31 @@
-"""Repeated passages by content-defined chunks of lines.
+"""Repeated passages: content-defined chunks of lines, and every stretch of over ``PASSAGE_WORDS`` words.
 
-Each line is hashed, and a rolling hash over the last ``WINDOW`` line hashes ends a chunk after every line where it is
+Chunks: each line is hashed, and a rolling hash over the last ``WINDOW`` line hashes ends a chunk after every line where it is
 divisible by ``MODULUS``. So where a passage of several lines occurs in two documents, chunks inside it begin and end at
 the same lines, whatever stands before it. Chunks of two worded lines or more whose hash occurs more than once
 are compared byte by byte: equal bytes keep their first place, by document id (NULL first), text key and place,
 and are removed everywhere else.
 
-Texts are moved twice, keyed by document: to cut the suspected chunks, and to take out what is repeated. A frequent
-passage is one row per task before its places are compared.
+Passages: lines are cut at sentence ends into pieces. From each piece on, and up to each piece, the shortest run of
+pieces with over ``PASSAGE_WORDS`` words is a window; every repeated stretch of that many words is covered by windows
+that lie in it, wherever it starts and however few lines it has. Windows with equal digests (128 bits, over the
+digests of the pieces; white space between pieces does not count) keep their first place, in the order of the chunks,
+and their pieces are removed everywhere else; places in one document that overlap the first are left alone.
+A stretch counts by whole pieces: words at its ends that share a piece with foreign words stay.
 
-Cases: NULL and blank texts have no chunks and come back as they are; equal rows are one document and keep and lose the
-same lines; a text without line breaks is one line, which is never removed; long texts are read whole; an empty
-table gives no rows.
+Texts are moved twice, keyed by document: to cut the suspected chunks, and to take out what is repeated. Windows are
+moved as digests and places. A frequent passage is one row per task before its places are compared.
+
+Cases: NULL and blank texts have no chunks or windows and come back as they are; equal rows are one document and keep
+and lose the same lines; a line that loses only some of its pieces stays as a shorter line, and does not count as
+removed; long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +38,10 @@ WINDOW = 2
 MODULUS = 3
 MOST_LINES = 64
 BASE = 0x9E3779B97F4A7C15
+PASSAGE_WORDS = 50
+
+# Fixed value: a sentence end, its closing marks and the blanks after it.
+SENTENCE_END = re.compile(rb"""[.!?]+["')\]]*[ \t]+""")
 
 
 def chunks_of(text: str | None) -> list[tuple[int, int, int]]:
@@ -111,9 +124,124 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     return joined.select(*own, lines.alias("llm__removed"))
 
 
+def pieces_of(text: str | None) -> list[list[bytes]]:
+    """The pieces of each line; joined, they are the line."""
+    lines = []
+    for line in (text or "").encode().split(b"\n"):
+        cuts = [0, *(m.end() for m in SENTENCE_END.finditer(line)), len(line)]
+        lines.append([line[a:b] for a, b in zip(cuts, cuts[1:]) if a < b] or [line])
+    return lines
+
+
+def windows_of(text: str | None) -> list[tuple[int, int, int, int]]:
+    """(first piece, last piece, hash, check) of the shortest runs with over ``PASSAGE_WORDS`` words.
+
+    Pieces are numbered through the text; those without words are numbered, but are no part of a digest.
+    """
+    pieces = [piece for line in pieces_of(text) for piece in line]
+    counts = [len(piece.split()) for piece in pieces]
+    if sum(counts) <= PASSAGE_WORDS:
+        return []
+    at = [i for i, n in enumerate(counts) if n]
+    total = [0, *accumulate(counts[i] for i in at)]
+    runs, after = set(), 0
+    for first in range(len(at)):  # the shortest run from each piece on
+        while after < len(at) and total[after] - total[first] <= PASSAGE_WORDS:
+            after += 1
+        if total[after] - total[first] <= PASSAGE_WORDS:
+            break
+        runs.add((first, after))
+    first = 0
+    for after in range(1, len(at) + 1):  # and up to each piece
+        while total[after] - total[first + 1] > PASSAGE_WORDS:
+            first += 1
+        if total[after] - total[first] > PASSAGE_WORDS:
+            runs.add((first, after))
+    digests = b"".join(xxhash.xxh3_128_digest(pieces[i].strip()) for i in at)
+    found = []
+    for first, after in sorted(runs):
+        digest = xxhash.xxh3_128_digest(digests[16 * first : 16 * after])
+        halves = (int.from_bytes(half, "big", signed=True) for half in (digest[:8], digest[8:]))
+        found.append((at[first], at[after - 1], *halves))
+    return found
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, first, last, hash, check) of all windows."""
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                found = [windows_of(t.as_py()) for t in part.column(2)]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                values = list(zip(*(w for f in found for w in f))) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(row), part.column(1).take(row), *(pa.array(v, t) for v, t in zip(values, types))],
+                    ["doc_id", "text_key", "first", "last", "hash", "check"],
+                )
+
+    narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
+    return narrow.mapInArrow(run, "doc_id long, text_key long, first int, last int, hash long, check long")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc, first, last): the windows to remove, by their pieces; ``doc`` holds id and text key."""
+    windows = stored(_windows(docs), "windows")
+    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    suspects = stored(windows.join(twice, "hash"), "suspects")
+    place = F.struct("doc_id", "text_key", "first", "last")
+    kept = suspects.groupBy("hash", "check").agg(F.min(place).alias("keeper"), F.max(place).alias("latest")).where("keeper <> latest")
+    overlaps = F.expr("doc_id <=> keeper.doc_id and text_key = keeper.text_key and first <= keeper.last")
+    later = suspects.join(kept.select("hash", "check", "keeper"), ["hash", "check"]).where(~overlaps)
+    return later.select(F.struct("doc_id", "text_key").alias("doc"), "first", "last")
+
+
+def _without(text: str, gone: list[dict]) -> tuple[str, int]:
+    """The text without the lines and pieces in ``gone``, and the number of lines taken out whole."""
+    lines = pieces_of(text)
+    out = np.zeros(sum(len(line) for line in lines), bool)
+    starts = [0, *accumulate(len(line) for line in lines)]
+    for g in gone:
+        if g["whole_lines"]:
+            out[starts[g["first"]] : starts[g["last"] + 1]] = True
+        else:
+            out[g["first"] : g["last"] + 1] = True
+    stay, removed = [], 0
+    for line, start in zip(lines, starts):
+        left = [piece for i, piece in enumerate(line, start) if not out[i]]
+        if not left:
+            removed += 1
+        else:
+            rest = b"".join(left)
+            stay.append(rest.rstrip(b" \t") if out[start + len(line) - 1] else rest)
+    return b"\n".join(stay).decode(), removed
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``doc_id``, the cleaned ``text`` and ``llm__removed``: repeated chunks and repeated passages are taken out."""
+    lines = repeated_chunks(docs).select("doc", F.lit(True).alias("whole_lines"), "first", (F.col("first") + F.col("lines") - 1).alias("last"))
+    pieces = repeated_passages(docs).select("doc", F.lit(False).alias("whole_lines"), "first", "last")
+    gone = lines.union(pieces).groupBy("doc").agg(F.collect_set(F.struct("whole_lines", "first", "last")).alias("gone"))
+    joined = docs.join(gone.withColumnRenamed("doc", "llm__doc"), _keyed(docs) == F.col("llm__doc"), "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, removed = [], []
+            for text, gone in zip(batch.column(1), batch.column(2)):
+                cleaned = _without(text.as_py(), gone.as_py()) if gone.is_valid else (text.as_py(), 0)
+                texts.append(cleaned[0])
+                removed.append(cleaned[1])
+            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "llm__removed"])
+
+    return joined.select(F.col("doc_id").cast("long"), "text", "gone").mapInArrow(run, "doc_id long, text string, llm__removed long")
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, lines, removed lines, characters and checksum of the text that stays."""
-    cleaned = without_repeats(docs.select("doc_id", "text"))
+    cleaned = without_passages(docs.select("doc_id", "text"))
     return cleaned.select(
         "doc_id",
         F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines_kept"),

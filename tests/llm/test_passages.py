@@ -1,0 +1,76 @@
+"""Repeated passages of few lines against a search through all pairs of documents."""
+
+import random
+import zlib
+
+from jobmargin.llm import line_dedup
+
+SCHEMA = "doc_id long, text string"
+
+
+def sentence(rng, words):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(words)) + "."
+
+
+def outputs(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    return {r["doc_id"]: r for r in line_dedup.line_dedup(df).collect()}
+
+
+def crc(text):
+    return zlib.crc32(text.encode())
+
+
+def test_passages_of_one_to_five_lines_go(spark):
+    rng = random.Random(7)
+    texts, want = [], []
+    for n in (1, 2, 3, 4, 5):
+        passage = [sentence(rng, 60 // n + 1) for _ in range(n)]
+        for k in range(6):
+            above, below = [sentence(rng, 4) for _ in range(k % 3)], [sentence(rng, 5) for _ in range(k // 3)]
+            texts.append("\n".join([*above, *passage, *below]))
+            want.append(texts[-1] if k == 0 else "\n".join([*above, *below]))
+    found = outputs(spark, texts)
+    assert [found[i]["text_crc32"] for i in range(len(texts))] == [crc(t) for t in want]
+
+
+def test_sentences_inside_one_long_line_go(spark):
+    rng = random.Random(8)
+    shared = " ".join(sentence(rng, 12) for _ in range(5))
+    own = [sentence(rng, 9) for _ in range(4)]
+    found = outputs(spark, [f"{own[0]} {shared} {own[1]}", f"{own[2]} {shared} {own[3]}", None])
+    assert found[0]["text_crc32"] == crc(f"{own[0]} {shared} {own[1]}")
+    assert found[1]["text_crc32"] == crc(f"{own[2]} {own[3]}") and found[1]["n_lines_removed"] == 0
+
+
+def test_first_place_of_a_passage_stays_whole(spark):
+    line = " ".join(["again"] * 11) + "."
+    found = outputs(spark, [" ".join([line] * 40), "\n".join([line] * 5 + ["own end"])])
+    assert found[0]["text_crc32"] == crc(" ".join([line] * 5))
+    assert found[1]["text_crc32"] == crc("own end")
+
+
+def test_all_pairs_of_documents(spark):
+    rng = random.Random(9)
+    pool = [sentence(rng, rng.choice((3, 9, 17, 30, 55))) for _ in range(60)]
+    texts = []
+    for i in range(80):
+        pieces = []
+        for _ in range(4):
+            start = rng.randrange(60)
+            pieces += [sentence(rng, 6), *pool[start : start + rng.randint(1, 6)]]
+        texts.append("".join(p + rng.choice((" ", "\n")) for p in dict.fromkeys(pieces)).strip())
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {(r["doc"]["doc_id"], i) for r in line_dedup.repeated_passages(df).collect() for i in range(r["first"], r["last"] + 1)}
+    cut = [t.replace(". ", ".\n").split("\n") for t in texts]
+    want = set()
+    for d, here in enumerate(cut):
+        for there in cut[:d]:
+            for a in range(len(here)):
+                for b in range(len(there)):
+                    n = 0
+                    while a + n < len(here) and b + n < len(there) and here[a + n] == there[b + n]:
+                        n += 1
+                    if sum(len(p.split()) for p in here[a : a + n]) > 50:
+                        want |= {(d, i) for i in range(a, a + n)}
+    assert want and got == want
