@@ -7,9 +7,10 @@ shard takes as many of a size as fit at once. Which groups those are follows fro
 Spark gives each group within its size. Sizes are rounded up to ``DIGITS`` binary digits for the packing, which
 bounds the histogram at about ``2 ** DIGITS`` rows per power of two, whatever the corpus.
 
-``plan`` packs into as few shards of a fixed capacity as the rule gives. ``plan_count`` wants a given number of
-shards of nearly equal size and bisects the smallest capacity for which the rule needs no more than that; a
-group larger than an even share fills a shard by itself.
+``pack`` packs into as few shards of a fixed capacity as the rule gives. ``plan_count`` wants a given number of
+shards of nearly equal size. A group of an even share or more fills a shard by itself and is set aside, largest
+first, as long as the rest has such a group in its own even share; for the rest it bisects the smallest capacity
+for which the rule needs no more than the shards left.
 
 Cases: a NULL text has no bytes and shares the group of the empty text; every row counts as size 1 more than its
 bytes; equal rows are rows of one group; NULL ids are numbered like others; an empty table gives no rows.
@@ -102,6 +103,25 @@ def pack(sizes: Iterable[tuple[int, int]], capacity: int) -> list[Run]:
 
 def plan_count(sizes: Sequence[tuple[int, int]], shards: int) -> list[Run]:
     """The packing of the smallest capacity found that needs at most ``shards`` shards."""
+    rest, total = dict(sizes), sum(size * count for size, count in sizes)
+    alone: list[Run] = []
+    # At most one group a shard is set aside, whatever the number of groups.
+    for size in sorted(rest, reverse=True):
+        done = 0
+        while done < rest[size] and len(alone) < shards - 1 and size * (shards - len(alone)) >= total:
+            alone.append((size, done, done + 1, len(alone)))
+            total, done = total - size, done + 1
+        rest[size] -= done
+        if rest[size]:
+            break
+    first = {size: after for size, _, after, _ in alone}
+    left = [(size, count) for size, count in rest.items() if count]
+    packed = _plan_even(left, shards - len(alone))
+    moved = [(size, at + first.get(size, 0), after + first.get(size, 0), shard + len(alone)) for size, at, after, shard in packed]
+    return alone + moved
+
+
+def _plan_even(sizes: Sequence[tuple[int, int]], shards: int) -> list[Run]:
     total = sum(size * count for size, count in sizes)
     if not total:
         return []
