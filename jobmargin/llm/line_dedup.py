@@ -29,6 +29,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -198,16 +199,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return later.select(F.struct("doc_id", "text_key").alias("doc"), "first", "last")
 
 
-def _without(text: str, gone: list[dict]) -> tuple[str, int]:
-    """The text without the lines and pieces in ``gone``, and the number of lines taken out whole."""
+def _without(text: str, gone: list[tuple[bool, int, int]]) -> tuple[str, int]:
+    """The text without what ``gone`` lists as (whole lines, first, last), and the number of lines taken out whole."""
     lines = pieces_of(text)
     out = np.zeros(sum(len(line) for line in lines), bool)
     starts = [0, *accumulate(len(line) for line in lines)]
-    for g in gone:
-        if g["whole_lines"]:
-            out[starts[g["first"]] : starts[g["last"] + 1]] = True
+    for whole_lines, first, last in gone:
+        if whole_lines:
+            out[starts[first] : starts[last + 1]] = True
         else:
-            out[g["first"] : g["last"] + 1] = True
+            out[first : last + 1] = True
     stay, removed = [], 0
     for line, start in zip(lines, starts):
         left = [piece for i, piece in enumerate(line, start) if not out[i]]
@@ -229,8 +230,10 @@ def without_passages(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed = [], []
-            for text, gone in zip(batch.column(1), batch.column(2)):
-                cleaned = _without(text.as_py(), gone.as_py()) if gone.is_valid else (text.as_py(), 0)
+            spans = list(zip(*(field.to_pylist() for field in batch.column(2).flatten().flatten())))
+            sizes = [n or 0 for n in pc.list_value_length(batch.column(2)).to_pylist()]
+            for text, after, n in zip(batch.column(1), accumulate(sizes), sizes):
+                cleaned = _without(text.as_py(), spans[after - n : after]) if n else (text.as_py(), 0)
                 texts.append(cleaned[0])
                 removed.append(cleaned[1])
             columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())]
