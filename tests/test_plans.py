@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as contract
 from jobmargin.operators.fact import job_fact
 from jobmargin.operators.filters import JobFilter
-from jobmargin.operators.staging import Staged
+from jobmargin.operators.staging import Staged, stage
 from jobmargin.plans import dashboard, pipeline
 from jobmargin.sources.sample_binding import bind
 from jobmargin.sources.writers import write_parquet
@@ -60,6 +60,16 @@ def test_scan_reads_only_the_columns_used(spark):
     assert {c.split(":")[0] for c in read.split(",")} == {"o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"}
 
 
+def test_filters_on_staged_columns_reach_the_files(spark, tmp_path, capsys):
+    raw = bind(spark, SF_DIR)["invoices"].selectExpr("* except (paid_date)", "date_add(invoice_date, 5) as paid_date")
+    stored = stage("invoices", write_parquet(raw, f"{tmp_path}/invoices"))
+    picked = stored.filter("invoice_date >= date'1997-01-01' and job_id < 1000 and invoice_amount > 10 and paid_date < date'1999-01-01'")
+    picked.explain("formatted")
+    pushed = re.search(r"PushedFilters: \[(.*)\]", capsys.readouterr().out).group(1)
+    for column in ("invoice_date", "job_id", "invoice_amount", "paid_date"):
+        assert re.search(rf"(GreaterThan|LessThan)\w*\({column},", pushed)
+
+
 def test_unused_joins_are_dropped(spark):
     run = contract.queries()
     assert scans(plan(run["revenue_by_city"](spark, SF_DIR)), "l_orderkey") == 0  # no labor column needed
