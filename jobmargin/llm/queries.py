@@ -11,6 +11,7 @@ import corpus_pipeline
 from jobmargin.llm import (
     chat_format,
     decontaminate,
+    filter_audit,
     language,
     line_dedup,
     mixing,
@@ -53,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": _source_mixing,
     "op9_sharding": _on_documents(sharding.sharding),
     "op10_decontamination": _on_two(decontaminate.decontamination, "benchmark"),
+    "op11_filter_audit": _on_two(filter_audit.filter_audit, "labels"),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -110,7 +112,49 @@ select conv_id, any_value(kept.position)::bigint as n_turns, any_value(n_logged)
 from kept join turns using (conv_id) group by conv_id
 """
 
+AUDIT_SQL = r"""
+with texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+split as (
+  select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+    min(doc_id) over (partition by t) as least
+  from texts),
+flags as (
+  select doc_id as id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+  from labels group by doc_id),
+failing as (
+  select part, len(words) < 50 as a, 100 * len(list_distinct(words)) < 65 * len(words) as b,
+    100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+    coalesce(least < doc_id, false) as e, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+  from split left join flags on id = doc_id),
+cells as (
+  select part, (case when a then 'A' else '' end) || (case when b then 'B' else '' end) || (case when c then 'C' else '' end)
+      || (case when d then 'D' else '' end) || (case when e then 'E' else '' end) as fails,
+    count(*) as n, sum(good) as good, sum(toxic) as toxic
+  from failing group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select v.x || w.x || x.x || y.x || z.x as filter_order
+  from letters v join letters w on w.x <> v.x join letters x on x.x not in (v.x, w.x)
+    join letters y on y.x not in (v.x, w.x, x.x) join letters z on z.x not in (v.x, w.x, x.x, y.x)),
+steps as (select filter_order, unnest([1, 2, 3, 4, 5]) as step from orders),
+walked as (
+  select part, filter_order, step, n, good, toxic, fails, substr(filter_order, step, 1) as f,
+    contains(fails, substr(filter_order, step, 1)) as hit,
+    length(translate(fails, substr(filter_order, 1, step - 1), '')) < length(fails) as gone
+  from steps, cells),
+summed as (
+  select part, filter_order, step, f, sum(case when gone or hit then 0 else n end) as kept,
+    sum(case when hit and not gone then n else 0 end) as removed, sum(case when hit and gone then n else 0 end) as redundant,
+    sum(case when fails = f then n else 0 end) as unique_fails, sum(case when hit and not gone then good else 0 end) as good_lost,
+    sum(case when hit and not gone then toxic else 0 end) as toxic_lost
+  from walked group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, f))::bigint as shapley
+from summed
+"""
+
 # The other operators hash, learn, encode or pack beyond SQL; tests/llm checks them against plain Python.
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op6_chat_format": CHAT_SQL}
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op6_chat_format": CHAT_SQL, "op11_filter_audit": AUDIT_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,0 +1,89 @@
+"""The audit against a walk through every order, document by document."""
+
+import re
+from itertools import permutations
+
+import pytest
+
+from jobmargin.llm import filter_audit
+from tests.llm.conftest import SCHEMA, rows_of
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_force(docs, labels):
+    """``docs``: (doc_id, text, source) rows; ``labels``: (doc_id, quality, toxic) rows."""
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    failing = []
+    for doc_id, text, _ in docs:
+        text = text or ""
+        words, fails = WORD.findall(text), set()
+        fails |= {"A"} if len(words) < 50 else set()
+        fails |= {"B"} if 100 * len(set(words)) < 65 * len(words) else set()
+        fails |= {"C"} if 100 * len(re.findall("[A-Z]", text)) > 5 * len(text) else set()
+        fails |= {"D"} if re.search(r"[#$%&*|]", text) else set()
+        if doc_id is not None and any(i is not None and i < doc_id and (t or "") == text for i, t, _ in docs):
+            fails.add("E")
+        failing.append(fails)
+    rows = []
+    for part in {s or "" for *_, s in docs}:
+        here = [(i, f) for (i, _, s), f in zip(docs, failing) if (s or "") == part]
+        shapley = dict.fromkeys("ABCDE", 0)
+        found = []
+        for order in permutations("ABCDE"):
+            alive = list(here)
+            for step, letter in enumerate(order, 1):
+                out = [(i, f) for i, f in alive if letter in f]
+                failed = sum(letter in f for _, f in here)
+                alive = [(i, f) for i, f in alive if letter not in f]
+                shapley[letter] += len(out)
+                found.append([
+                    part, "".join(order), step, len(alive), len(out), failed - len(out), sum(f == {letter} for _, f in here),
+                    sum(i in good for i, _ in out), sum(i in toxic for i, _ in out), letter,
+                ])
+        rows += [tuple([*r[:-1], shapley[r[-1]]]) for r in found]
+    return sorted(rows, key=repr)
+
+
+def test_edge_rows(spark, edge_docs):
+    labels = [(1, 1, 0), (2, 0, 1), (3, 1, 1), (4, 1, 0), (4, 1, 0), (5, None, 1), (6, 1, None), (None, 1, 1), (77, 1, 1)]
+    extra = "doc_id long, quality int, toxic int, text string, source string"
+    frame = spark.createDataFrame([(*row, "clash", "clash") for row in labels], extra)
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in edge_docs.collect()]
+    assert rows_of(filter_audit.filter_audit(edge_docs, frame)) == brute_force(docs, labels)
+
+
+def test_parts_copies_and_ties(spark):
+    plain = " ".join(f"w{i}" for i in range(60))
+    docs = [
+        (3, plain, "a"), (1, plain, "b"), (1, plain, "a"), (7, plain, None), (7, plain, ""), (None, plain, "a"), (None, None, None),
+        (2, "", "a"), (5, None, "b"), (9, "SHOUT # " * 40, "b"), (8, "SHOUT # " * 40, "a"), (4, "x " * 49, "a"), (6, "Ünü " * 70, "é"),
+    ]
+    labels = [(3, 1, 0), (1, 1, 1), (7, 0, 1), (9, 1, 1), (8, 1, 0), (5, 1, 0)]
+    frame = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in docs], SCHEMA).repartition(5)
+    flags = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert rows_of(filter_audit.filter_audit(frame, flags)) == brute_force(docs, labels)
+
+
+def test_hot_text_is_counted_before_it_is_shuffled(spark):
+    frame = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same text', string(id)) as text", "'en' as lang", "'s' as source")
+    flags = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = filter_audit.filter_audit(frame, flags).where("filter_order = 'EABCD' and step = 1").first()
+    assert (got["removed"], got["kept"], got["shapley"]) == (1999, 4001, 1999 * 60)
+
+
+def test_other_filters_without_copies(spark):
+    frame = spark.createDataFrame([(1, "a b", "s"), (2, "a", "s"), (3, None, "s")], "doc_id long, text string, source string")
+    flags = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = filter_audit.filter_audit(frame, flags, {"X": "llm__n_words < 2", "Y": "llm__text = ''"}, copies=None)
+    assert rows_of(got, "filter_order", "step", "kept", "removed", "redundant", "unique_fails") == [
+        ("XY", 1, 1, 2, 0, 1), ("XY", 2, 1, 0, 1, 0), ("YX", 1, 2, 1, 0, 0), ("YX", 2, 1, 1, 1, 1),
+    ]
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_empty(spark, no_docs, labelled):
+    flags = spark.createDataFrame([(1, 1, 1)] if labelled else [], "doc_id long, quality int, toxic int")
+    got = filter_audit.filter_audit(no_docs, flags)
+    assert got.collect() == [] and got.columns == ["part", "filter_order", "step", *filter_audit.FIGURES]
