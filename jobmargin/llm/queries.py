@@ -14,6 +14,7 @@ from jobmargin.llm import (
     filter_audit,
     language,
     line_dedup,
+    merkle,
     mixing,
     quality_rules,
     sharding,
@@ -55,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": _on_documents(sharding.sharding),
     "op10_decontamination": _on_two(decontaminate.decontamination, "benchmark"),
     "op11_filter_audit": _on_two(filter_audit.filter_audit, "labels"),
+    "op13_merkle_manifest": _on_documents(merkle.merkle_manifest),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -154,7 +156,57 @@ select part, filter_order, step, kept::bigint as kept, removed::bigint as remove
 from summed
 """
 
+MERKLE_SQL = r"""
+with recursive texts as (
+  select doc_id, source, '-' as none, lang, n_chars, text,
+    list_reduce(
+      [4294967295::bigint] || list_transform(string_split_regex(doc_id::varchar, ''), lambda c: ord(c)::bigint),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: xor(v >> 1, (v & 1) * 3988292384::bigint))) as crc
+  from documents),
+framed as (
+  select doc_id, coalesce('+' || source, '') as k, coalesce(strlen(doc_id::varchar) || ':' || doc_id, none)
+      || coalesce(strlen(source) || ':' || source, none) || coalesce(strlen(lang) || ':' || lang, none)
+      || coalesce(strlen(n_chars::varchar) || ':' || n_chars, none) as head,
+    coalesce(strlen(text) || ':' || text, none) as own,
+    case when xor(crc, 4294967295) % 2 = 0 then replace(text, chr(10), '') else text end as other, none
+  from texts),
+leaves as (
+  select doc_id, k, sha256(head || own) as h, sha256(head || coalesce(strlen(other) || ':' || other, none)) as told from framed),
+placed as (
+  select *, row_number() over (partition by k order by doc_id nulls first, h) - 1 as i, count(*) over (partition by k) as n
+  from leaves),
+nodes as (
+  select 0 as level, k, i, n, h from placed
+  union all
+  select level + 1, k, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' order by i)) from nodes where n > 1 group by level, k, i // 3),
+parts as (select k, h, row_number() over (order by k) - 1 as i, count(*) over () as n from nodes where n = 1),
+tops as (
+  select 0 as level, i, n, h from parts
+  union all
+  select level + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' order by i)) from tops where n > 1 group by level, i // 3),
+steps as (
+  select p.k, p.i, 0 as tree, m.level, m.i as other, m.h, (p.i // (3 ** m.level)::bigint) as own
+  from placed p join nodes m on m.k = p.k and m.n > 1 and m.i // 3 = p.i // (3 ** (m.level + 1))::bigint
+  union all
+  select p.k, null, 1, m.level, m.i, m.h, (p.i // (3 ** m.level)::bigint)
+  from parts p join tops m on m.n > 1 and m.i // 3 = p.i // (3 ** (m.level + 1))::bigint),
+paths as (
+  select k, i, tree, level, coalesce(string_agg(h, '' order by other) filter (where other < own), '') as before,
+    coalesce(string_agg(h, '' order by other) filter (where other > own), '') as after
+  from steps group by k, i, tree, level),
+joined as (
+  select p.k, p.i, list(before || '|' || after order by tree, level) as path, string_agg(before || after, '' order by tree, level) as proof
+  from placed p join paths s on s.k = p.k and (s.i = p.i or s.i is null) group by p.k, p.i),
+folded as (
+  select p.*, s.h as subroot, (select h from tops where n = 1) as root, sha256(coalesce(proof, '')) as proof_sha256,
+    list_reduce([told] || coalesce(path, []),
+      lambda node, step: sha256(split_part(step, '|', 1) || node || split_part(step, '|', 2))) as folded_root
+  from placed p join parts s on s.k = p.k left join joined j on j.k = p.k and j.i = p.i)
+select doc_id, h as leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
+"""
+
 # The other operators hash, learn, encode or pack beyond SQL; tests/llm checks them against plain Python.
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op6_chat_format": CHAT_SQL, "op11_filter_audit": AUDIT_SQL}
+ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_SQL, "op6_chat_format": CHAT_SQL, "op11_filter_audit": AUDIT_SQL, "op13_merkle_manifest": MERKLE_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
