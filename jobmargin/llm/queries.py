@@ -21,6 +21,7 @@ from jobmargin.llm import (
     simhash,
     token_records,
     toxicity,
+    url_filter,
 )
 from jobmargin.llm.common import read
 
@@ -56,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": _on_documents(sharding.sharding),
     "op10_decontamination": _on_two(decontaminate.decontamination, "benchmark"),
     "op11_filter_audit": _on_two(filter_audit.filter_audit, "labels"),
+    "op12_url_filter": lambda spark, sf_dir: url_filter.url_filter(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")),
     "op13_merkle_manifest": _on_documents(merkle.merkle_manifest),
     "pipeline": corpus_pipeline.run,
 }
