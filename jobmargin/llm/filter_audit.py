@@ -87,39 +87,47 @@ def cells(rows: DataFrame, copies_bit: int = 0) -> DataFrame:
 
 
 def _fold(cell: str, orders: str) -> str:
-    """SQL: a cell's figures for all orders and steps, one struct each."""
-    fails = f"({cell}.mask & bit) <> 0"
+    """SQL: a cell's figures for all orders and steps, one struct each; orders list bits by their number."""
+    fails = f"(shiftright({cell}.mask, k) & 1) = 1"
     lost = {"removed": "n", "good_lost": "good", "toxic_lost": "toxic"}
     removed = f"{fails} and not gone.already"
     fields = {
         "kept": f"if(gone.already or {fails}, 0L, {cell}.n)",
         **{name: f"if({removed}, {cell}.{weight}, 0L)" for name, weight in lost.items()},
         "redundant": f"if({fails} and gone.already, {cell}.n, 0L)",
-        "unique_fails": f"if({cell}.mask = bit, {cell}.n, 0L)",
-        # The orders in which this filter is the first one that the cell fails.
-        "shapley": f"""if({fails}, {cell}.n * size(filter({orders}, o -> bit =
-            filter(o, b -> ({cell}.mask & b) <> 0)[0])), 0L)""",
+        "unique_fails": f"if({cell}.mask = shiftleft(1, k), {cell}.n, 0L)",
+        "shapley": f"{cell}.n * {cell}.first_in[k]",
     }
     struct = ", ".join(f"{fields[name]} as {name}" for name in FIGURES)
     kind = ", ".join(f"{name}: bigint" for name in FIGURES)
     return f"""flatten(transform({orders}, steps -> aggregate(steps,
         struct(false as already, cast(array() as array<struct<{kind}>>) as figures),
-        (gone, bit) -> struct(gone.already or {fails} as already,
+        (gone, k) -> struct(gone.already or {fails} as already,
           concat(gone.figures, array(struct({struct}))) as figures),
         gone -> gone.figures)))"""
 
 
+def _first_in(mask: str, orders: str, bits: int) -> str:
+    """SQL: for each bit the number of orders in which it is the first one set in ``mask``."""
+    firsts = f"transform({orders}, steps -> filter(steps, k -> (shiftright({mask}, k) & 1) = 1)[0])"
+    count = "aggregate(firsts, 0L, (n, first) -> n + if(first <=> bit, 1L, 0L))"
+    return f"transform(array({firsts}), firsts -> transform(sequence(0, {bits - 1}), bit -> {count}))[0]"
+
+
 def audit(found: DataFrame, letters: str) -> DataFrame:
     """``part, filter_order, step`` and the figures, from the cells; ``letters`` names the bits, lowest first."""
     every = list(permutations(range(len(letters))))
-    orders = "array(" + ", ".join(f"array({', '.join(str(1 << k) for k in order)})" for order in every) + ")"
+    orders = "array(" + ", ".join(f"array({', '.join(map(str, order))})" for order in every) + ")"
     names = "array(" + ", ".join(f"'{''.join(letters[k] for k in order)}'" for order in every) + ")"
     # At most one cell for each subset of the filters, so the list of a part is short whatever the part holds.
     by_part = found.groupBy("part").agg(F.collect_list(F.struct("mask", *WEIGHTS)).alias("cells"))
     sums = ", ".join(f"total.{name} + one.{name} as {name}" for name in FIGURES)
     merged = f"""aggregate(slice(cells, 2, size(cells)), {_fold('cells[0]', 'orders')},
         (totals, cell) -> zip_with(totals, {_fold('cell', 'orders')}, (total, one) -> struct({sums})))"""
-    figures = by_part.select("part", "cells", F.expr(orders).alias("orders")).select("part", F.expr(merged).alias("figures"))
+    with_orders = by_part.select("part", "cells", F.expr(orders).alias("orders"))
+    fields = ", ".join(f"c.{name}" for name in ("mask", *WEIGHTS))
+    counted = f"transform(cells, c -> struct({fields}, {_first_in('c.mask', 'orders', len(letters))} as first_in)) as cells"
+    figures = with_orders.selectExpr("part", "orders", counted).select("part", F.expr(merged).alias("figures"))
     rows = figures.select("part", F.posexplode("figures").alias("at", "figure"))
     return rows.select(
         "part",
