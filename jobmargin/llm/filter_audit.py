@@ -109,7 +109,7 @@ def _fold(cell: str, orders: str) -> str:
 
 def _first_in(mask: str, orders: str, bits: int) -> str:
     """SQL: for each bit the number of orders in which it is the first one set in ``mask``."""
-    firsts = f"transform({orders}, steps -> filter(steps, k -> (shiftright({mask}, k) & 1) = 1)[0])"
+    firsts = f"transform({orders}, steps -> get(filter(steps, k -> (shiftright({mask}, k) & 1) = 1), 0))"
     count = "aggregate(firsts, 0L, (n, first) -> n + if(first <=> bit, 1L, 0L))"
     return f"transform(array({firsts}), firsts -> transform(sequence(0, {bits - 1}), bit -> {count}))[0]"
 
