@@ -88,11 +88,11 @@ def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def raise_on_failure(gate: DataFrame, show: Callable[[str], None] = print) -> list[tuple[str, bool]]:
-    """Collect the few gate rows, show each verdict and raise if any check failed."""
-    verdicts = [(row["check_name"], row["passed"]) for row in gate.collect()]
-    for name, passed in verdicts:
-        show(f"{'PASS' if passed else 'FAIL'}  {name}")
-    failed = [name for name, passed in verdicts if not passed]
-    if failed:
-        raise QualityError(f"quality checks failed: {failed}")
-    return verdicts
+    """Collect the few gate rows, show how many violations each check found and raise if any did."""
+    rows = gate.collect()
+    for row in rows:
+        show(f"{row['check_name']}: {'ok' if row['passed'] else str(row['violations']) + ' violations'}")
+    broken = {row["check_name"]: row["violations"] for row in rows if not row["passed"]}
+    if broken:
+        raise QualityError(f"violations by check: {broken}")
+    return [(row["check_name"], row["passed"]) for row in rows]

@@ -1,7 +1,8 @@
 """Dashboard answers over the job fact.
 
-Functions taking ``picked`` expect a fact already narrowed by ``JobFilter``. Sums over
-nothing are 0 here, as on the cards; the scorecards keep them NULL.
+Functions taking ``picked`` expect a fact already narrowed by ``JobFilter``; those that only
+sum also take selection cells narrowed by it. Sums over nothing are 0 here, as on the cards;
+the scorecards keep them NULL.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from jobmargin.functions.formats import money, number, percent
+from jobmargin.functions.measures import added, added_or_zero, known, mean, rows
 from jobmargin.functions.ratios import ascending, descending, expressions, highest, lowest, ratio, total
+from jobmargin.operators.cells import aggregates
 
 OVERRUN = 0.10  # share of planned hours above which a job counts as over plan
 
@@ -19,16 +22,16 @@ DETAIL_COLUMNS = (
     "gross_margin_pct", "estimated_labor_hours", "actual_labor_hours", "labor_variance_pct", "rework_flag",
 )
 
-# Group aggregates of the dashboard, by output name.
+# Group aggregates of the dashboard, by output name; they can be taken from jobs or from selection cells.
 SUMMARY = {
-    "jobs": "count(job_id)",
-    "revenue": total("billed_revenue"),
-    "gross_profit": total("gross_profit"),
-    "labor_hours": total("actual_labor_hours"),
-    "avg_labor_variance": "avg(labor_variance_pct)",
-    "rework_rate": "avg(rework_flag)",
-    "avg_travel": "avg(travel_minutes)",
-    "avg_rating": "avg(customer_rating)",
+    "jobs": known("job_id"),
+    "revenue": added_or_zero("billed_revenue"),
+    "gross_profit": added_or_zero("gross_profit"),
+    "labor_hours": added_or_zero("actual_labor_hours"),
+    "avg_labor_variance": mean("labor_variance_pct"),
+    "rework_rate": mean("rework_flag"),
+    "avg_travel": mean("travel_minutes"),
+    "avg_rating": mean("customer_rating"),
 }
 # Ratios of the sums above.
 GROSS_MARGIN = f"{ratio('gross_profit', 'revenue')} as gross_margin"
@@ -36,7 +39,7 @@ REVENUE_PER_HOUR = f"{ratio('revenue', 'labor_hours')} as revenue_per_labor_hour
 
 
 def _summarize(picked: DataFrame, by: str, *names: str) -> DataFrame:
-    return picked.groupBy(by).agg(*expressions({n: SUMMARY[n] for n in names}))
+    return picked.groupBy(by).agg(*aggregates(picked, {n: SUMMARY[n] for n in names}))
 
 
 # -- filter widgets ---------------------------------------------------------------------
@@ -66,7 +69,7 @@ def filter_values(fact: DataFrame) -> DataFrame:
 def kpi_totals(picked: DataFrame) -> DataFrame:
     """One row; margin and job value are 0, not NULL, without revenue or jobs."""
     sums = {n: SUMMARY[n] for n in ("revenue", "gross_profit", "labor_hours")}
-    return picked.agg(*expressions({**sums, "jobs_completed": "count(1)"})).selectExpr(
+    return picked.agg(*aggregates(picked, {**sums, "jobs_completed": rows()})).selectExpr(
         "revenue",
         "gross_profit",
         f"coalesce({ratio('gross_profit', 'revenue')}, 0D) as gross_margin",
@@ -108,7 +111,7 @@ def monthly_trend(picked: DataFrame) -> DataFrame:
     second scan that joining a calendar would need.
     """
     with_jobs = picked.groupBy(F.expr("trunc(completed_date, 'month') as month")).agg(
-        *expressions({n: SUMMARY[n] for n in ("revenue", "gross_profit")})
+        *aggregates(picked, {n: SUMMARY[n] for n in ("revenue", "gross_profit")})
     )
     return (
         with_jobs.withColumn("following", F.lead("month").over(Window.orderBy("month")))
@@ -160,9 +163,14 @@ def insights(picked: DataFrame) -> DataFrame:
     crew, service = F.col("crew_name"), F.col("service_name")
     names = ("revenue", "gross_profit", "labor_hours")
     cells = picked.groupBy(crew, service).agg(
-        *expressions({n: SUMMARY[n] for n in names}),
-        F.sum("labor_variance_pct").alias("variance_sum"),
-        F.count("labor_variance_pct").alias("variance_jobs"),
+        *aggregates(
+            picked,
+            {
+                **{n: SUMMARY[n] for n in names},
+                "variance_sum": added("labor_variance_pct"),
+                "variance_jobs": known("labor_variance_pct"),
+            },
+        )
     )
     groups = (
         cells.groupingSets([[crew], [service]], crew, service)

@@ -15,7 +15,8 @@ from jobmargin.operators.fact import FACT_COLUMNS, job_fact
 from jobmargin.operators.quality import constrained_columns, constraint_report, quality_gate, raise_on_failure
 from jobmargin.operators.staging import Staged
 from jobmargin.plans.scorecards import SCORECARDS, estimate_order, estimate_scorecard
-from jobmargin.sources.writers import ensure_database, export_csv, replace_table, replace_view
+from jobmargin.sources.releases import Release, expire
+from jobmargin.sources.writers import ensure_database, export_csv, replace_view
 
 FACT = "job_fact"
 ESTIMATES = "estimate_scorecard"
@@ -81,14 +82,9 @@ def register_views(staged: Staged) -> None:
     replace_view(economics_of(staged), "job_economics")
 
 
-def load_raw(
-    spark: SparkSession, tables: Mapping[str, DataFrame], folder: str, database: str = "raw"
-) -> dict[str, DataFrame]:
-    """Copy the raw tables into ``database``, so that CSV text is parsed only once."""
-    ensure_database(spark, database, f"{folder}/raw")
-    return _side_by_side(
-        spark, lambda name: replace_table(tables[name], f"{database}.{name}", f"{folder}/raw/{name}"), tables
-    )
+def load_raw(release: Release, tables: Mapping[str, DataFrame], database: str = "raw") -> dict[str, DataFrame]:
+    """Copy the raw tables into ``database`` of a release, so that CSV text is parsed only once."""
+    return _side_by_side(release.spark, lambda name: release.write(tables[name], f"{database}.{name}"), tables)
 
 
 def export(published: Published, folder: str) -> None:
@@ -100,6 +96,14 @@ def export(published: Published, folder: str) -> None:
     )
 
 
+def publish_tables(release: Release, staged: Staged, analytics: str = "analytics") -> Published:
+    """The fact, partitioned by month, and the scorecards over it, written into ``release``."""
+    fact = release.write(job_fact(staged), f"{analytics}.{FACT}", "completed_month")
+    cards = scorecards_over(fact, staged)
+    stored = _side_by_side(release.spark, lambda name: release.write(cards[name], f"{analytics}.{name}"), cards)
+    return Published({FACT: fact, **stored})
+
+
 def refresh(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
@@ -108,24 +112,27 @@ def refresh(
     raw: str = "raw",
     analytics: str = "analytics",
 ) -> Published:
-    """The whole run, repeatable: load, stage, publish, export, then the quality gate.
+    """The whole run, repeatable: load, stage, write, publish, export, then the quality gate.
 
-    The joins run once, for the fact; the scorecards are scans of the stored fact. The gate
-    comes last, as a verdict on what was published: it raises ``QualityError`` with
-    everything already in place for inspection. ``raw`` and ``analytics`` name the databases, so
+    The joins run once, for the fact; the scorecards are scans of the stored fact. All tables belong to one release
+    below ``folder/releases``: until its last table is written the catalog shows the release before it, whole, and
+    a run that breaks changes nothing. The gate comes last, as a verdict on what was published: it raises
+    ``QualityError`` with everything already in place for inspection. ``raw`` and ``analytics`` name the databases, so
     that several refreshes can share a catalog.
     """
-    staged = Staged(load_raw(spark, tables, folder, raw))
+    root = f"{folder}/releases"
+    for database in (raw, analytics):
+        ensure_database(spark, database, f"{folder}/{database}")
+    release = Release(spark, root)
+    try:
+        staged = Staged(load_raw(release, tables, raw))
+        published = publish_tables(release, staged, analytics)
+        release.publish()
+    except Exception:
+        release.discard()
+        raise
     register_views(staged)
-    ensure_database(spark, analytics, f"{folder}/analytics")
-
-    def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        return replace_table(df, f"{analytics}.{name}", f"{folder}/analytics/{name}", partition_by)
-
-    fact = store(job_fact(staged), FACT, "completed_month")
-    cards = scorecards_over(fact, staged)
-    stored = _side_by_side(spark, lambda name: store(cards[name], name), cards)
-    published = Published({FACT: fact, **stored})
+    expire(spark, root)
     export(published, f"{folder}/exports")
     raise_on_failure(quality_gate(published.fact), show)
     return published

@@ -1,4 +1,4 @@
-"""Published tables, views and CSV exports. Every write replaces its target."""
+"""Parquet folders, views and CSV exports. Every write replaces its target; ``sources.releases`` publishes several at once."""
 
 from __future__ import annotations
 
@@ -15,29 +15,13 @@ def replace_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def replace_table(
-    df: DataFrame, name: str, path: str | None = None, partition_by: str | None = None
-) -> DataFrame:
-    """Write ``df`` as the Parquet table ``name`` and return it as read back.
+def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet folder and return it as read back.
 
     A partitioned write is preceded by a rebalance on the partition column: adaptive
     execution then cuts each value into files of the advisory size, so a month that holds
     a third of all rows is written by many tasks and a thin month by one.
     """
-    if partition_by:
-        df = df.hint("rebalance", partition_by)
-    writer = df.write.mode("overwrite").format("parquet")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
-    # The partition column is stored last; keep the order it came in.
-    return df.sparkSession.table(name).select(*df.columns)
-
-
-def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    """``replace_table`` without a catalog: the folder is the table."""
     schema = df.schema
     if partition_by:
         df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)

@@ -113,7 +113,7 @@ def test_refresh_publishes_exports_and_repeats(spark, tmp_path):
     verdicts = []
     for _ in range(2):  # a refresh replaces what is there
         published = pipeline.refresh(spark, tables, str(tmp_path), verdicts.append)
-    assert len(verdicts) == 10 and all(v.startswith("PASS") for v in verdicts)
+    assert len(verdicts) == 10 and all(v.endswith(": ok") for v in verdicts)
 
     assert published.fact.count() == 6 and tuple(published.fact.columns) == FACT_COLUMNS
     stored = pipeline.read_published(spark)
