@@ -19,14 +19,16 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from jobmargin.operators.economics import economics_of, labor_rollup  # noqa: E402
 from jobmargin.operators.fact import job_fact  # noqa: E402
-from jobmargin.operators.filters import JobFilter  # noqa: E402
+from jobmargin.operators.cells import job_cells  # noqa: E402
+from jobmargin.operators.distinct import BIT_KEYS, customer_bits, selected_customers  # noqa: E402
+from jobmargin.operators.filters import JobFilter, selection_state  # noqa: E402
 from jobmargin.operators.quality import QualityError, quality_gate  # noqa: E402
 from jobmargin.operators.staging import Staged, stage  # noqa: E402
-from jobmargin.plans import dashboard, findings, pipeline, story  # noqa: E402
+from jobmargin.plans import dashboard, findings, increment, pipeline, story  # noqa: E402
 from jobmargin.plans.scorecards import SCORECARDS, estimate_order, estimate_scorecard, scorecard  # noqa: E402
 from jobmargin.session import run_folder  # noqa: E402
 from jobmargin.sources.readers import read_csv_table  # noqa: E402
-from jobmargin.sources.sample_binding import bind, bind_dirty  # noqa: E402
+from jobmargin.sources.sample_binding import bind, bind_changed, bind_dirty, changed_jobs  # noqa: E402
 from jobmargin.sources.schemas import RAW_TABLES  # noqa: E402
 from jobmargin.sources.writers import export_csv, remove_folder, write_parquet  # noqa: E402
 from oracles.queries import ORACLES  # noqa: E402
@@ -44,6 +46,8 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 # A selection with empty months between its first and last job.
 SPARSE = JobFilter(cities=["NATION_1"], services=["PROMO"])
+# A selection of ten thousand names, of which a few exist.
+LONG = JobFilter(cities=[f"NATION_{i}" for i in range(3, 10_003)])
 # A selection on every dimension.
 NARROW = JobFilter(
     start=date(1996, 3, 15),
@@ -156,8 +160,26 @@ def _exported(name: str) -> Query:
     return run
 
 
+def _profile(name: str, df: DataFrame) -> DataFrame:
+    """One row per column: rows, values, smallest and largest as text, and the sum of numbers; one pass over ``df``.
+
+    Scorecards are rounded first, as their SQL is.
+    """
+    df = _comparable(df) if name.endswith("scorecard") else df
+    numbers, whole = ("bigint", "int", "double"), ("bigint", "int", "date", "string")
+    rows = []
+    for column, kind in df.dtypes:
+        least, greatest = (f"cast({f}({column}) as string)" if kind in whole else "cast(null as string)" for f in ("min", "max"))
+        total = f"cast(sum({column}) as double)" if kind in numbers else "cast(null as double)"
+        rows.append(
+            f"struct('{name}' as table_name, '{column}' as column_name, count(1) as n_rows, count({column}) as n_values, "
+            f"{least} as least, {greatest} as greatest, {total} as total)"
+        )
+    return df.agg(F.expr(f"array({', '.join(rows)}) as columns")).selectExpr("inline(columns)")
+
+
 def _refreshed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``table_name, n_rows``: the tables and views of a full refresh, read back by their names."""
+    """A profile of all tables and views of a full refresh, read back by their names."""
     folder = run_folder(spark, "refresh")
     mark = folder.rsplit("-", 1)[1]
     raw, analytics = f"raw_{mark}", f"analytics_{mark}"
@@ -167,8 +189,58 @@ def _refreshed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         pass  # the test data holds jobs outside the margin range; everything is published by then
     views = [*(f"staged_{table}" for table in RAW_TABLES), "labor_rollup", "job_economics"]
     tables = {**{view: spark.table(view) for view in views}, **pipeline.read_published(spark, analytics).tables}
-    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()]
-    return reduce(DataFrame.union, counts)
+    return _comparable(reduce(DataFrame.union, [_profile(name, df) for name, df in tables.items()]))
+
+
+def _refreshed_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile of the fact and its scorecards after a change that was applied to its months only."""
+    folder, before, after = run_folder(spark, "live"), bind(spark, sf_dir), bind_changed(spark, sf_dir)
+    increment.start(spark, before, folder)
+    months = increment.touched_months(
+        increment.live(spark, folder, increment.FACT), stage("jobs", after["jobs"]), changed_jobs(spark, sf_dir)
+    )
+    increment.apply_change(spark, after, folder, months)
+    cells, bits = increment.live(spark, folder, increment.CELLS), increment.live(spark, folder, increment.BITS)
+    tables = {name: increment.scorecard_from_state(name, cells, bits) for name in SCORECARDS}
+    tables = {pipeline.FACT: increment.live(spark, folder, increment.FACT), **tables}
+    return _comparable(reduce(DataFrame.union, [_profile(name, df) for name, df in tables.items()]))
+
+
+def _on_cells(build: Callable[[DataFrame], DataFrame], chosen: JobFilter = JobFilter()) -> Query:
+    """``build`` over stored selection cells, as a dashboard would keep them; no job is read for the answer."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fact = job_fact(Staged(bind(spark, sf_dir)), ("services", "crews", "customers"))
+        cells = write_parquet(job_cells(fact), run_folder(spark, "cells"), partition_by="completed_month")
+        return _comparable(build(chosen.apply(cells)))
+
+    return run
+
+
+def _card_from_cells(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fact = job_fact(Staged(bind(spark, sf_dir)))
+        cells = write_parquet(job_cells(fact), run_folder(spark, "cells"))
+        bits = write_parquet(customer_bits(fact), run_folder(spark, "bits"))
+        return _comparable(increment.scorecard_from_state(name, cells, bits))
+
+    return run
+
+
+def _customers_from_bits(chosen: JobFilter) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        columns = [*BIT_KEYS, "completed_date", "customer_id"]
+        fact = job_fact(Staged(bind(spark, sf_dir))).select(*columns)
+        fact = write_parquet(fact, run_folder(spark, "fact"), partition_by="completed_month")
+        bits = write_parquet(customer_bits(fact), run_folder(spark, "bits"), partition_by="completed_month")
+        return selected_customers(bits, fact, chosen)
+
+    return run
+
+
+def _selection_states(staged: Staged) -> DataFrame:
+    fact = job_fact(staged, ("services", "crews"))
+    return reduce(DataFrame.union, [selection_state(c.apply(fact), c) for c in (NARROW, JobFilter(cities=["Nowhere"]))])
 
 
 def _published_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +273,7 @@ def queries() -> dict[str, Query]:
         "exported_cities": _exported_cities,
         **{f"exported_{name}": _exported(name) for name in (pipeline.FACT, *SCORECARDS, pipeline.ESTIMATES)},
         "refreshed_tables": _refreshed_tables,
+        "refreshed_after_change": _refreshed_after_change,
         "published_months": _published_months,
         # job economics and the fact
         "labor_rollup": _on_staged(lambda s: labor_rollup(s["job_labor"])),
@@ -243,6 +316,21 @@ def queries() -> dict[str, Query]:
         "win_rate_ranking": _on_estimate_card(dashboard.win_rate_ranking),
         "pipeline_ranking": _on_estimate_card(dashboard.pipeline_ranking),
         "pipeline_ranking_table": _on_estimate_card(lambda card: dashboard.pipeline_ranking(card, largest_first=True)),
+        "selection_state": _on_staged(_selection_states),
+        "filtered_jobs_long_list": _on_picked(lambda picked: picked, "customers", chosen=LONG),
+        # the same from stored cells and bitmaps
+        "kpi_totals_from_cells": _on_cells(dashboard.kpi_totals),
+        "kpi_totals_narrow_from_cells": _on_cells(dashboard.kpi_totals, NARROW),
+        "monthly_trend_dense_from_cells": _on_cells(dashboard.monthly_trend),
+        "revenue_by_service_from_cells": _on_cells(lambda cells: dashboard.revenue_by(cells, "service_name")),
+        "margin_by_service_from_cells": _on_cells(dashboard.margin_by_service),
+        "revenue_by_city_from_cells": _on_cells(lambda cells: dashboard.revenue_by(cells, "city")),
+        "crew_efficiency_from_cells": _on_cells(dashboard.crew_efficiency),
+        "crew_dashboard_from_cells": _on_cells(dashboard.crew_dashboard),
+        "insights_from_cells": _on_cells(dashboard.insights),
+        **{f"{name}_from_cells": _card_from_cells(name) for name in SCORECARDS},
+        "active_customers_from_bitmaps": _customers_from_bits(JobFilter()),
+        "active_customers_narrow_from_bitmaps": _customers_from_bits(NARROW),
         # story and what-if
         "story_scope": _on_picked(lambda p: story.story_scope(p), "customers"),
         "crew_summary": _on_story(story.crew_summary),

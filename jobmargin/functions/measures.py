@@ -32,13 +32,13 @@ class Measure:
 
 
 def rows() -> Measure:
-    return Measure(ROWS, {"jobs": ROWS}, "{jobs}")
+    return Measure(ROWS, {"jobs": ROWS}, "coalesce({jobs}, 0L)")
 
 
 def known(column: str) -> Measure:
     """Rows where ``column`` is not NULL."""
     name = f"count_{column}"
-    return Measure(f"count({column})", {name: f"count({column})"}, f"{{{name}}}")
+    return Measure(f"count({column})", {name: f"count({column})"}, f"coalesce({{{name}}}, 0L)")
 
 
 def added(column: str) -> Measure:

@@ -10,9 +10,12 @@ range would give one bitmap each.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
+from jobmargin.operators.filters import JobFilter
+
 BIT_KEYS = ("completed_month", "city", "service_name", "crew_name")
 
 
@@ -31,3 +34,31 @@ def count_customers(bits: DataFrame, *keys: str, name: str = "active_customers")
     """Distinct customers per ``keys``, or overall as one row; groups without any customer are absent."""
     counted = merged_bits(bits, *keys).withColumn("n", F.expr("bitmap_count(bits)"))
     return counted.groupBy(*keys).agg(F.expr("coalesce(sum(n), 0L)").alias(name))
+
+
+def selected_customers(bits: DataFrame, fact: DataFrame, chosen: JobFilter) -> DataFrame:
+    """Distinct customers of a selection: whole months from the stored bitmaps, cut months from their jobs.
+
+    Of the fact only the first and last month are read, and those only if the selection cuts them.
+    """
+    stored = bits.filter("completed_month is not null")
+    for rule in chosen.picks():
+        stored = stored.filter(rule)
+    stored = chosen.semi_joined(stored)
+    bounds = chosen.bounds()
+    if bounds is not None:
+        month = F.col("completed_month")
+        whole = (month >= F.lit(bounds[0])) & (F.last_day(month) <= F.lit(bounds[1]))
+        cut = [day.replace(day=1) for day, edge in zip(bounds, _edges(bounds)) if day != edge]
+        stored = stored.filter(month.between(F.lit(bounds[0]), F.lit(bounds[1].replace(day=1))) & whole)
+        if cut:
+            jobs = chosen.apply(fact.filter(month.isin(*cut)))
+            stored = stored.unionByName(customer_bits(jobs, BIT_KEYS))
+    return count_customers(stored)
+
+
+def _edges(bounds: tuple) -> tuple:
+    """The first day of the first month and the last day of the last one."""
+    first, last = bounds
+    following = (last.replace(day=28) + timedelta(days=4)).replace(day=1)
+    return first.replace(day=1), following - timedelta(days=1)

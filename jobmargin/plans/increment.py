@@ -23,8 +23,8 @@ from jobmargin.operators.distinct import count_customers, customer_bits
 from jobmargin.operators.fact import job_fact
 from jobmargin.operators.staging import Staged
 from jobmargin.plans.scorecards import SCORECARDS
-from jobmargin.sources.releases import file_exists, read_small_file, write_small_file
-from jobmargin.sources.writers import remove_folder, write_parquet
+from jobmargin.sources.releases import read_small_file
+from jobmargin.sources.writers import file_exists, remove_folder, write_parquet, write_small_file
 
 MONTH = "completed_month"
 FACT, CELLS, BITS = "job_fact", "job_cells", "customer_bits"

@@ -7,16 +7,20 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobmargin.sources.schemas import RAW_TABLES, require_columns
+from jobmargin.sources.writers import LINE_BREAKS, file_exists
 
 
-def read_csv_table(spark: SparkSession, path: str, table: str, multi_line: bool = False) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, table: str, multi_line: bool | None = None) -> DataFrame:
     """One raw table as strings, matched to its declaration by header name.
 
     Without ``inferSchema`` the reader takes names from the header and types every column
     as string; ``enforceSchema=false`` then checks the header of each further file, and
     FAILFAST rejects torn records. Unquoted blanks become NULL. ``multi_line`` allows line
-    breaks inside quotes but makes files unsplittable, so it is off by default.
+    breaks inside quotes but makes files unsplittable. By default it is on for a folder that ``export_csv`` marked as
+    holding such texts, and off for all others.
     """
+    if multi_line is None:
+        multi_line = file_exists(spark, f"{path}/{LINE_BREAKS}")
     df = (
         spark.read.option("header", True)
         .option("enforceSchema", False)

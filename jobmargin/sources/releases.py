@@ -17,41 +17,19 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobmargin.sources.writers import remove_folder, write_parquet
+from jobmargin.sources.writers import file_exists, hadoop_path, remove_folder, write_parquet, write_small_file
 
 MARKER = "released.json"
 _TRACKED = "spark.sql.hive.manageFilesourcePartitions"
 
 
-def _path(spark: SparkSession, path: str):
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def file_exists(spark: SparkSession, path: str) -> bool:
-    found, files = _path(spark, path)
-    return files.exists(found)
-
-
-def write_small_file(spark: SparkSession, path: str, text: str) -> None:
-    """A file that is there whole or not at all: written under another name, then renamed."""
-    target, files = _path(spark, path)
-    aside, _ = _path(spark, f"{path}.part")
-    stream = files.create(aside, True)
-    stream.write(text.encode())
-    stream.close()
-    files.delete(target, False)
-    if not files.rename(aside, target):
-        raise OSError(f"could not name {path}")
-
-
 def read_small_file(spark: SparkSession, path: str) -> str:
     return "\n".join(row[0] for row in spark.read.option("wholetext", True).text(path).collect())
 
 
 def released(spark: SparkSession, root: str) -> list[str]:
     """The folders of all published releases under ``root``, oldest first."""
-    folder, files = _path(spark, root)
+    folder, files = hadoop_path(spark, root)
     if not files.exists(folder):
         return []
     found = [str(entry.getPath()) for entry in files.listStatus(folder) if entry.isDirectory()]

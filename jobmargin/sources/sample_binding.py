@@ -196,6 +196,31 @@ def _damaged_jobs(t: TestTables) -> DataFrame:
     return damaged.withColumn("copy", F.expr("explode(array_repeat(0, if(job_id % 500 = 0, 2, 1)))")).drop("copy")
 
 
+# Jobs that change between two loads: those scheduled in two months of 1997, by their id modulo 7.
+AMENDED = "scheduled_date between date'1997-03-01' and date'1997-04-30'"
+
+
+def _amended_jobs(t: TestTables) -> DataFrame:
+    """Some jobs are billed higher, some finish 40 days later, some lose their date, some are gone."""
+    return jobs(t).filter(f"not ({AMENDED} and job_id % 7 = 5)").withColumns(
+        {
+            "billed_revenue": F.expr(f"if({AMENDED} and job_id % 7 = 3, billed_revenue * 1.25D, billed_revenue)"),
+            "completed_date": F.expr(
+                f"case when {AMENDED} and job_id % 7 = 4 then date_add(completed_date, 40) when {AMENDED} and job_id % 7 = 6 then null "
+                "else completed_date end"
+            ),
+        }
+    )
+
+
+def _amended_labor(t: TestTables) -> DataFrame:
+    """The labor of the jobs billed higher costs twice as much."""
+    dated = t["orders"].selectExpr("o_orderkey as of_job", "cast(o_orderdate as date) as scheduled_date", "o_orderkey as job_id")
+    raised = dated.filter(f"{AMENDED} and job_id % 7 = 3").select("of_job")
+    labor = job_labor(t).join(raised, F.expr("job_id = of_job"), "left")
+    return labor.withColumn("labor_cost", F.expr("if(of_job is null, labor_cost, labor_cost * 2)")).drop("of_job")
+
+
 def _missing_customers(t: TestTables) -> DataFrame:
     return customers(t).filter("customer_id % 97 <> 0")
 
@@ -211,6 +236,7 @@ BINDINGS: dict[str, Callable[[TestTables], DataFrame]] = {
     "invoices": invoices,
     "weather_daily": weather_daily,
 }
+CHANGED = {**BINDINGS, "jobs": _amended_jobs, "job_labor": _amended_labor}
 DAMAGED = {**BINDINGS, "customers": _missing_customers, "jobs": _damaged_jobs}
 
 
@@ -237,3 +263,13 @@ def bind(spark: SparkSession, folder: str) -> Bound:
 def bind_dirty(spark: SparkSession, folder: str) -> Bound:
     """The same tables with known defects, so that every quality rule has something to find."""
     return Bound(spark, folder, DAMAGED)
+
+
+def bind_changed(spark: SparkSession, folder: str) -> Bound:
+    """The same tables after some jobs and their labor changed."""
+    return Bound(spark, folder, CHANGED)
+
+
+def changed_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """``job_id`` of all jobs that differ between ``bind`` and ``bind_changed``."""
+    return bind(spark, folder)["jobs"].filter(f"{AMENDED} and job_id % 7 between 3 and 6").select("job_id")

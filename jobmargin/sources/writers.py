@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+LINE_BREAKS = "_line_breaks"
 
 
 def ensure_database(spark: SparkSession, name: str, location: str) -> None:
@@ -30,10 +32,32 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
     return df.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    found, files = hadoop_path(spark, path)
+    return files.exists(found)
+
+
+def write_small_file(spark: SparkSession, path: str, text: str) -> None:
+    """A file that is there whole or not at all: written under another name, then renamed."""
+    target, files = hadoop_path(spark, path)
+    aside, _ = hadoop_path(spark, f"{path}.part")
+    stream = files.create(aside, True)
+    stream.write(text.encode())
+    stream.close()
+    files.delete(target, False)
+    if not files.rename(aside, target):
+        raise OSError(f"could not name {path}")
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that a run wrote and nothing reads any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete a folder or file that a run wrote and nothing reads any more."""
+    folder, files = hadoop_path(spark, path)
+    files.delete(folder, True)
 
 
 def _plain_decimal(column: str) -> Column:
@@ -50,12 +74,16 @@ def export_csv(df: DataFrame, path: str, order: Sequence[Column] = ()) -> None:
 
     Texts keep their blanks, an empty text is written in quotes and NULL as nothing, doubles as plain
     decimals. With ``order`` the part files are in global order. A scorecard is small enough for
-    adaptive execution to leave it in one part; a large table keeps many.
+    adaptive execution to leave it in one part; a large table keeps many. Where a text holds a line break,
+    which is counted while the files are written, the folder says so in a file that CSV readers skip.
     """
     if order:
         df = df.orderBy(*order)
+    breaks = [f"locate('\\n', `{c}`) > 0 or locate('\\r', `{c}`) > 0" for c, t in df.dtypes if t == "string"]
+    seen = Observation()
+    observed = df.observe(seen, F.expr(f"coalesce(bool_or({' or '.join(breaks) or 'false'}), false) as line_breaks"))
     (
-        df.select([_plain_decimal(c) if t == "double" else c for c, t in df.dtypes])
+        observed.select([_plain_decimal(c) if t == "double" else c for c, t in df.dtypes])
         .write.mode("overwrite")
         .option("header", True)
         .option("quote", '"')
@@ -65,3 +93,5 @@ def export_csv(df: DataFrame, path: str, order: Sequence[Column] = ()) -> None:
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+    if seen.get["line_breaks"]:
+        write_small_file(df.sparkSession, f"{path}/{LINE_BREAKS}", "texts hold line breaks")

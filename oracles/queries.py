@@ -497,11 +497,82 @@ REFRESHED = {
     "labor_rollup": "labor_sums", "job_economics": "economics", "job_fact": "fact",
     **{name: f"({sql})" for name, sql in SCORECARDS.items()},
 }
-BODIES["refreshed_tables"] = " union all ".join(
-    f"select '{name}' as table_name, {ROWS} as n_rows from {source}" for name, source in REFRESHED.items()
+# Columns of these tables as (name, kind); kinds: t text, d date, i whole number, f double.
+SHAPES = {
+    "staged_customers": "customer_id:i customer_name:t customer_type:t city:t zip_code:t signup_date:d customer_status:t "
+    "contract_type:t acquisition_channel:t property_tier:t",
+    "staged_services": "service_id:i service_name:t service_category:t billing_type:t default_price:f default_est_labor_hours:f "
+    "default_material_cost:f target_margin:f",
+    "staged_crews": "crew_id:i crew_name:t home_base:t supervisor:t crew_size:i labor_efficiency_factor:f",
+    "staged_employees": "employee_id:i employee_name:t crew_id:i role:t hourly_rate:f hire_date:d",
+    "staged_estimates": "estimate_id:i customer_id:i service_id:i estimate_date:d quoted_revenue:f quoted_labor_hours:f "
+    "quoted_material_cost:f estimate_status:t won_date:d",
+    "staged_jobs": "job_id:i estimate_id:i customer_id:i service_id:i crew_id:i scheduled_date:d completed_date:d job_status:t city:t "
+    "billed_revenue:f estimated_labor_hours:f actual_labor_hours:f estimated_material_cost:f actual_material_cost:f rework_flag:i "
+    "weather_delay_flag:i travel_minutes:i customer_rating:f",
+    "staged_job_labor": "job_id:i employee_id:i crew_id:i work_date:d labor_hours:f labor_cost:f",
+    "staged_invoices": "invoice_id:i job_id:i customer_id:i invoice_date:d invoice_amount:f payment_status:t days_to_pay:i paid_date:d",
+    "staged_weather_daily": "weather_date:d city:t high_temp_f:f precip_inches:f rain_flag:i severe_weather_flag:i",
+    "labor_rollup": "job_id:i labor_hours_from_detail:f labor_cost:f",
+    "job_fact": "job_id:i estimate_id:i scheduled_date:d completed_date:d completed_month:d customer_id:i customer_name:t customer_type:t "
+    "contract_type:t acquisition_channel:t property_tier:t service_id:i service_name:t service_category:t billing_type:t "
+    "target_margin:f crew_id:i crew_name:t crew_home_base:t city:t billed_revenue:f labor_cost:f actual_material_cost:f gross_profit:f "
+    "gross_margin_pct:f estimated_labor_hours:f actual_labor_hours:f labor_variance_hours:f labor_variance_pct:f "
+    "estimated_material_cost:f material_variance:f material_variance_pct:f rework_flag:i weather_delay_flag:i travel_minutes:i "
+    "customer_rating:f",
+    "monthly_scorecard": "completed_month:d jobs_completed:i active_customers:i revenue:f labor_cost:f material_cost:f gross_profit:f "
+    "gross_margin_pct:f avg_job_value:f revenue_per_labor_hour:f rework_rate:f weather_delay_rate:f avg_customer_rating:f",
+    "crew_scorecard": "crew_id:i crew_name:t jobs_completed:i revenue:f gross_profit:f gross_margin_pct:f actual_labor_hours:f "
+    "revenue_per_labor_hour:f avg_labor_variance_pct:f rework_rate:f avg_travel_minutes:f avg_customer_rating:f",
+    "service_scorecard": "service_id:i service_name:t service_category:t billing_type:t jobs_completed:i revenue:f gross_profit:f "
+    "gross_margin_pct:f avg_labor_variance_pct:f avg_material_variance_pct:f avg_customer_rating:f",
+    "city_scorecard": "city:t jobs_completed:i customers_served:i revenue:f gross_profit:f gross_margin_pct:f avg_travel_minutes:f "
+    "weather_delay_rate:f avg_customer_rating:f",
+    "estimate_scorecard": "service_id:i service_name:t estimates_sent:i estimates_won:i win_rate:f quoted_value:f avg_estimate_value:f",
+}
+SHAPES["job_economics"] = f"{SHAPES['staged_jobs']} " + " ".join(
+    f"{c}:f" for c in (
+        "labor_cost", "gross_profit", "gross_margin_pct", "labor_variance_hours", "labor_variance_pct", "material_variance",
+        "material_variance_pct",
+    )
+)
+
+
+def _profiled(table: str, source: str) -> str:
+    """One row per column: rows, values, smallest and largest as text, and the sum of numbers."""
+    rows = []
+    for column, kind in (item.split(":") for item in SHAPES[table].split()):
+        text = f"cast({column} as varchar)" if kind != "f" else "cast(null as varchar)"
+        least, greatest = (f"cast({f}({column}) as varchar)" if kind in "di" else f"{f}({text})" for f in ("min", "max"))
+        total = f"six(cast(sum({column}) as double))" if kind in "if" else "cast(null as double)"
+        rows.append(
+            f"select '{table}' as table_name, '{column}' as column_name, {ROWS} as n_rows, cast(count({column}) as bigint) as n_values, "
+            f"{least} as least, {greatest} as greatest, {total} as total from {source}"
+        )
+    return " union all ".join(rows)
+
+
+BODIES["refreshed_tables"] = " union all ".join(_profiled(name, source) for name, source in REFRESHED.items())
+BODIES["refreshed_after_change"] = " union all ".join(
+    _profiled(name, REFRESHED[name]) for name in ("job_fact", "monthly_scorecard", "crew_scorecard", "service_scorecard", "city_scorecard")
 )
+# The same answers from selection cells and customer bitmaps.
+for _name in (
+    "kpi_totals", "kpi_totals_narrow", "monthly_trend_dense", "revenue_by_service", "margin_by_service", "revenue_by_city",
+    "crew_efficiency", "crew_dashboard", "insights", *SCORECARDS,
+):
+    BODIES[f"{_name}_from_cells"] = BODIES[_name]
+for _name in ("active_customers", "active_customers_narrow"):
+    BODIES[f"{_name}_from_bitmaps"] = BODIES[_name]
+BODIES["selection_state"] = """
+    select 'completed 1996-03-15 to 1998-09-30; city in (NATION_1, NATION_12, NATION_20, NATION_7); service in (ECONOMY, PROMO, STANDARD); '
+      || 'crew in (Crew AMERICA, Crew ASIA, Crew EUROPE)' as selection, count(*) > 0 as has_jobs from picked where """ + NARROW + """
+    union all select 'city in (Nowhere)', count(*) > 0 from picked where city = 'Nowhere'"""
+BODIES["filtered_jobs_long_list"] = f"select {_rounded(FACT_COLUMNS)} from picked where city in (select 'NATION_' || x from range(3, 10003) t(x))"
 
 ORACLES: dict[str, str] = {
-    name: with_tables(_spell_out(body), dirty=name in DIRTY, **CREWS, **STORY, **HEADLINES)
+    name: with_tables(
+        _spell_out(body), dirty=name in DIRTY, changed=name == "refreshed_after_change", **CREWS, **STORY, **HEADLINES
+    )
     for name, body in BODIES.items()
 }

@@ -86,6 +86,22 @@ DIRTY = {
         select * from damaged union all select * from damaged where job_id % 500 = 0""",
 }
 
+# The same tables after some jobs and their labor changed.
+_CHANGES = "scheduled_date between date '1997-03-01' and date '1997-04-30'"
+CHANGED = {
+    "raw_jobs": f"""
+        select * replace (
+          case when {_CHANGES} and job_id % 7 = 3 then billed_revenue * 125e-2 else billed_revenue end as billed_revenue,
+          case when {_CHANGES} and job_id % 7 = 4 then completed_date + 40
+            when {_CHANGES} and job_id % 7 = 6 then null else completed_date end as completed_date)
+        from ({RAW['raw_jobs']}) where not ({_CHANGES} and job_id % 7 = 5)""",
+    "raw_job_labor": f"""
+        select * replace (case when job_id % 7 = 3
+            and job_id in (select o_orderkey from orders where cast(o_orderdate as date) between date '1997-03-01' and date '1997-04-30')
+            then labor_cost * 2 else labor_cost end as labor_cost)
+        from ({RAW['raw_job_labor']})""",
+}
+
 TYPED = {
     "customers_t": "select * rename (status as customer_status) from raw_customers",
     "services_t": "select * replace (service_id::bigint as service_id) from raw_services",
@@ -142,7 +158,7 @@ FACT = {
 }
 
 
-def with_tables(body: str, dirty: bool = False, **more: str) -> str:
+def with_tables(body: str, dirty: bool = False, changed: bool = False, **more: str) -> str:
     """``body`` preceded by all shared CTEs and any further ones, in order."""
-    ctes = {**RAW, **(DIRTY if dirty else {}), **TYPED, **FACT, **more}
+    ctes = {**RAW, **(DIRTY if dirty else {}), **(CHANGED if changed else {}), **TYPED, **FACT, **more}
     return "with " + ",\n".join(f"{name} as ({sql})" for name, sql in ctes.items()) + "\n" + body
