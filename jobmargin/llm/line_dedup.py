@@ -8,13 +8,16 @@ and are removed everywhere else.
 
 Passages: lines are cut at sentence ends into pieces. From each piece on, and up to each piece, the shortest run of
 pieces with over ``PASSAGE_WORDS`` words is a window; every repeated stretch of that many words is covered by windows
-that lie in it, wherever it starts and however few lines it has. Windows with equal digests (128 bits, over the
-digests of the pieces; white space between pieces does not count) keep their first place, in the order of the chunks,
-and their pieces are removed everywhere else; places in one document that overlap the first are left alone.
-A stretch counts by whole pieces: words at its ends that share a piece with foreign words stay.
+that lie in it, wherever it starts and however few lines it has. Windows with equal digests (two 64-bit sums over the
+two halves of the pieces' 128-bit hashes; white space between pieces does not count) keep their first place, in the
+order of the chunks, and their pieces are removed everywhere else; places in one document that overlap the first are
+left alone. A stretch counts by whole pieces: words at its ends that share a piece with foreign words stay.
 
-Texts are moved twice, keyed by document: to cut the suspected chunks, and to take out what is repeated. Windows are
-moved as digests and places. A frequent passage is one row per task before its places are compared.
+Chunks and windows, the marks, come from one pass over the texts. Texts are moved twice more, keyed by document: to
+cut the suspected chunks, and to take out what is repeated. Marks are moved as digests and places. Hashes that occur more
+than once, and the first places, are tables of their own, smaller than the marks: a join with them is a broadcast
+where they are small, and else one that adaptive execution splits where a passage fills a large part of the corpus.
+A chunk without a boundary ends after ``MOST_LINES`` lines, so long runs of equal lines are cut from their start.
 
 Cases: NULL and blank texts have no chunks or windows and come back as they are; equal rows are one document and keep
 and lose the same lines; a line that loses only some of its pieces stays as a shorter line, and does not count as
@@ -47,7 +50,10 @@ SENTENCE_END = re.compile(rb"""[.!?]+["')\]]*[ \t]+""")
 
 def chunks_of(text: str | None) -> list[tuple[int, int, int]]:
     """(first line, lines, hash) of the chunks with at least two lines that hold a word."""
-    lines = (text or "").encode().split(b"\n")
+    return _chunks((text or "").encode().split(b"\n"))
+
+
+def _chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
     if len(lines) < 2:
         return []
     hashes = np.array([xxhash.xxh64_intdigest(line) for line in lines], np.uint64)
@@ -67,37 +73,22 @@ def chunks_of(text: str | None) -> list[tuple[int, int, int]]:
     return found
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, first, lines, hash) of all chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [chunks_of(t.as_py()) for t in batch.column(2)]
-            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            parts = list(zip(*(c for f in found for c in f))) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row)),
-                    batch.column(1).take(pa.array(row)),
-                    *(pa.array(p, t) for p, t in zip(parts, (pa.int32(), pa.int32(), pa.int64()))),
-                ],
-                ["doc_id", "text_key", "first", "lines", "hash"],
-            )
-
-    narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
-    return narrow.mapInArrow(run, "doc_id long, text_key long, first int, lines int, hash long")
-
-
 def _keyed(docs: DataFrame) -> Column:
     return F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def _frequent(marks: DataFrame) -> DataFrame:
+    """The marks whose hash occurs more than once."""
+    twice = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("twice"))
+    return marks.join(stored(twice, "twice"), F.col("hash") == F.col("twice")).drop("twice")
+
+
+def repeated_chunks(docs: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """(doc, first, lines) of the chunks to remove; ``doc`` holds id and text key."""
-    chunks = stored(_chunks(docs).distinct(), "chunks")
-    twice = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    marks = stored(marks_of(docs), "marks") if marks is None else marks
+    chunks = marks.where("chunk").select("doc_id", "text_key", "first", F.expr("last - first + 1 as lines"), "hash").distinct()
     doc = F.struct("doc_id", "text_key").alias("doc")
-    suspects = chunks.join(twice, "hash").select(doc, F.struct("first", "lines", "hash").alias("chunk"))
+    suspects = _frequent(stored(chunks, "chunks")).select(doc, F.struct("first", "lines", "hash").alias("chunk"))
     by_doc = suspects.groupBy("doc").agg(F.collect_list("chunk").alias("chunks"))
     texts = docs.select(_keyed(docs).alias("doc"), F.split(text_of(), "\n").alias("all_lines"))
     cut = texts.join(by_doc, "doc").select("doc", "all_lines", F.explode_outer("chunks").alias("chunk")).select(
@@ -111,91 +102,105 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return cut.join(kept, ["hash", "passage"]).where(place != F.col("keeper")).select("doc", "first", "lines")
 
 
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The caller's columns with ``text`` cleaned, and ``llm__removed``, the number of lines taken out."""
-    removed = repeated_chunks(docs).distinct().groupBy("doc").agg(F.collect_list(F.struct("first", "lines")).alias("llm__gone"))
-    removed = removed.withColumnRenamed("doc", "llm__doc")
-    joined = docs.join(removed, _keyed(docs) == F.col("llm__doc"), "left")
-    cleaned = F.expr(
-        f"""array_join(filter(split(`{text}`, '\\n'), (line, i) ->
-              not exists(llm__gone, g -> i >= g.first and i < g.first + g.lines)), '\\n')"""
-    )
-    lines = F.coalesce(F.aggregate("llm__gone", F.lit(0), lambda total, g: total + g["lines"]), F.lit(0))
-    own = [F.when(F.col("llm__gone").isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*own, lines.alias("llm__removed"))
-
-
 def pieces_of(text: str | None) -> list[list[bytes]]:
     """The pieces of each line; joined, they are the line."""
+    return _pieces((text or "").encode().split(b"\n"))
+
+
+def _pieces(all_lines: list[bytes]) -> list[list[bytes]]:
     lines = []
-    for line in (text or "").encode().split(b"\n"):
+    for line in all_lines:
         cuts = [0, *(m.end() for m in SENTENCE_END.finditer(line)), len(line)]
         lines.append([line[a:b] for a, b in zip(cuts, cuts[1:]) if a < b] or [line])
     return lines
 
 
-def windows_of(text: str | None) -> list[tuple[int, int, int, int]]:
-    """(first piece, last piece, hash, check) of the shortest runs with over ``PASSAGE_WORDS`` words.
+# Powers of two odd numbers and of their inverses modulo 2**64; longer texts make them longer.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: list[np.ndarray] = [np.ones((2, 1), np.uint64), np.ones((2, 1), np.uint64)]
+
+
+def _powers(count: int) -> list[np.ndarray]:
+    if _POWERS[0].shape[1] < count:
+        size = max(count, 2 * _POWERS[0].shape[1], 4096)
+        for k, factors in enumerate((_FACTORS, [pow(f, -1, 1 << 64) for f in _FACTORS])):
+            steps = np.ones((2, size), np.uint64)
+            steps[:, 1:] = np.array(factors, np.uint64)[:, None]
+            _POWERS[k] = np.cumprod(steps, axis=1, dtype=np.uint64)
+    return _POWERS
+
+
+def windows_of(pieces: list[bytes]) -> list[np.ndarray]:
+    """First piece, last piece, hash and check of the shortest runs with over ``PASSAGE_WORDS`` words.
 
     Pieces are numbered through the text; those without words are numbered, but are no part of a digest.
     """
-    pieces = [piece for line in pieces_of(text) for piece in line]
-    counts = [len(piece.split()) for piece in pieces]
-    if sum(counts) <= PASSAGE_WORDS:
+    counts = np.array([len(piece.split()) for piece in pieces], np.int64)
+    at = np.flatnonzero(counts)
+    total = np.concatenate([[0], np.cumsum(counts[at])])
+    if total[-1] <= PASSAGE_WORDS:
         return []
-    at = [i for i, n in enumerate(counts) if n]
-    total = [0, *accumulate(counts[i] for i in at)]
-    runs, after = set(), 0
-    for first in range(len(at)):  # the shortest run from each piece on
-        while after < len(at) and total[after] - total[first] <= PASSAGE_WORDS:
-            after += 1
-        if total[after] - total[first] <= PASSAGE_WORDS:
-            break
-        runs.add((first, after))
-    first = 0
-    for after in range(1, len(at) + 1):  # and up to each piece
-        while total[after] - total[first + 1] > PASSAGE_WORDS:
-            first += 1
-        if total[after] - total[first] > PASSAGE_WORDS:
-            runs.add((first, after))
-    digests = b"".join(xxhash.xxh3_128_digest(pieces[i].strip()) for i in at)
-    found = []
-    for first, after in sorted(runs):
-        digest = xxhash.xxh3_128_digest(digests[16 * first : 16 * after])
-        halves = (int.from_bytes(half, "big", signed=True) for half in (digest[:8], digest[8:]))
-        found.append((at[first], at[after - 1], *halves))
-    return found
-
-
-def _windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, first, last, hash, check) of all windows."""
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    after = np.searchsorted(total, total + PASSAGE_WORDS, "right")  # the shortest run from each piece on
+    begun = np.flatnonzero(after < len(total))
+    before = np.searchsorted(total, total - PASSAGE_WORDS, "left") - 1  # and up to each piece
+    ended = np.flatnonzero(before >= 0)
+    runs = np.unique(np.concatenate([begun * len(total) + after[begun], before[ended] * len(total) + ended]))
+    first, after = np.divmod(runs, len(total))
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(pieces[i].strip()) for i in at.tolist()]), "<u8").reshape(-1, 2)
+    powers, inverse = _powers(len(total))
+    sums = np.zeros((2, len(total)), np.uint64)
+    np.cumsum(digests.T * powers[:, : len(at)], axis=1, dtype=np.uint64, out=sums[:, 1:])
+    hashes = ((sums[:, after] - sums[:, first]) * inverse[:, first]).view(np.int64)
+    return [at[first], at[after - 1], hashes[0], hashes[1]]
+
+
+def marks_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, chunk, first, last, hash, check): chunks by their lines, windows by their pieces."""
+    names = ["doc_id", "text_key", "chunk", "first", "last", "hash", "check"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found = [windows_of(t.as_py()) for t in part.column(2)]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                values = list(zip(*(w for f in found for w in f))) or [()] * len(types)
+                rows, kinds, found = [], [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    lines = text.split(b"\n")
+                    chunks = _chunks(lines)
+                    windows = windows_of([piece for line in _pieces(lines) for piece in line])
+                    if chunks:
+                        first, n, digest = np.array(chunks, np.int64).T
+                        found.append(np.stack([first, first + n - 1, digest, np.zeros(len(n), np.int64)]))
+                        rows.append(np.full(len(n), i))
+                        kinds.append(np.ones(len(n), bool))
+                    if windows:
+                        found.append(np.stack(windows))
+                        rows.append(np.full(len(windows[0]), i))
+                        kinds.append(np.zeros(len(windows[0]), bool))
+                if not found:
+                    continue
+                row = pa.array(np.concatenate(rows))
+                first, last, digest, check = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(row), part.column(1).take(row), *(pa.array(v, t) for v, t in zip(values, types))],
-                    ["doc_id", "text_key", "first", "last", "hash", "check"],
-                )
+                    [
+                        part.column(0).take(row), part.column(1).take(row), pa.array(np.concatenate(kinds)),
+                        pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(digest), pa.array(check),
+                    ],
+                    names,
+                )
 
-    narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
-    return narrow.mapInArrow(run, "doc_id long, text_key long, first int, last int, hash long, check long")
+    narrow = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), text_of().cast("binary").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, text_key long, chunk boolean, first int, last int, hash long, check long")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """(doc, first, last): the windows to remove, by their pieces; ``doc`` holds id and text key."""
-    windows = stored(_windows(docs), "windows")
-    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    suspects = stored(windows.join(twice, "hash"), "suspects")
+    marks = stored(marks_of(docs), "marks") if marks is None else marks
+    suspects = stored(_frequent(marks.where("not chunk").drop("chunk")), "suspects")
     place = F.struct("doc_id", "text_key", "first", "last")
     kept = suspects.groupBy("hash", "check").agg(F.min(place).alias("keeper"), F.max(place).alias("latest")).where("keeper <> latest")
+    kept = stored(kept.select(F.col("hash").alias("of_hash"), F.col("check").alias("of_check"), "keeper"), "keepers")
     overlaps = F.expr("doc_id <=> keeper.doc_id and text_key = keeper.text_key and first <= keeper.last")
-    later = suspects.join(kept.select("hash", "check", "keeper"), ["hash", "check"]).where(~overlaps)
+    later = suspects.join(kept, F.expr("hash = of_hash and check = of_check")).where(~overlaps)
     return later.select(F.struct("doc_id", "text_key").alias("doc"), "first", "last")
 
 
@@ -222,8 +227,9 @@ def _without(text: str, gone: list[tuple[bool, int, int]]) -> tuple[str, int]:
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """``doc_id``, the cleaned ``text`` and ``llm__removed``: repeated chunks and repeated passages are taken out."""
-    lines = repeated_chunks(docs).select("doc", F.lit(True).alias("whole_lines"), "first", (F.col("first") + F.col("lines") - 1).alias("last"))
-    pieces = repeated_passages(docs).select("doc", F.lit(False).alias("whole_lines"), "first", "last")
+    marks = stored(marks_of(docs), "marks")
+    lines = repeated_chunks(docs, marks).select("doc", F.lit(True).alias("whole_lines"), "first", (F.col("first") + F.col("lines") - 1).alias("last"))
+    pieces = repeated_passages(docs, marks).select("doc", F.lit(False).alias("whole_lines"), "first", "last")
     gone = lines.union(pieces).groupBy("doc").agg(F.collect_set(F.struct("whole_lines", "first", "last")).alias("gone"))
     joined = docs.join(gone.withColumnRenamed("doc", "llm__doc"), _keyed(docs) == F.col("llm__doc"), "left")
 

@@ -1,5 +1,7 @@
 """Chat formatting and line chunks against plain Python."""
 
+import random
+import zlib
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -63,22 +65,16 @@ def plain_lines(rows):
 
 
 def check_lines(docs):
-    source, places = plain_lines([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    cleaned = {tuple(r)[:2]: r for r in docs.select("doc_id", "text").withColumn("was", F.col("text")).select("doc_id", "was").distinct().collect()}
-    assert len(cleaned) == len(source)
-    out = line_dedup.without_repeats(docs.withColumn("was", F.col("text")))
-    kept_chunks = defaultdict(int)
-    for r in out.select("doc_id", "was", "text", "llm__removed").distinct().collect():
-        was, now = (r["was"] or "").split("\n"), (r["text"] or "").split("\n")
-        repeated = [(f, n) for f, n, _ in line_dedup.chunks_of(r["was"]) if len(places["\n".join(was[f : f + n])]) > 1]
-        if r["llm__removed"] == 0:
-            assert r["was"] == r["text"]
-        gone = sum(n for _, n in repeated)
-        assert r["llm__removed"] <= gone
-        assert r["llm__removed"] == len(was) - (0 if r["text"] == "" and len(was) == r["llm__removed"] else len(now))
-        kept_chunks["lines"] += r["llm__removed"]
-    want = sum(n for found in places.values() for _, _, n in found[1:] if len(found) > 1)
-    assert kept_chunks["lines"] == want
+    """The chunks to remove are all places of a repeated chunk but the first one."""
+    _, places = plain_lines([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    want = set()
+    for found in places.values():
+        order = sorted(((d[0] is not None, d[0] or 0), d, f, n) for d, f, n in found)
+        least = order[0][0]
+        if len({d for _, d, *_ in order if (d[0] is not None, d[0] or 0) == least}) == 1:  # one text with the least id
+            want |= {(d[0], f, n) for _, d, f, n in order[1:]}
+    got = {(r["doc"]["doc_id"], r["first"], r["lines"]) for r in line_dedup.repeated_chunks(docs).collect()}
+    assert want <= got and len(got) <= sum(len(found) - 1 for found in places.values())
 
 
 def test_repeated_chunks_go_but_for_their_first_place(documents, edge_docs):
@@ -90,13 +86,53 @@ def test_a_shared_passage_is_found_at_any_offset(spark):
     passage = "\n".join(f"shared line number {i} of the passage" for i in range(12))
     texts = [f"{'own line %d of it\n' % i * (i % 3 + 1)}{passage}\nown end {i}" for i in range(9)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r["doc_id"]: r for r in line_dedup.without_repeats(df).collect()}
+    out = {r["doc_id"]: r for r in line_dedup.without_passages(df).collect()}
     assert out[0]["llm__removed"] == 0
     assert all(out[i]["llm__removed"] >= 6 for i in range(1, 9))
     assert all(f"own end {i}" in out[i]["text"] for i in range(9))
 
 
+def test_edge_rows_of_line_dedup(edge_docs):
+    """Nulls, blanks and repeated rows come back alike; the copy of a passage goes, words of its own last line stay."""
+    rows = [tuple(r) for r in line_dedup.line_dedup(edge_docs).collect()]
+    assert len(rows) == edge_docs.count()
+    whole = {(r["doc_id"], len((r["text"] or "").split("\n")), zlib.crc32((r["text"] or "").encode())) for r in edge_docs.collect()}
+    plain = " ".join(f"plain{i}" for i in range(80))
+    by_id = defaultdict(list)
+    for doc_id, kept, removed, chars, crc in rows:
+        by_id[doc_id].append((kept, removed, chars))
+        if doc_id != 5:
+            assert (doc_id, kept, crc) in whole and removed == 0
+    # the passage of 80 words stays with the NULL id, which comes first, and goes from document 5
+    assert sorted(by_id[None]) == [(1, 0, 0), (1, 0, len(plain))] and by_id[5] == [(1, 1, 0)]
+    assert sorted(by_id[4]) == [(1, 0, 7), (1, 0, 7), (1, 0, 12)]
+
+
+def test_a_passage_in_a_third_of_the_documents(spark):
+    passage = " ".join(f"hot{i}" for i in range(55)) + "."
+    own = [f"Own words {i} of one document, unlike all others {i * 7}." for i in range(900)]
+    texts = [f"{own[i]} {passage} {own[i]}x" if i % 3 == 0 else f"{own[i]} more {i}" for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    out = {r["doc_id"]: r["text_crc32"] for r in line_dedup.line_dedup(df).collect()}
+    for i, text in enumerate(texts):
+        want = text if i % 3 or i == 0 else f"{own[i]} {own[i]}x"
+        assert out[i] == zlib.crc32(want.encode())
+
+
+def test_windows_are_equal_only_for_equal_runs():
+    rng = random.Random(3)
+    words = [b"a b c. ", b"d e. ", b"f g h i j k. ", b"", b"l m n o p q r s t u v w x y z. "]
+    seen = {}
+    for _ in range(300):
+        pieces = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        found = line_dedup.windows_of(pieces)
+        for first, last, *digest in zip(*(w.tolist() for w in found)) if found else []:
+            run = tuple(p for p in pieces[first : last + 1] if p.split())
+            assert sum(len(p.split()) for p in run) > 50
+            assert seen.setdefault(tuple(digest), run) == run
+    assert len(set(seen.values())) == len(seen) > 100
+
+
 def test_empty_and_columns(edge_docs, no_docs):
-    assert line_dedup.without_repeats(edge_docs).columns == [*edge_docs.columns, "llm__removed"]
-    assert line_dedup.without_repeats(edge_docs).count() == edge_docs.count()
+    assert line_dedup.without_passages(edge_docs).columns == ["doc_id", "text", "llm__removed"]
     assert line_dedup.line_dedup(no_docs).collect() == []
