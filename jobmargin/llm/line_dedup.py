@@ -50,25 +50,31 @@ SENTENCE_END = re.compile(rb"""[.!?]+["')\]]*[ \t]+""")
 
 def chunks_of(text: str | None) -> list[tuple[int, int, int]]:
     """(first line, lines, hash) of the chunks with at least two lines that hold a word."""
-    return _chunks((text or "").encode().split(b"\n"))
+    lines = (text or "").encode().split(b"\n")
+    return [(first, last - first + 1, digest) for _, first, last, digest in _chunks([lines])]
 
 
-def _chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
-    if len(lines) < 2:
-        return []
+def _chunks(texts: list[list[bytes]]) -> list[tuple[int, int, int, int]]:
+    """(text, first line, last line, hash) of the chunks of some texts, given as lines."""
+    lines = [line for text in texts for line in text]
+    starts = [0, *accumulate(len(text) for text in texts)]
     hashes = np.array([xxhash.xxh64_intdigest(line) for line in lines], np.uint64)
+    place = np.arange(len(lines)) - np.repeat(starts[:-1], [len(text) for text in texts])
     rolling = np.zeros(len(lines), np.uint64)
     for back in range(WINDOW):
-        rolling[back:] += hashes[: len(lines) - back] * np.uint64(pow(BASE, back, 1 << 64))
+        earlier = hashes[: len(lines) - back] * np.uint64(pow(BASE, back, 1 << 64))
+        rolling[back:] += np.where(place[back:] >= back, earlier, np.uint64(0))
     rolling ^= rolling >> np.uint64(32)
-    ends = (np.flatnonzero(rolling % np.uint64(MODULUS) == 0) + 1).tolist()
+    is_end = rolling % np.uint64(MODULUS) == 0
+    is_end[np.array(starts[1:]) - 1] = True
+    ends = np.flatnonzero(is_end) + 1
     found, first = [], 0
-    for end in [*ends, len(lines)]:
+    for end, text in zip(ends.tolist(), (np.searchsorted(starts, ends, "left") - 1).tolist()):
         while first < end:
             after = min(end, first + MOST_LINES)
-            if sum(bool(line.split()) for line in lines[first:after]) >= 2:
+            if after - first >= 2 and sum(bool(line.split()) for line in lines[first:after]) >= 2:
                 digest = xxhash.xxh64_intdigest(b"\n".join(lines[first:after]))
-                found.append((first, after - first, digest - (1 << 63)))
+                found.append((text, first - starts[text], after - 1 - starts[text], digest - (1 << 63)))
             first = after
     return found
 
@@ -78,9 +84,12 @@ def _keyed(docs: DataFrame) -> Column:
 
 
 def _frequent(marks: DataFrame) -> DataFrame:
-    """The marks whose hash occurs more than once."""
+    """The marks whose hash occurs more than once.
+
+    Each such hash is one row, so a task's share of them is a hash table; the marks need not be sorted for the join.
+    """
     twice = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("twice"))
-    return marks.join(stored(twice, "twice"), F.col("hash") == F.col("twice")).drop("twice")
+    return marks.join(stored(twice, "twice").hint("shuffle_hash"), F.col("hash") == F.col("twice")).drop("twice")
 
 
 def repeated_chunks(docs: DataFrame, marks: DataFrame | None = None) -> DataFrame:
@@ -130,28 +139,37 @@ def _powers(count: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def windows_of(pieces: list[bytes]) -> list[np.ndarray]:
-    """First piece, last piece, hash and check of the shortest runs with over ``PASSAGE_WORDS`` words.
+def windows_of(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """Text, first piece, last piece, hash and check of the shortest runs with over ``PASSAGE_WORDS`` words.
 
-    Pieces are numbered through the text; those without words are numbered, but are no part of a digest.
+    The texts are given as pieces. Pieces are numbered through a text; those without words are numbered, but are no
+    part of a digest.
     """
+    pieces = [piece for text in texts for piece in text]
+    sizes = [len(text) for text in texts]
     counts = np.array([len(piece.split()) for piece in pieces], np.int64)
     at = np.flatnonzero(counts)
     total = np.concatenate([[0], np.cumsum(counts[at])])
-    if total[-1] <= PASSAGE_WORDS:
+    # Runs are sought in all texts at once; those that reach into another text are dropped.
+    text_of_piece = np.repeat(np.arange(len(texts)), sizes)
+    text = text_of_piece[at]
+    begins, ends = np.searchsorted(text, np.arange(len(texts)), "left"), np.searchsorted(text, np.arange(len(texts)), "right")
+    after = np.searchsorted(total, total[:-1] + PASSAGE_WORDS, "right")  # the shortest run from each piece on
+    begun = np.flatnonzero(after <= ends[text]) if len(at) else at
+    before = np.searchsorted(total, total[1:] - PASSAGE_WORDS, "left") - 1  # and up to each piece
+    ended = np.flatnonzero(before >= begins[text]) if len(at) else at
+    width = len(total) + 1
+    runs = np.unique(np.concatenate([begun * width + after[begun], before[ended] * width + ended + 1]))
+    if not len(runs):
         return []
-    after = np.searchsorted(total, total + PASSAGE_WORDS, "right")  # the shortest run from each piece on
-    begun = np.flatnonzero(after < len(total))
-    before = np.searchsorted(total, total - PASSAGE_WORDS, "left") - 1  # and up to each piece
-    ended = np.flatnonzero(before >= 0)
-    runs = np.unique(np.concatenate([begun * len(total) + after[begun], before[ended] * len(total) + ended]))
-    first, after = np.divmod(runs, len(total))
+    first, after = np.divmod(runs, width)
     digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(pieces[i].strip()) for i in at.tolist()]), "<u8").reshape(-1, 2)
     powers, inverse = _powers(len(total))
     sums = np.zeros((2, len(total)), np.uint64)
     np.cumsum(digests.T * powers[:, : len(at)], axis=1, dtype=np.uint64, out=sums[:, 1:])
     hashes = ((sums[:, after] - sums[:, first]) * inverse[:, first]).view(np.int64)
-    return [at[first], at[after - 1], hashes[0], hashes[1]]
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    return [text[first], at[first] - starts[text[first]], at[after - 1] - starts[text[first]], hashes[0], hashes[1]]
 
 
 def marks_of(docs: DataFrame) -> DataFrame:
@@ -160,29 +178,17 @@ def marks_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows, kinds, found = [], [], []
-                for i, text in enumerate(part.column(2).to_pylist()):
-                    lines = text.split(b"\n")
-                    chunks = _chunks(lines)
-                    windows = windows_of([piece for line in _pieces(lines) for piece in line])
-                    if chunks:
-                        first, n, digest = np.array(chunks, np.int64).T
-                        found.append(np.stack([first, first + n - 1, digest, np.zeros(len(n), np.int64)]))
-                        rows.append(np.full(len(n), i))
-                        kinds.append(np.ones(len(n), bool))
-                    if windows:
-                        found.append(np.stack(windows))
-                        rows.append(np.full(len(windows[0]), i))
-                        kinds.append(np.zeros(len(windows[0]), bool))
-                if not found:
-                    continue
-                row = pa.array(np.concatenate(rows))
-                first, last, digest, check = np.concatenate(found, axis=1)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
+                texts = [text.split(b"\n") for text in part.column(2).to_pylist()]
+                chunks, windows = _chunks(texts), windows_of([[p for line in _pieces(lines) for p in line] for lines in texts])
+                found = [np.array([(*chunk, 0) for chunk in chunks], np.int64).reshape(-1, 5).T]
+                found += [np.stack(windows)] if windows else []
+                row, first, last, digest, check = np.concatenate(found, axis=1)
+                row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(row), part.column(1).take(row), pa.array(np.concatenate(kinds)),
+                        part.column(0).take(row), part.column(1).take(row), pa.array(np.arange(len(row)) < len(chunks)),
                         pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(digest), pa.array(check),
                     ],
                     names,
@@ -200,13 +206,13 @@ def repeated_passages(docs: DataFrame, marks: DataFrame | None = None) -> DataFr
     kept = suspects.groupBy("hash", "check").agg(F.min(place).alias("keeper"), F.max(place).alias("latest")).where("keeper <> latest")
     kept = stored(kept.select(F.col("hash").alias("of_hash"), F.col("check").alias("of_check"), "keeper"), "keepers")
     overlaps = F.expr("doc_id <=> keeper.doc_id and text_key = keeper.text_key and first <= keeper.last")
-    later = suspects.join(kept, F.expr("hash = of_hash and check = of_check")).where(~overlaps)
+    later = suspects.join(kept.hint("shuffle_hash"), F.expr("hash = of_hash and check = of_check")).where(~overlaps)
     return later.select(F.struct("doc_id", "text_key").alias("doc"), "first", "last")
 
 
-def _without(text: str, gone: list[tuple[bool, int, int]]) -> tuple[str, int]:
+def _without(text: bytes, gone: list[tuple[bool, int, int]]) -> tuple[bytes, int]:
     """The text without what ``gone`` lists as (whole lines, first, last), and the number of lines taken out whole."""
-    lines = pieces_of(text)
+    lines = _pieces(text.split(b"\n"))
     out = np.zeros(sum(len(line) for line in lines), bool)
     starts = [0, *accumulate(len(line) for line in lines)]
     for whole_lines, first, last in gone:
@@ -214,6 +220,7 @@ def _without(text: str, gone: list[tuple[bool, int, int]]) -> tuple[str, int]:
             out[starts[first] : starts[last + 1]] = True
         else:
             out[first : last + 1] = True
+    out = out.tolist()
     stay, removed = [], 0
     for line, start in zip(lines, starts):
         left = [piece for i, piece in enumerate(line, start) if not out[i]]
@@ -222,7 +229,7 @@ def _without(text: str, gone: list[tuple[bool, int, int]]) -> tuple[str, int]:
         else:
             rest = b"".join(left)
             stay.append(rest.rstrip(b" \t") if out[start + len(line) - 1] else rest)
-    return b"\n".join(stay).decode(), removed
+    return b"\n".join(stay), removed
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
@@ -235,15 +242,16 @@ def without_passages(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed = [], []
+            # Texts that lose nothing stay in Arrow; only the others become Python objects.
+            sizes = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy()
+            rows = np.flatnonzero(sizes)
             spans = list(zip(*(field.to_pylist() for field in batch.column(2).flatten().flatten())))
-            sizes = [n or 0 for n in pc.list_value_length(batch.column(2)).to_pylist()]
-            for text, after, n in zip(batch.column(1), accumulate(sizes), sizes):
-                cleaned = _without(text.as_py(), spans[after - n : after]) if n else (text.as_py(), 0)
-                texts.append(cleaned[0])
-                removed.append(cleaned[1])
-            columns = [batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "llm__removed"])
+            ends = np.cumsum(sizes)
+            cleaned, removed = [None] * len(sizes), np.zeros(len(sizes), np.int64)
+            for i, text in zip(rows.tolist(), batch.column(1).take(pa.array(rows)).cast(pa.binary()).to_pylist()):
+                cleaned[i], removed[i] = _without(text, spans[ends[i] - sizes[i] : ends[i]])
+            texts = pc.if_else(pa.array(sizes > 0), pa.array(cleaned, pa.binary()).cast(pa.string()), batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(removed)], ["doc_id", "text", "llm__removed"])
 
     return joined.select(F.col("doc_id").cast("long"), "text", "gone").mapInArrow(run, "doc_id long, text string, llm__removed long")
 

@@ -122,15 +122,23 @@ def test_a_passage_in_a_third_of_the_documents(spark):
 def test_windows_are_equal_only_for_equal_runs():
     rng = random.Random(3)
     words = [b"a b c. ", b"d e. ", b"f g h i j k. ", b"", b"l m n o p q r s t u v w x y z. "]
-    seen = {}
-    for _ in range(300):
-        pieces = [rng.choice(words) for _ in range(rng.randint(0, 60))]
-        found = line_dedup.windows_of(pieces)
-        for first, last, *digest in zip(*(w.tolist() for w in found)) if found else []:
-            run = tuple(p for p in pieces[first : last + 1] if p.split())
-            assert sum(len(p.split()) for p in run) > 50
-            assert seen.setdefault(tuple(digest), run) == run
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 60))] for _ in range(300)]
+    found = {w[:3]: w[3:] for w in zip(*(w.tolist() for w in line_dedup.windows_of(texts)))}
+    seen, want = {}, set()
+    for t, pieces in enumerate(texts):
+        counts = [len(p.split()) for p in pieces]
+        for first in range(len(pieces)):
+            for last in range(first, len(pieces)):
+                n = sum(counts[first : last + 1])
+                shortest = n - counts[last] <= 50 or n - counts[first] <= 50
+                if counts[first] and counts[last] and n > 50 and shortest:
+                    want.add((t, first, last))
+    assert want == set(found)
+    for (t, first, last), digest in found.items():
+        run = tuple(p for p in texts[t][first : last + 1] if p.split())
+        assert seen.setdefault(digest, run) == run
     assert len(set(seen.values())) == len(seen) > 100
+    assert line_dedup.windows_of([[], [b""]]) == []
 
 
 def test_empty_and_columns(edge_docs, no_docs):
