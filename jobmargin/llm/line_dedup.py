@@ -99,11 +99,12 @@ def repeated_chunks(docs: DataFrame, marks: DataFrame | None = None) -> DataFram
     doc = F.struct("doc_id", "text_key").alias("doc")
     suspects = _frequent(stored(chunks, "chunks")).select(doc, F.struct("first", "lines", "hash").alias("chunk"))
     by_doc = suspects.groupBy("doc").agg(F.collect_list("chunk").alias("chunks"))
-    texts = docs.select(_keyed(docs).alias("doc"), F.split(text_of(), "\n").alias("all_lines"))
-    cut = texts.join(by_doc, "doc").select("doc", "all_lines", F.explode_outer("chunks").alias("chunk")).select(
-        "doc", "chunk.first", "chunk.lines", "chunk.hash",
-        F.array_join(F.slice("all_lines", F.col("chunk.first") + 1, F.col("chunk.lines")), "\n").alias("passage"),
-    )
+    texts = docs.select(_keyed(docs).alias("doc"), text_of().alias("text"))
+    passage = "array_join(slice(all_lines, c.first + 1, c.lines), '\\n')"
+    of_text = f"transform(chunks, c -> struct(c.first as first, c.lines as lines, c.hash as hash, {passage} as passage))"
+    # Cut before they are taken apart, so that a text is split once and not copied for each of its chunks.
+    passages = f"flatten(transform(array(split(text, '\\n')), all_lines -> {of_text}))"
+    cut = texts.join(by_doc, "doc").select("doc", F.expr(f"inline({passages})"))
     cut = stored(cut, "passages")
     # The bytes are compared here: a passage is its own key, the hash only spreads and orders.
     place = F.struct("doc", "first")
