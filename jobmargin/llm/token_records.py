@@ -18,6 +18,7 @@ text; long texts are encoded in pieces between blanks; an empty table gives no f
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -39,6 +40,7 @@ from jobmargin.session import run_folder
 END_ID = 2
 FILE_BYTES = 128 << 20
 RECORDS_AT_ONCE = 2048
+READ_BYTES = 16 << 20  # of ids that one task reads back
 WORDS_AT_ONCE = 1 << 16
 ENCODED_AT_ONCE = 1000
 REMEMBERED = 600_000  # words whose ids a Python worker keeps at hand
@@ -49,6 +51,8 @@ SIGN = re.compile(rb"[!-@\[-`{-~]")
 # Byte-level vocabularies show bytes without a printable form of their own as the characters from 256 on.
 UNPRINTABLE = [*range(33), *range(127, 161), 173]
 SHOWN = {byte: 256 + i for i, byte in enumerate(UNPRINTABLE)}
+# Fixed value: how the known kind of tokenizer splits a text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Fixed value: what is added to a rotated checksum.
 MASK = 0xA282EAD8
 FRAME, HEAD = struct.Struct("<QI"), struct.Struct("<qHH")
@@ -66,23 +70,46 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + MASK) & 0xFFFFFFFF
 
 
+def shortcuts(tokenizer: Tokenizer) -> tuple[bool, bool]:
+    """Whether a tokenizer may be fed stretch by stretch between blanks, and those run by run of letters.
+
+    Told from its own description: it must drop white space while it splits by ``WORD_PATTERN``, and for runs of letters
+    also lower-case and change nothing else of Latin letters and ASCII signs. Any other tokenizer gets whole texts.
+    """
+    described = json.loads(tokenizer.to_str())
+    first, *others = (described["pre_tokenizer"] or {}).get("pretokenizers") or [described["pre_tokenizer"] or {}]
+    by_words = (
+        first.get("type") == "Split" and first.get("pattern") == {"Regex": WORD_PATTERN}
+        and first.get("behavior") == "Removed" and first.get("invert") is True
+        and all(o.get("type") == "ByteLevel" and not o.get("add_prefix_space") and not o.get("use_regex") for o in others)
+    )
+    normalizer = described["normalizer"] or {}
+    steps = normalizer.get("normalizers") or [normalizer]
+    known = [s.get("type") in ("NFC", "Lowercase") or s.get("pattern") == {"Regex": "\\s+"} for s in steps]
+    by_words = by_words and (not normalizer or all(known))
+    by_letters = by_words and bool(others) and any(s.get("type") == "Lowercase" for s in steps)
+    return by_words, by_letters
+
+
 class Encoder:
-    """Ids of whole texts as bytes. The tokenizer never joins characters across ASCII blanks, so each stretch between blanks
-    is encoded once and remembered.
+    """Ids of whole texts as bytes.
 
-    ``by_letters`` holds for tokenizers that lower-case and keep runs of letters and runs of other signs apart: there a
-    stretch of Latin letters and ASCII signs is put together from its runs, each of which goes to the tokenizer's model or the
-    tokenizer once. Stretches with digits, apostrophes or other characters always go to the tokenizer as they are.
+    A tokenizer that never joins characters across ASCII blanks is fed the stretches between them, each once, and they are
+    remembered. One that also lower-cases and keeps runs of letters and runs of other signs apart is fed those
+    runs: a stretch of Latin letters and ASCII signs is put together from them. Stretches with digits, apostrophes or
+    other characters go to the tokenizer as they are. ``shortcuts`` tells which holds; otherwise texts go to it whole.
     """
 
-    def __init__(self, tokenizer_path: str, by_letters: bool = True) -> None:
+    def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._by_letters = by_letters
+        self._by_words, self._by_letters = shortcuts(self._tokenizer)
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._known: dict[bytes, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
+        if not self._by_words:
+            return self._bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
         words = text.encode().split()
         return b"".join([self._piece(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)])
 
@@ -227,7 +254,10 @@ def _scan(manifest: DataFrame, folder: str, columns: str, row: Callable[[np.ndar
     started = manifest.withColumn("before", F.coalesce(F.sum("ids").over(files), F.lit(0)))
     stretches = started.withColumn("first", F.explode(F.expr(f"sequence(0L, records - 1, {RECORDS_AT_ONCE}L)")))
     stretches = stretches.withColumn("last", F.least(F.col("first") + RECORDS_AT_ONCE, "records"))
-    return stretches.repartition("file", "first").mapInArrow(run, f"doc_id long, start long, {columns}")
+    # A stretch is a few bytes here and megabytes in its file, so the number of tasks is told, not left to be measured.
+    ids = manifest.agg(F.sum("ids")).first()[0] or 0
+    tasks = -(-4 * ids // READ_BYTES) or 1
+    return stretches.repartition(tasks, "file", "first").mapInArrow(run, f"doc_id long, start long, {columns}")
 
 
 _ARROW = {

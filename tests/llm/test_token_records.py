@@ -59,3 +59,23 @@ def test_shuffled_reads_files_and_damage(spark, documents, monkeypatch):
     open(path, "wb").write(data)
     with pytest.raises(Exception, match="DamagedRecord"):
         t.record_digests(manifest, folder).collect()
+
+
+def test_read_back_has_as_many_tasks_as_its_bytes_ask_for(spark, documents, monkeypatch):
+    folder = run_folder(spark, "records-test")
+    manifest = t.write_records(documents, PATH, folder)
+    ids = manifest.agg({"ids": "sum"}).first()[0]
+    assert t.record_digests(manifest, folder).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(t, "READ_BYTES", 4 * ids // 7)
+    monkeypatch.setattr(t, "RECORDS_AT_ONCE", 5)
+    found = t.record_digests(manifest, folder)
+    assert found.rdd.getNumPartitions() == 8 and found.count() == documents.count()
+
+
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", (True, True)), ("byte_bpe_50k.json", (False, False))])
+def test_shortcuts_are_taken_only_for_their_kind_of_tokenizer(documents, name, kind):
+    path = str(public_tokenizers.path(name))
+    tokenizer, encoder = Tokenizer.from_file(path), t.Encoder(path)
+    assert t.shortcuts(tokenizer) == kind
+    for text in ODD + [r["text"] or "" for r in documents.limit(60).collect()]:
+        assert np.frombuffer(encoder(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
