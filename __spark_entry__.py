@@ -22,13 +22,14 @@ from jobmargin.operators.fact import job_fact  # noqa: E402
 from jobmargin.operators.cells import job_cells  # noqa: E402
 from jobmargin.operators.distinct import BIT_KEYS, customer_bits, selected_customers  # noqa: E402
 from jobmargin.operators.filters import JobFilter, selection_state  # noqa: E402
+from jobmargin.operators.intake import Intake, take_in  # noqa: E402
 from jobmargin.operators.quality import QualityError, quality_gate  # noqa: E402
 from jobmargin.operators.staging import Staged, stage  # noqa: E402
 from jobmargin.plans import dashboard, findings, increment, pipeline, story  # noqa: E402
 from jobmargin.plans.scorecards import SCORECARDS, estimate_order, estimate_scorecard, scorecard  # noqa: E402
 from jobmargin.session import run_folder  # noqa: E402
 from jobmargin.sources.readers import read_csv_table  # noqa: E402
-from jobmargin.sources.sample_binding import bind, bind_changed, bind_dirty, changed_jobs  # noqa: E402
+from jobmargin.sources.sample_binding import bind, bind_changed, bind_dirty, bind_misspelt, changed_jobs  # noqa: E402
 from jobmargin.sources.schemas import RAW_TABLES  # noqa: E402
 from jobmargin.sources.writers import export_csv, remove_folder, write_parquet  # noqa: E402
 from oracles.queries import ORACLES  # noqa: E402
@@ -206,6 +207,33 @@ def _refreshed_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(reduce(DataFrame.union, [_profile(name, df) for name, df in tables.items()]))
 
 
+def _taken_in(spark: SparkSession, sf_dir: str, *tables: str) -> list[Intake]:
+    folder, raw = run_folder(spark, "intake"), bind_misspelt(spark, sf_dir)
+    return [take_in(table, raw[table], folder) for table in tables]
+
+
+def _rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.union, [taken.rejected for taken in _taken_in(spark, sf_dir, "jobs", "estimates")])
+
+
+def _pages(size: int, count: int) -> Query:
+    """The first pages of the job detail, each fetched by the key of the one before."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fact = JobFilter().apply(job_fact(Staged(bind(spark, sf_dir))))
+        fact = write_parquet(fact, run_folder(spark, "fact"))
+        pages, key = [], None
+        for number in range(1, count + 1):
+            page = dashboard.job_page(fact, key, size)
+            pages.append(page.withColumn("page", F.lit(number)))
+            key = dashboard.next_page(page)
+            if key is None:
+                break
+        return _comparable(reduce(DataFrame.union, pages))
+
+    return run
+
+
 def _on_cells(build: Callable[[DataFrame], DataFrame], chosen: JobFilter = JobFilter()) -> Query:
     """``build`` over stored selection cells, as a dashboard would keep them; no job is read for the answer."""
 
@@ -274,6 +302,8 @@ def queries() -> dict[str, Query]:
         **{f"exported_{name}": _exported(name) for name in (pipeline.FACT, *SCORECARDS, pipeline.ESTIMATES)},
         "refreshed_tables": _refreshed_tables,
         "refreshed_after_change": _refreshed_after_change,
+        "rejected_rows": _rejected_rows,
+        "accepted_jobs": lambda spark, sf_dir: _comparable(_taken_in(spark, sf_dir, "jobs")[0].accepted),
         "published_months": _published_months,
         # job economics and the fact
         "labor_rollup": _on_staged(lambda s: labor_rollup(s["job_labor"])),
@@ -306,6 +336,8 @@ def queries() -> dict[str, Query]:
         "insights": _on_picked(dashboard.insights),
         "job_risk_counts": _on_picked(dashboard.job_risk_counts),
         "job_value_margin": _on_picked(dashboard.job_value_margin, "customers"),
+        "job_value_margin_bins": _on_picked(dashboard.job_value_margin_bins),
+        "job_detail_pages": _pages(40, 3),
         "labor_variance_by_crew": _on_picked(dashboard.labor_variance_by_crew),
         "job_detail": _on_picked(dashboard.job_detail, "customers"),
         "job_detail_costs": _on_picked(dashboard.job_detail_costs, "customers"),

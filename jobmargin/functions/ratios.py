@@ -50,3 +50,8 @@ def ascending(*columns: str) -> list[Column]:
 
 def descending(*columns: str) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in columns]
+
+
+def descending_last(*columns: str) -> list[Column]:
+    """The exact reverse of ``ascending``: NULLs first."""
+    return [F.col(c).desc_nulls_first() for c in columns]

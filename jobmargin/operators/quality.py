@@ -32,6 +32,21 @@ def quality_gate(fact: DataFrame) -> DataFrame:
     )
 
 
+# What one pass over the fact can count without keeping ids; the rest of the gate is derived from it.
+OBSERVED = {"rows": "count(1)", **{name: sql for name, sql in GATE.items() if "distinct" not in sql}}
+
+
+def observed_gate(jobs: DataFrame, observed: Mapping[str, int]) -> DataFrame:
+    """``quality_gate`` from counts taken while the fact was written, and the distinct ids of the staged ``jobs``.
+
+    The fact keeps every job, so it has as many distinct ids as the jobs; only their id column is read.
+    """
+    ids = jobs.agg(F.count_distinct("job_id").alias("ids"))
+    counts = {**{name: f"{observed[name]}L" for name in GATE if name in observed}, "job_id_unique": f"{observed['rows']}L - ids"}
+    rows = ids.select(*expressions({name: counts[name] for name in GATE}))
+    return rows.unpivot([], list(GATE), "check_name", "violations").selectExpr("*", "violations = 0 as passed")
+
+
 # (table, key that must be unique and not null, further columns that must not be null)
 CONSTRAINTS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("customers", "customer_id", ()),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from jobmargin.functions.formats import money, number, percent
 from jobmargin.functions.measures import added, added_or_zero, known, mean, rows
-from jobmargin.functions.ratios import ascending, descending, expressions, highest, lowest, ratio, total
+from jobmargin.functions.ratios import ascending, descending, descending_last, expressions, highest, lowest, ratio, total
 from jobmargin.operators.cells import aggregates
 
 OVERRUN = 0.10  # share of planned hours above which a job counts as over plan
@@ -218,6 +218,34 @@ def job_value_margin(picked: DataFrame) -> DataFrame:
     )
 
 
+def job_value_margin_bins(picked: DataFrame, value_bins: int = 50, margin_bins: int = 50) -> DataFrame:
+    """The scatter as counts on a grid between the smallest and largest value and margin.
+
+    ``value_bin, margin_bin`` from 0, their lower edges, and ``jobs``. At most ``value_bins * margin_bins`` rows, however
+    many jobs; jobs without a value or margin have no point. The bounds are one aggregate of two columns, taken first.
+    """
+    points = picked.select("billed_revenue", "gross_margin_pct").dropna()
+    limits = "min(billed_revenue) as a0, max(billed_revenue) as a1, min(gross_margin_pct) as b0, max(gross_margin_pct) as b1"
+    bounds = points.agg(F.expr(f"struct({limits}) as bounds")).scalar()
+
+    def binned(column: str, low: str, high: str, bins: int) -> str:
+        width = f"(bounds.{high} - bounds.{low})"
+        return f"int(least(coalesce(floor(try_divide({column} - bounds.{low}, {width}) * {bins}), 0), {bins - 1}))"
+
+    def edge(number: str, low: str, high: str, bins: int) -> str:
+        return f"bounds.{low} + (bounds.{high} - bounds.{low}) * {number} / {bins}"
+
+    numbered = points.withColumn("bounds", bounds).selectExpr(
+        "bounds", f"{binned('billed_revenue', 'a0', 'a1', value_bins)} as value_bin",
+        f"{binned('gross_margin_pct', 'b0', 'b1', margin_bins)} as margin_bin",
+    )
+    counted = numbered.groupBy("value_bin", "margin_bin").agg(F.count(F.lit(1)).alias("jobs"), F.first("bounds").alias("bounds"))
+    return counted.selectExpr(
+        "value_bin", "margin_bin", f"{edge('value_bin', 'a0', 'a1', value_bins)} as value_from",
+        f"{edge('margin_bin', 'b0', 'b1', margin_bins)} as margin_from", "jobs",
+    )
+
+
 def labor_variance_by_crew(picked: DataFrame) -> DataFrame:
     return _summarize(picked, "crew_name", "avg_labor_variance").orderBy(
         *ascending("avg_labor_variance", "crew_name")
@@ -237,6 +265,32 @@ def job_detail_costs(picked: DataFrame) -> DataFrame:
     return job_detail(picked, "job_id", "labor_cost", "actual_material_cost")
 
 
+PageKey = tuple[float | None, int]  # profit and id of the last job of a page
+
+
+def job_page(picked: DataFrame, after: PageKey | None = None, size: int = 50, *extra: str) -> DataFrame:
+    """The ``size`` jobs that follow ``after`` in the order of ``job_detail``; the first ones without it.
+
+    A page is taken by its key, not by counting rows, so the last page costs no more than the first: each task keeps
+    its ``size`` best and nothing is sorted as a whole. Pages stay consistent while jobs are added elsewhere.
+    """
+    if after is not None:
+        profit, job_id = after
+        if profit is None:
+            picked = picked.filter(F.col("gross_profit").isNull() & (F.col("job_id") > job_id))
+        else:
+            value = F.col("gross_profit")
+            picked = picked.filter(value.isNull() | (value > profit) | ((value == profit) & (F.col("job_id") > job_id)))
+    columns = dict.fromkeys(("job_id", *extra, *DETAIL_COLUMNS))
+    return picked.orderBy(*ascending("gross_profit", "job_id")).limit(size).select(*columns)
+
+
+def next_page(page: DataFrame) -> PageKey | None:
+    """The key after a page, None after an empty one: one row comes to the driver."""
+    last = page.orderBy(*descending_last("gross_profit", "job_id")).select("gross_profit", "job_id").head()
+    return None if last is None else (last[0], last[1])
+
+
 # -- crew performance -------------------------------------------------------------------
 
 CREW_TABLE_ORDERS = {

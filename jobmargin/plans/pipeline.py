@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+from jobmargin.functions.ratios import expressions
 from jobmargin.operators.economics import economics_of, labor_rollup
 from jobmargin.operators.fact import FACT_COLUMNS, job_fact
-from jobmargin.operators.quality import constrained_columns, constraint_report, quality_gate, raise_on_failure
+from jobmargin.operators.quality import OBSERVED, constrained_columns, constraint_report, observed_gate, raise_on_failure
 from jobmargin.operators.staging import Staged
 from jobmargin.plans.scorecards import SCORECARDS, estimate_order, estimate_scorecard
 from jobmargin.sources.releases import Release, expire
@@ -96,9 +97,15 @@ def export(published: Published, folder: str) -> None:
     )
 
 
-def publish_tables(release: Release, staged: Staged, analytics: str = "analytics") -> Published:
-    """The fact, partitioned by month, and the scorecards over it, written into ``release``."""
-    fact = release.write(job_fact(staged), f"{analytics}.{FACT}", "completed_month")
+def publish_tables(
+    release: Release, staged: Staged, analytics: str = "analytics", seen: Observation | None = None
+) -> Published:
+    """The fact, partitioned by month, and the scorecards over it, written into ``release``.
+
+    ``seen`` takes what the quality gate counts while the fact is written.
+    """
+    count = (seen or Observation(), expressions(OBSERVED))
+    fact = release.write(job_fact(staged), f"{analytics}.{FACT}", "completed_month", count=count)
     cards = scorecards_over(fact, staged)
     stored = _side_by_side(release.spark, lambda name: release.write(cards[name], f"{analytics}.{name}"), cards)
     return Published({FACT: fact, **stored})
@@ -116,8 +123,8 @@ def refresh(
 
     The joins run once, for the fact; the scorecards are scans of the stored fact. All tables belong to one release
     below ``folder/releases``: until its last table is written the catalog shows the release before it, whole, and
-    a run that breaks changes nothing. The gate comes last, as a verdict on what was published: it raises
-    ``QualityError`` with everything already in place for inspection. ``raw`` and ``analytics`` name the databases, so
+    a run that breaks changes nothing. The gate comes last, as a verdict on what was published, from counts taken
+    while the fact was written: it raises ``QualityError`` with everything already in place for inspection. ``raw`` and ``analytics`` name the databases, so
     that several refreshes can share a catalog.
     """
     root = f"{folder}/releases"
@@ -126,7 +133,8 @@ def refresh(
     release = Release(spark, root)
     try:
         staged = Staged(load_raw(release, tables, raw))
-        published = publish_tables(release, staged, analytics)
+        seen = Observation()
+        published = publish_tables(release, staged, analytics, seen)
         release.publish()
     except Exception:
         release.discard()
@@ -134,7 +142,7 @@ def refresh(
     register_views(staged)
     expire(spark, root)
     export(published, f"{folder}/exports")
-    raise_on_failure(quality_gate(published.fact), show)
+    raise_on_failure(observed_gate(staged["jobs"], seen.get), show)
     return published
 
 

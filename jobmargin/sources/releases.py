@@ -92,10 +92,10 @@ class Release:
         self.folder = f"{root}/{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
         self._tables: dict[str, tuple[str, str | None]] = {}
 
-    def write(self, df: DataFrame, table: str, partition_by: str | None = None) -> DataFrame:
+    def write(self, df: DataFrame, table: str, partition_by: str | None = None, **options) -> DataFrame:
         """Write ``df`` as the coming ``table`` (database.name) and return it as read from its files."""
         path = f"{self.folder}/{table.replace('.', '/')}"
-        stored = write_parquet(df, path, partition_by)
+        stored = write_parquet(df, path, partition_by, **options)
         self._tables[table] = (path, partition_by)
         return stored
 

@@ -225,6 +225,26 @@ def _missing_customers(t: TestTables) -> DataFrame:
     return customers(t).filter("customer_id % 97 <> 0")
 
 
+def _misspelt_jobs(t: TestTables) -> DataFrame:
+    """Jobs as text, as a CSV source delivers them, some of it malformed."""
+    texts = jobs(t).selectExpr("job_id as id", "*")
+    spelt = texts.select("id", *[F.col(c).cast("string").alias(c) for c in texts.columns[1:]])
+    return spelt.withColumns(
+        {
+            "billed_revenue": F.expr("case when id % 101 = 0 then '12d' when id % 103 = 0 then ' ' else billed_revenue end"),
+            "completed_date": F.expr("if(id % 107 = 0, '1997-02-30', completed_date)"),
+            "job_id": F.expr("if(id % 109 = 0, 'J' || job_id, '  ' || job_id || ' ')"),
+            "estimate_id": F.expr("if(id % 113 = 0, 'none', estimate_id)"),
+            "rework_flag": F.expr("if(id % 202 = 0, 'yes', rework_flag)"),
+        }
+    ).drop("id")
+
+
+def _misspelt_estimates(t: TestTables) -> DataFrame:
+    spelt = estimates(t).withColumn("won_date", F.expr("if(estimate_id % 17 = 0, 'soon', won_date)"))
+    return spelt.withColumn("quoted_revenue", F.expr("if(estimate_id % 19 = 0, 'NaN', string(quoted_revenue))"))
+
+
 BINDINGS: dict[str, Callable[[TestTables], DataFrame]] = {
     "customers": customers,
     "services": services,
@@ -237,6 +257,7 @@ BINDINGS: dict[str, Callable[[TestTables], DataFrame]] = {
     "weather_daily": weather_daily,
 }
 CHANGED = {**BINDINGS, "jobs": _amended_jobs, "job_labor": _amended_labor}
+MISSPELT = {**BINDINGS, "jobs": _misspelt_jobs, "estimates": _misspelt_estimates}
 DAMAGED = {**BINDINGS, "customers": _missing_customers, "jobs": _damaged_jobs}
 
 
@@ -273,3 +294,8 @@ def bind_changed(spark: SparkSession, folder: str) -> Bound:
 def changed_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """``job_id`` of all jobs that differ between ``bind`` and ``bind_changed``."""
     return bind(spark, folder)["jobs"].filter(f"{AMENDED} and job_id % 7 between 3 and 6").select("job_id")
+
+
+def bind_misspelt(spark: SparkSession, folder: str) -> Bound:
+    """The same tables with malformed texts in jobs and estimates."""
+    return Bound(spark, folder, MISSPELT)

@@ -17,18 +17,25 @@ def replace_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+def write_parquet(
+    df: DataFrame, path: str, partition_by: str | None = None, count: tuple[Observation, Sequence[Column]] | None = None
+) -> DataFrame:
     """Write ``df`` as a Parquet folder and return it as read back.
 
+    ``count`` names aggregates to take on the way. They are placed after the last shuffle, in the tasks that write:
+    Spark counts each of those once, also when lost executors make it repeat the stages before.
+
     A partitioned write is preceded by a rebalance on the partition column: adaptive
     execution then cuts each value into files of the advisory size, so a month that holds
     a third of all rows is written by many tasks and a thin month by one.
     """
     schema = df.schema
     if partition_by:
-        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+        df = df.hint("rebalance", partition_by)
+    if count:
+        df = df.observe(count[0], *count[1])
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
 
 

@@ -570,6 +570,41 @@ BODIES["selection_state"] = """
     union all select 'city in (Nowhere)', count(*) > 0 from picked where city = 'Nowhere'"""
 BODIES["filtered_jobs_long_list"] = f"select {_rounded(FACT_COLUMNS)} from picked where city in (select 'NATION_' || x from range(3, 10003) t(x))"
 
+# The rules of the misspelt binding; a job id itself may be the malformed text.
+_KEY = "case when job_id % 109 = 0 then 'J' || job_id else cast(job_id as varchar) end"
+_BAD_JOBS = {
+    "job_id": ("job_id % 109 = 0", _KEY, "'not a key'"),
+    "completed_date": ("job_id % 107 = 0", "'1997-02-30'", "'not a date'"),
+    "billed_revenue": (
+        "(job_id % 101 = 0 or job_id % 103 = 0)", "case when job_id % 101 = 0 then '12d' else '' end",
+        "case when job_id % 101 = 0 then 'not a double' else 'blank' end",
+    ),
+    "rework_flag": ("job_id % 202 = 0", "'yes'", "'not a int'"),
+}
+BODIES["rejected_rows"] = " union all ".join(
+    f"select 'jobs' as table_name, {_KEY} as row_key, '{column}' as column_name, {text} as text, {reason} as reason from raw_jobs where {bad}"
+    for column, (bad, text, reason) in _BAD_JOBS.items()
+) + """
+    union all select 'estimates', cast(estimate_id as varchar), 'quoted_revenue', 'NaN', 'not a double' from raw_estimates
+    where estimate_id % 19 = 0"""
+BODIES["accepted_jobs"] = f"""
+    select {_rounded(JOB_COLUMNS)} from (select * replace (case when job_id % 113 = 0 then null else estimate_id end as estimate_id) from jobs_t)
+    where not ({' or '.join(bad for bad, *_ in _BAD_JOBS.values())})"""
+BODIES["job_value_margin_bins"] = f"""
+    select * from (with points as (select billed_revenue as v, gross_margin_pct as m from picked where billed_revenue is not null and gross_margin_pct is not null),
+    bounds as (select min(v) as a0, max(v) as a1, min(m) as b0, max(m) as b1 from points),
+    binned as (
+      select cast(least(floor((v - a0) / (a1 - a0) * 50), 49) as integer) as value_bin,
+        cast(least(floor((m - b0) / (b1 - b0) * 50), 49) as integer) as margin_bin
+      from points, bounds)
+    select value_bin, margin_bin, six(a0 + (a1 - a0) * value_bin / 50) as value_from, six(b0 + (b1 - b0) * margin_bin / 50) as margin_from,
+      {ROWS} as jobs
+    from binned, bounds group by value_bin, margin_bin, a0, a1, b0, b1) as grid"""
+BODIES["job_detail_pages"] = f"""
+    select job_id, completed_date, customer_name, service_name, crew_name, city, {_rounded('~billed_revenue ~gross_profit ~gross_margin_pct')},
+      {_rounded('~estimated_labor_hours ~actual_labor_hours ~labor_variance_pct')}, rework_flag, cast((place - 1) // 40 + 1 as integer) as page
+    from (select *, row_number() over (order by gross_profit nulls last, job_id) as place from picked) where place <= 120"""
+
 ORACLES: dict[str, str] = {
     name: with_tables(
         _spell_out(body), dirty=name in DIRTY, changed=name == "refreshed_after_change", **CREWS, **STORY, **HEADLINES
