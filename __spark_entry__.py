@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from jobmargin.operators.economics import economics_of, labor_rollup  # noqa: E402
+from jobmargin.operators.economics import economics_of, job_economics, labor_rollup  # noqa: E402
 from jobmargin.operators.fact import job_fact  # noqa: E402
 from jobmargin.operators.cells import job_cells  # noqa: E402
 from jobmargin.operators.distinct import BIT_KEYS, customer_bits, selected_customers  # noqa: E402
@@ -36,9 +36,7 @@ from oracles.queries import ORACLES  # noqa: E402
 
 try:
     import jobmargin.llm.queries as corpus
-except ModuleNotFoundError as missing:
-    if missing.name not in ("jobmargin.llm", "jobmargin.llm.queries", "corpus_pipeline"):
-        raise
+except ImportError:  # the package, the pipeline or what they need is not there
     corpus = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,6 +269,30 @@ def _selection_states(staged: Staged) -> DataFrame:
     return reduce(DataFrame.union, [selection_state(c.apply(fact), c) for c in (NARROW, JobFilter(cities=["Nowhere"]))])
 
 
+def _copartitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job economics from jobs and summed labor that are stored by job id."""
+    folder = run_folder(spark, "by-job")
+    jobs, rollup = pipeline.store_by_job(Staged(bind(spark, sf_dir)), folder, f"by_job_{folder.rsplit('-', 1)[1]}", 8)
+    return _comparable(job_economics(jobs, rollup))
+
+
+def _on_points(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """``build`` over the value and margin of the picked jobs as a stored fact holds them, so that the joins run once."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        picked = JobFilter().apply(job_fact(Staged(bind(spark, sf_dir)), ("services", "crews")))
+        points = write_parquet(picked.select("billed_revenue", "gross_margin_pct"), run_folder(spark, "points"))
+        return _comparable(build(points))
+
+    return run
+
+
+def _story_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The story's jobs from a stored fact: its last month is found and left out without the raw tables."""
+    fact = write_parquet(job_fact(Staged(bind(spark, sf_dir))), run_folder(spark, "fact"), partition_by="completed_month")
+    return _comparable(story.story_scope(JobFilter().apply(fact)))
+
+
 def _published_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A selection over the stored, month-partitioned fact."""
     fact = job_fact(Staged(bind(spark, sf_dir)))
@@ -308,6 +330,7 @@ def queries() -> dict[str, Query]:
         # job economics and the fact
         "labor_rollup": _on_staged(lambda s: labor_rollup(s["job_labor"])),
         "job_economics": _on_staged(economics_of),
+        "job_economics_copartitioned": _copartitioned,
         "job_fact": _on_staged(job_fact),
         # scorecards
         **{name: _scorecard(name) for name in SCORECARDS},
@@ -336,7 +359,10 @@ def queries() -> dict[str, Query]:
         "insights": _on_picked(dashboard.insights),
         "job_risk_counts": _on_picked(dashboard.job_risk_counts),
         "job_value_margin": _on_picked(dashboard.job_value_margin, "customers"),
-        "job_value_margin_bins": _on_picked(dashboard.job_value_margin_bins),
+        "risk_cards": _on_picked(dashboard.risk_cards),
+        "risk_cards_narrow": _on_picked(dashboard.risk_cards, chosen=NARROW),
+        "estimate_cards": _on_estimate_card(dashboard.estimate_cards),
+        "job_value_margin_bins": _on_points(dashboard.job_value_margin_bins),
         "job_detail_pages": _pages(40, 3),
         "labor_variance_by_crew": _on_picked(dashboard.labor_variance_by_crew),
         "job_detail": _on_picked(dashboard.job_detail, "customers"),
@@ -364,7 +390,10 @@ def queries() -> dict[str, Query]:
         "active_customers_from_bitmaps": _customers_from_bits(JobFilter()),
         "active_customers_narrow_from_bitmaps": _customers_from_bits(NARROW),
         # story and what-if
-        "story_scope": _on_picked(lambda p: story.story_scope(p), "customers"),
+        "story_scope": _story_scope,
+        "review_cards": _on_story(story.review_cards),
+        "warning_cards": _on_story(story.warning_cards),
+        "evidence_cards": _on_story(story.evidence_cards),
         "crew_summary": _on_story(story.crew_summary),
         "focus_crew": _on_story(story.focus_crew),
         "focus_gaps": _on_story(story.focus_gaps),

@@ -211,6 +211,17 @@ def job_risk_counts(picked: DataFrame) -> DataFrame:
     )
 
 
+def risk_cards(picked: DataFrame) -> DataFrame:
+    """``card, value``: the risk counts as display text. Card labels are fixed values."""
+    cards = {
+        "Jobs": number("jobs", "#,##0"),
+        "Gross Margin": percent("gross_margin"),
+        "Jobs Losing Money": number("loss_jobs", "#,##0"),
+        "Jobs >10% Labor Over": number("labor_over_jobs", "#,##0"),
+    }
+    return as_cards(job_risk_counts(picked), cards)
+
+
 def job_value_margin(picked: DataFrame) -> DataFrame:
     """Scatter points: job value against margin, with their labels."""
     return picked.select(
@@ -326,6 +337,17 @@ def estimate_totals(estimate_card: DataFrame) -> DataFrame:
     )
 
 
+def estimate_cards(estimate_card: DataFrame) -> DataFrame:
+    """``card, value``: the estimate totals as display text. Card labels are fixed values."""
+    cards = {
+        "Estimates Sent": number("estimates_sent", "#,##0"),
+        "Estimates Won": number("estimates_won", "#,##0"),
+        "Win Rate": percent("win_rate"),
+        "Quoted Value": money("quoted_value"),
+    }
+    return as_cards(estimate_totals(estimate_card), cards)
+
+
 def win_rate_ranking(estimate_card: DataFrame) -> DataFrame:
     return estimate_card.orderBy(*ascending("win_rate", "service_id"))
 

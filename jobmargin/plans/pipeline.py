@@ -17,7 +17,7 @@ from jobmargin.operators.quality import OBSERVED, constrained_columns, constrain
 from jobmargin.operators.staging import Staged
 from jobmargin.plans.scorecards import SCORECARDS, estimate_order, estimate_scorecard
 from jobmargin.sources.releases import Release, expire
-from jobmargin.sources.writers import ensure_database, export_csv, replace_view
+from jobmargin.sources.writers import ensure_database, export_csv, replace_view, write_bucketed
 
 FACT = "job_fact"
 ESTIMATES = "estimate_scorecard"
@@ -88,6 +88,18 @@ def load_raw(release: Release, tables: Mapping[str, DataFrame], database: str =
     return _side_by_side(release.spark, lambda name: release.write(tables[name], f"{database}.{name}"), tables)
 
 
+def store_by_job(staged: Staged, folder: str, database: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Jobs and their summed labor as tables in files by job id: (jobs, rollup).
+
+    Labor is summed before it is stored, map-side first, so a job with a large share of all entries is one row here. Every
+    later ``job_economics`` over the two joins them without an exchange.
+    """
+    ensure_database(staged["jobs"].sparkSession, database, f"{folder}/{database}")
+    tables = {"jobs_by_id": staged["jobs"], "labor_by_job": labor_rollup(staged["job_labor"])}
+    stored = [write_bucketed(df, f"{database}.{name}", f"{folder}/{name}", "job_id", buckets) for name, df in tables.items()]
+    return stored[0], stored[1]
+
+
 def export(published: Published, folder: str) -> None:
     """One CSV folder per published table; the scorecards in their display order."""
     _side_by_side(

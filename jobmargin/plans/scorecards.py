@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobmargin.functions.measures import measures
+from jobmargin.functions.measures import REGISTRY, measures, states_of
 from jobmargin.functions.ratios import ascending, descending, expressions, ratio
+from jobmargin.operators.economics import economics_of
 from jobmargin.operators.fact import job_fact
 
 
@@ -74,10 +75,27 @@ SCORECARDS: dict[str, Scorecard] = {
 }
 
 
+def _per_customer(card: Scorecard, staged: Mapping[str, DataFrame]) -> DataFrame:
+    """A scorecard that needs of the customers only which of them exist.
+
+    The jobs are summed to one row per key and customer before the lookup, so the join on customers, and a customer
+    with a large share of all jobs, never sees job-grain rows.
+    """
+    additive = {m: REGISTRY[m] for m in card.measures if REGISTRY[m].final is not None}
+    jobs = economics_of(staged).withColumn("completed_month", F.expr("trunc(completed_date, 'month')"))
+    sums = jobs.groupBy(*card.keys, "customer_id").agg(*expressions(states_of(additive.values())))
+    known = staged["customers"].select(F.col("customer_id").alias("known_id"))
+    joined = sums.join(known, F.col("customer_id") == F.col("known_id"), "left")
+    counts = {m: "count(distinct known_id)" for m in card.measures if m not in additive}
+    merged = {m: measure.merged() for m, measure in additive.items()}
+    return joined.groupBy(*card.keys).agg(*expressions({m: {**counts, **merged}[m] for m in card.measures}))
+
+
 def scorecard(name: str, staged: Mapping[str, DataFrame]) -> DataFrame:
     """One scorecard straight from staged tables, joining only the lookups it needs."""
     card = SCORECARDS[name]
-    return card.over(job_fact(staged, card.lookups)).orderBy(*card.order())
+    found = _per_customer(card, staged) if card.lookups == ("customers",) else card.over(job_fact(staged, card.lookups))
+    return found.orderBy(*card.order())
 
 
 def estimate_scorecard(estimates: DataFrame, services: DataFrame) -> DataFrame:

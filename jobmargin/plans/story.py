@@ -43,7 +43,11 @@ RATES = {
 
 
 def story_scope(picked: DataFrame) -> DataFrame:
-    """The picked jobs without those of the last, partial month."""
+    """The picked jobs without those of the last, partial month.
+
+    The month comes first, from the filter columns alone. Give it jobs of the stored fact, or sums of them: then neither
+    raw tables nor joins are read for it, and the month left out is not read at all.
+    """
     return picked.filter(F.col("completed_month") < picked.agg(F.max("completed_month")).scalar())
 
 
@@ -195,3 +199,41 @@ def scenario_cards(months: DataFrame) -> DataFrame:
         "Rework jobs avoided": number("avoided_rework", "#,##0"),
     }
     return as_cards(scenario_at(months), cards)
+
+
+def review_cards(months: DataFrame) -> DataFrame:
+    """``card, value``: what the story looks at. Card labels, here and below, are fixed values."""
+    cards = {
+        "Revenue reviewed": money("revenue"),
+        "Gross profit": money("gross_profit"),
+        "Portfolio margin": percent("margin"),
+        "Completed jobs": number("jobs", "#,##0"),
+    }
+    sums = {name: f"sum({name})" for name in ("revenue", "gross_profit", "jobs")}
+    return as_cards(months.agg(*expressions({**sums, "margin": ratio("sum(gross_profit)", "sum(revenue)")})), cards)
+
+
+def warning_cards(months: DataFrame) -> DataFrame:
+    """``card, value``: the focus crew and how far its margin trails the portfolio; none without jobs in scope."""
+    picks = {
+        "focus": highest("avg_labor_variance", "crew_name", "gross_margin"),
+        "portfolio_margin": ratio("sum(gross_profit)", "sum(revenue)"),
+    }
+    found = crews_of(months).agg(*expressions(picks)).filter("focus is not null").selectExpr("focus.*", "portfolio_margin")
+    cards = {
+        "Crew needing attention": "name",
+        "Labor variance": percent("score"),
+        "Crew margin": percent("gross_margin"),
+        "Gap vs portfolio": points("(gross_margin - portfolio_margin) * 100"),
+    }
+    return as_cards(found, cards)
+
+
+def evidence_cards(months: DataFrame) -> DataFrame:
+    """``card, value``: the evidence against the focus crew; none without jobs in scope."""
+    cards = {
+        "Excess labor hours": number("excess_hours", "#,##0"),
+        "Rework rate": percent("rework_rate"),
+        "Revenue / labor hour": money("revenue_per_labor_hour"),
+    }
+    return as_cards(excess_hours(months), cards)

@@ -570,6 +570,55 @@ BODIES["selection_state"] = """
     union all select 'city in (Nowhere)', count(*) > 0 from picked where city = 'Nowhere'"""
 BODIES["filtered_jobs_long_list"] = f"select {_rounded(FACT_COLUMNS)} from picked where city in (select 'NATION_' || x from range(3, 10003) t(x))"
 
+BODIES["job_economics_copartitioned"] = BODIES["job_economics"]
+
+
+def _count(x: str) -> str:
+    return f"format('{{:,}}', cast({x} as bigint))"
+
+
+def _percent(x: str) -> str:
+    return f"printf('%.1f%%', ({x}) * 100)"
+
+
+def _risk_cards(where: str) -> str:
+    return f"""
+    select unnest([
+        struct_pack(card := 'Jobs', value := {_count('n')}), struct_pack(card := 'Gross Margin', value := {_percent('margin')}),
+        struct_pack(card := 'Jobs Losing Money', value := {_count('losses')}),
+        struct_pack(card := 'Jobs >10% Labor Over', value := {_count('overs')})], recursive := true)
+    from (select count(*) as n, sum(gross_profit) / nullif(sum(billed_revenue), 0) as margin,
+        count(*) filter (where gross_profit < 0) as losses, count(*) filter (where labor_variance_pct > 1e-1) as overs
+      from picked where {where}) as risks"""
+
+
+BODIES["risk_cards"], BODIES["risk_cards_narrow"] = _risk_cards("true"), _risk_cards(NARROW)
+BODIES["estimate_cards"] = f"""
+    select unnest([
+        struct_pack(card := 'Estimates Sent', value := {_count('sent')}), struct_pack(card := 'Estimates Won', value := {_count('won')}),
+        struct_pack(card := 'Win Rate', value := {_percent('won / sent')}), struct_pack(card := 'Quoted Value', value := {_money('quoted')})],
+      recursive := true)
+    from (select count(*) as sent, count(*) filter (where estimate_status = 'Won') as won, sum(quoted_revenue) as quoted from estimates_t) as e"""
+BODIES["review_cards"] = f"""
+    select unnest([
+        struct_pack(card := 'Revenue reviewed', value := {_money('revenue')}), struct_pack(card := 'Gross profit', value := {_money('profit')}),
+        struct_pack(card := 'Portfolio margin', value := {_percent('profit / revenue')}),
+        struct_pack(card := 'Completed jobs', value := {_count('n')})], recursive := true)
+    from (select sum(billed_revenue) as revenue, sum(gross_profit) as profit, count(*) as n from story) as r"""
+BODIES["warning_cards"] = f"""
+    select unnest([
+        struct_pack(card := 'Crew needing attention', value := crew_name),
+        struct_pack(card := 'Labor variance', value := {_percent('avg_labor_variance')}),
+        struct_pack(card := 'Crew margin', value := {_percent('gross_margin')}),
+        struct_pack(card := 'Gap vs portfolio', value := printf('%+.1f pts', (gross_margin - margin) * 100))], recursive := true)
+    from focus, portfolio"""
+BODIES["evidence_cards"] = f"""
+    select unnest([
+        struct_pack(card := 'Excess labor hours', value := {_count('round_even(excess_hours, 0)')}),
+        struct_pack(card := 'Rework rate', value := {_percent('rework_rate')}),
+        struct_pack(card := 'Revenue / labor hour', value := {_money('revenue_per_labor_hour')})], recursive := true)
+    from focus"""
+
 # The rules of the misspelt binding; a job id itself may be the malformed text.
 _KEY = "case when job_id % 109 = 0 then 'J' || job_id else cast(job_id as varchar) end"
 _BAD_JOBS = {
