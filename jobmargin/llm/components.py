@@ -15,32 +15,35 @@ def _fold(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to the smallest node it knows."""
     both = edges.union(edges.select(F.col("v"), F.col("u")))
-    least = both.groupBy("u").agg(F.min("v").alias("least"))
-    moved = both.where("v > u").join(least, "u")
+    least = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")), "least")
+    moved = both.where("v > u").join(least, F.col("u") == F.col("node"))
     return moved.select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node hands its smaller neighbours, and itself, to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
-    moved = edges.join(least, "u").where("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.union(least).distinct()
+    least = stored(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")), "least")
+    moved = edges.join(least, F.col("u") == F.col("node")).where("v > least")
+    return moved.select(F.col("v").alias("u"), F.col("least").alias("v")).union(least.toDF("u", "v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs in, (u, v) out: each node that is not the smallest of its component, with the smallest.
 
     Groups only ever feed a minimum, which combines before the shuffle, so a hub costs one row per
-    task; the joins are plain equi-joins that adaptive execution may split at a hub. Each round is a
-    written table, the one before it is removed. Rounds grow with the logarithm of a component's length.
+    task. The minima are written before they are joined: with both sides read from files adaptive execution
+    splits the links of a hub, which it cannot do beside an aggregate of the same exchange. Each round is a
+    written table. Rounds grow with the logarithm of a component's length.
     """
     current = stored(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     seen = _fold(current)
     while seen[0]:
-        following = stored(_small_star(_large_star(current)), "edges")
-        drop_stored(current)
+        moved = stored(_large_star(current), "moved")
+        following = stored(_small_star(moved), "edges")
+        for done in (current, moved):
+            drop_stored(done)
         current, before = following, seen
         seen = _fold(current)
         if seen == before:

@@ -19,6 +19,7 @@ empty tables give no rows. Built-in expressions only.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -27,14 +28,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobmargin.llm.common import drop_stored, read, stored, text_key, text_of, words_of
 
+LOG = logging.getLogger(__name__)
+
 FEATURES = 1 << 14
 FIT_ROWS = 20_000
 DOMAINS = 256
 EVIDENCE = 2
 SMOOTHING = 0.5
-STEPS = 60
+STEPS = 200
 STEPS_AT_ONCE = 6
 CLOSE = 1e-4
+STILL = 1e-4
+HEADROOM = 1.1
 UNIFORM = 1 << 30
 
 
@@ -104,42 +109,54 @@ def posteriors(docs: DataFrame, domains: Sequence[str], model: DataFrame, log_pr
 
 
 def fit_rates(soft: DataFrame, targets: Sequence[float], least: float = 0.0) -> DataFrame:
-    """``soft`` with the column ``rate``; ``targets`` are word totals in the order of the domains."""
+    """``soft`` with the column ``rate``; ``targets`` are word totals in the order of the domains.
+
+    The descent ends where all totals are within ``CLOSE`` of their targets, or where no rate moves by ``STILL`` any more:
+    then the rates are about the closest to targets that rates of at least ``least`` cannot meet. Where a target is
+    missed, and after ``STEPS`` steps in any case, the gap that is left is logged as a warning.
+    """
     k = range(len(targets))
 
-    def totals(df: DataFrame, rate: Column) -> list[float]:
+    def totals(df: DataFrame, rate: Column, moved: Column) -> list[float]:
         sums = [F.sum(rate * F.col("n_words") * F.col(f"p{i}")) for i in k]
-        return [value or 0.0 for value in df.agg(*[s.alias(f"m{i}") for i, s in enumerate(sums)]).first()]
+        return [value or 0.0 for value in df.agg(*[s.alias(f"m{i}") for i, s in enumerate(sums)], F.max(moved)).first()]
 
-    scale = [max(s, 1e-9) for s in totals(soft, F.lit(1.0))]
-    current, mixed = soft.withColumn("rate", F.lit(max(1.0, least))), totals(soft, F.lit(max(1.0, least)))
+    start = F.lit(max(1.0, least))
+    scale = [max(s, 1e-9) for s in totals(soft, F.lit(1.0), F.lit(0.0))[:-1]]
+    current, (*mixed, moved) = soft.withColumn("rate", start), totals(soft, start, F.lit(1.0))
     folder = None
-    for step in range(1, STEPS + 1):
+    for step in range(1, STEPS + 2):
         gaps = [(m - t) / s for m, t, s in zip(mixed, targets, scale)]
-        if max(abs(g) * s / max(t, 1e-9) for g, s, t in zip(gaps, scale, targets)) < CLOSE:
+        worst = max(abs(g) * s / max(t, 1e-9) for g, s, t in zip(gaps, scale, targets))
+        if worst < CLOSE:
+            break
+        if moved < STILL or step > STEPS:
+            LOG.warning("after %d steps a domain is still %.2f %% from its target", step - 1, 100 * worst)
             break
         slope = reduce(lambda a, b: a + b, [F.col(f"p{i}") * F.lit(gaps[i]) for i in k])
-        current = current.withColumn("rate", F.greatest(F.lit(float(least)), F.col("rate") - slope))
+        stepped = F.greatest(F.lit(float(least)), F.col("rate") - slope)
+        current = current.withColumns({"before": F.col("rate"), "rate": stepped})
         if step % STEPS_AT_ONCE == 0:  # keeps the expression, and what a lost executor repeats, short
             current, before = stored(current, "rates"), folder
             folder = current
             if before is not None:
                 drop_stored(before)
-        mixed = totals(current, F.col("rate"))
-    return current
+        *mixed, moved = totals(current, F.col("rate"), F.abs(F.col("rate") - F.col("before")))
+    return current.select(*soft.columns, "rate")
 
 
 def word_targets(soft: DataFrame, domains: Sequence[str], weights: Mapping[str, float] | None, power: float, grow: bool) -> list[float]:
     """Word totals per domain.
 
     Weights are the given ones, or the domains' own shares raised to ``power``. The sum is that of the corpus, or,
-    with ``grow``, as large as is needed for no domain to shrink.
+    with ``grow``, ``HEADROOM`` times as large as is needed for no domain to shrink: documents that are partly of a
+    domain that need not grow then still have rates above 1, and the targets can be met.
     """
     own = [v or 0.0 for v in soft.agg(*[F.sum(F.col("n_words") * F.col(f"p{i}")) for i in range(len(domains))]).first()]
     raw = [(weights.get(d, 0.0) if weights is not None else own[i] ** power if own[i] else 0.0) for i, d in enumerate(domains)]
     whole = sum(raw) or 1.0
     shares = [r / whole for r in raw]
-    total = max([o / s for o, s in zip(own, shares) if s > 0], default=0.0) if grow else sum(own)
+    total = HEADROOM * max([o / s for o, s in zip(own, shares) if s > 0], default=0.0) if grow else sum(own)
     return [total * s for s in shares]
 
 

@@ -220,8 +220,9 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     roots = components(links(prints, max_bits)).select(F.col("u").alias("fingerprint"), F.col("v").alias("root"))
     rooted = first.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     rooted = stored(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(least, "root").select("fingerprint", "root", "component_id")
+    # Written before the join, as a component may hold a large share of the fingerprints: see components.
+    least = stored(rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("first_id").alias("component_id")), "least")
+    labels = stored(rooted.join(least, F.col("root") == F.col("of_root")).select("fingerprint", "root", "component_id"), "labels")
     return prints.join(labels, "fingerprint").select("doc_id", "text_key", "fingerprint", "root", "component_id")
 
 
