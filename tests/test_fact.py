@@ -116,7 +116,7 @@ def test_duplicate_job_fails_the_gate(spark, capsys):
     assert {r["check_name"]: r["passed"] for r in gate.collect()}["job_id_unique"] is False
     with pytest.raises(QualityError, match="job_id_unique"):
         raise_on_failure(gate)
-    assert "FAIL  job_id_unique" in capsys.readouterr().out
+    assert "job_id_unique: 1 violations" in capsys.readouterr().out
 
 
 def test_clean_data_passes(spark):
