@@ -559,7 +559,7 @@ BODIES["refreshed_after_change"] = " union all ".join(
 # The same answers from selection cells and customer bitmaps.
 for _name in (
     "kpi_totals", "kpi_totals_narrow", "monthly_trend_dense", "revenue_by_service", "margin_by_service", "revenue_by_city",
-    "crew_efficiency", "crew_dashboard", "insights", *SCORECARDS,
+    "crew_efficiency", "crew_dashboard", "insights", *(card for card in SCORECARDS if card != "estimate_scorecard"),
 ):
     BODIES[f"{_name}_from_cells"] = BODIES[_name]
 for _name in ("active_customers", "active_customers_narrow"):
