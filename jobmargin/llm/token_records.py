@@ -103,6 +103,7 @@ class Encoder:
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
+        self._model = self._tokenizer.model
         self._by_words, self._by_letters = shortcuts(self._tokenizer)
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._known: dict[bytes, bytes] = {}
@@ -115,21 +116,25 @@ class Encoder:
 
     def _piece(self, words: list[bytes]) -> bytes:
         known = self._known
-        new = {word for word in words if word not in known}
+        new = set(words).difference(known)
         if new:
             if len(known) + 2 * len(new) > REMEMBERED:
                 known.clear()
                 new = set(words)
             runs = {}
             for word in new if self._by_letters else ():
-                stretch = word.decode()
-                if PLAIN.fullmatch(stretch):
-                    runs[word] = [run.encode() for run in RUNS.findall(stretch.lower())]
+                if word.isalpha():  # ASCII letters alone
+                    low = word.lower()
+                    known[word] = known.get(low) or self._letters(low)
+                else:
+                    stretch = word.decode()
+                    if PLAIN.fullmatch(stretch):
+                        runs[word] = [run.encode() for run in RUNS.findall(stretch.lower())]
             signs = {run for parts in runs.values() for run in parts if SIGN.match(run)}
             self._learn([word for word in new | signs if word not in runs and word not in known])
             for word, parts in runs.items():
                 known[word] = b"".join([known.get(run) or self._letters(run) for run in parts])
-        return b"".join([known[word] for word in words])
+        return b"".join(map(known.__getitem__, words))
 
     def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), ENCODED_AT_ONCE):
@@ -138,7 +143,8 @@ class Encoder:
             self._known.update((word, self._bytes(e.ids)) for word, e in zip(part, encoded))
 
     def _letters(self, run: bytes) -> bytes:
-        ids = self._bytes([token.id for token in self._tokenizer.model.tokenize(run.decode("latin-1").translate(SHOWN))])
+        shown = run.decode() if run.isascii() else run.decode("latin-1").translate(SHOWN)
+        ids = self._bytes([token.id for token in self._model.tokenize(shown)])
         self._known[run] = ids
         return ids
 
