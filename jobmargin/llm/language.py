@@ -2,8 +2,10 @@
 
 Letters are lower-cased, everything else becomes one blank; n-grams of ``ORDERS`` characters are hashed into
 ``FEATURES`` buckets. The model is a matrix of log-probabilities, buckets by languages, broadcast to all tasks: its
-size is fixed by these two numbers. A batch of texts is scored in numpy by adding matrix rows. The fit counts a hash
-sample of about ``FIT_ROWS`` labelled documents at most (a documented bound of the fit only).
+size is fixed by these two numbers and bounded, as more than ``MOST_LANGUAGES`` values of ``lang`` are an error. A batch of
+texts is a sparse matrix of counts, a row per text, and is scored by one product with the model in numpy. The fit counts
+a hash sample of about ``FIT_ROWS`` labelled documents at most (a documented bound of the fit only); rows that are equal in
+all columns come into it together, each with its weight.
 
 Cases: a NULL text, or one without a letter, is ``und`` with score 0, and so is everything where no language could be
 learned; long texts are scored whole, in steps; ties go to the first language by name; an empty table gives no rows.
@@ -22,7 +24,9 @@ FEATURES = 1 << 14
 ORDERS = (1, 2, 3)
 FIT_ROWS = 20_000
 SMOOTHING = 0.5
+MOST_LANGUAGES = 256
 CHARS_AT_ONCE = 1 << 18
+CELLS_AT_ONCE = 1 << 20  # of a product, before its rows are summed
 UNKNOWN = "und"
 UNIFORM = 1 << 30
 
@@ -56,10 +60,25 @@ def features(text: str | None) -> Iterator[np.ndarray]:
         yield np.concatenate(found).astype(np.int64)
 
 
-def fit_languages(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Buckets that occur in a text, ascending, and how often; None if it has no letter."""
+    counts = None
+    for part in features(text):
+        own = np.bincount(part, minlength=FEATURES)
+        counts = own if counts is None else counts + own
+    if counts is None:
+        return None
+    seen = np.flatnonzero(counts)
+    return seen, counts[seen]
+
+
+def fit_languages(
+    labelled: DataFrame, fit_rows: int = FIT_ROWS, most_languages: int = MOST_LANGUAGES
+) -> tuple[list[str], np.ndarray]:
     """Languages by name and the log-probabilities, one row per bucket and a last one of log priors.
 
-    ``labelled``: (text, lang) rows. Counts are made where the texts are; the sums come to the driver.
+    ``labelled``: (text, lang) rows; further columns only help to spread the sample over copies of a text. Counts are
+    made where the texts are; the sums come to the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +93,12 @@ def fit_languages(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[s
             seen = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen), pa.array(own[seen])], ["lang", "feature", "n"])
 
-    known = labelled.where("lang is not null and text is not null").select("lang", "text")
-    chance = int(min(1.0, fit_rows / max(1, known.count())) * UNIFORM)
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(UNIFORM)) < chance)
+    known = labelled.where("lang is not null and text is not null")
+    sizes = known.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    chance = int(min(1.0, fit_rows / max(1, sum(r["count"] for r in sizes))) * UNIFORM)
+    chosen = known.where(F.pmod(F.xxhash64(*known.columns), F.lit(UNIFORM)) < chance).select("lang", "text")
     rows = chosen.mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
     counts = np.zeros((FEATURES + 1, len(langs)))
@@ -89,19 +111,32 @@ def fit_languages(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[s
 
 def score(texts: list[str | None], langs: list[str], model: np.ndarray) -> tuple[list[str], list[float]]:
     """Best language and its posterior for each text."""
-    names, posteriors = [], []
-    for text in texts:
-        total, found = model[FEATURES].copy(), False
-        for part in features(text):
-            total += model[part].sum(axis=0)
-            found = True
-        if not found or not langs:
-            names.append(UNKNOWN)
-            posteriors.append(0.0)
+    names, posteriors = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def flush() -> None:
+        buckets, counts = (np.concatenate([row[k] for row in rows]) for k in (1, 2))
+        starts = np.cumsum([0, *(len(row[1]) for row in rows[:-1])])
+        totals = model[FEATURES] + np.add.reduceat(model[buckets] * counts[:, None], starts, axis=0)
+        best = totals.argmax(axis=1)
+        top = np.take_along_axis(totals, best[:, None], axis=1)
+        for (at, *_), lang, p in zip(rows, best, 1.0 / np.exp(totals - top).sum(axis=1)):
+            names[at], posteriors[at] = langs[lang], float(p)
+        rows.clear()
+
+    cells = 0
+    for at, text in enumerate(texts):
+        own = counted(text) if langs else None
+        if own is None:
             continue
-        best = int(total.argmax())
-        names.append(langs[best])
-        posteriors.append(float(1.0 / np.exp(total - total[best]).sum()))
+        more = len(own[0]) * len(langs)
+        if rows and cells + more > CELLS_AT_ONCE:
+            flush()
+            cells = 0
+        rows.append((at, *own))
+        cells += more
+    if rows:
+        flush()
     return names, posteriors
 
 
@@ -129,5 +164,5 @@ def held_out(doc_id: str = "doc_id"):
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from documents that are not held out and have an id."""
     learned = docs.where(~held_out() & F.col("doc_id").isNotNull())
-    found = languages(docs, *fit_languages(learned.select("text", "lang")))
+    found = languages(docs, *fit_languages(learned.select("doc_id", "text", "lang")))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
