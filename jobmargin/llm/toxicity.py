@@ -5,12 +5,14 @@ along one scale. Features are hashed lower-cased words and their first four and
 log(1 + occurrences). The model keeps features that are significantly more frequent in documents of a grade above
 0, at most ``MOST_FEATURES``. A document's expected severity is the sum of P(grade >= j).
 
-The fit uses a hash sample of about ``FIT_ROWS`` labelled documents at most (a documented bound of the fit only).
-Frequencies are counted by Spark; the driver gets, for the sample, the selected features alone.
+The fit uses a hash sample of about ``FIT_ROWS`` labelled documents at most (a documented bound of the fit only), first of
+ids, then of their rows, so that an id with many texts does not pass the bound. Frequencies are counted by Spark; the
+driver gets, for the sample, the selected features alone.
 
 Cases: a NULL or wordless text has no features and so the severity of the base rate; labels that are NULL or of unknown
-documents are ignored; a document labelled twice takes its higher grade; without documents of two grades everything
-has severity 0; equal rows get equal results; long texts are read whole; an empty table gives no rows.
+documents are ignored; a document labelled twice takes its higher grade; repeated rows count once in the fit; without
+documents of two grades everything has severity 0; equal rows get equal results; long texts are read whole; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +39,22 @@ LEAST_LOG_ODDS = 1.5
 PENALTY = 1e-3
 ROUNDS = 400
 UNIFORM = 1 << 30
+REMEMBERED = 1 << 17  # words whose features a Python worker keeps at hand
 WORD = re.compile(r"\w+")
 
 
-def features(text: str | None) -> dict[int, int]:
-    """Hashed feature -> occurrences."""
+@lru_cache(REMEMBERED)
+def _hashed(word: str) -> tuple[int, ...]:
+    return tuple([xxhash.xxh32_intdigest(name) % HASH_SPACE for name in (f"w {word}", f"4 {word[:4]}", f"5 {word[:5]}")])
+
+
+def features(text: str | None, only: Mapping[int, float] | None = None) -> dict[int, int]:
+    """Hashed feature -> occurrences; just of the features in ``only``, if given."""
     found: Counter[int] = Counter()
     for word, n in Counter(WORD.findall((text or "").lower())).items():
-        for name in {f"w {word}", f"4 {word[:4]}", f"5 {word[:5]}"}:
-            found[xxhash.xxh32_intdigest(name) % HASH_SPACE] += n
+        for feature in _hashed(word):
+            if only is None or feature in only:
+                found[feature] += n
     return found
 
 
@@ -59,8 +69,7 @@ class Severity:
         """P(grade >= j) for j = 1, 2, ..."""
         if not self.cuts:
             return np.zeros(0)
-        own = features(text) if self.weights else {}
-        lean = sum(self.weights[f] * math.log1p(n) for f, n in own.items() if f in self.weights)
+        lean = sum(self.weights[f] * math.log1p(n) for f, n in features(text, self.weights).items())
         return 1.0 / (1.0 + np.exp(np.clip(np.array(self.cuts) - lean, -700, 700)))
 
 
@@ -149,10 +158,15 @@ def _only(featured: DataFrame, place: dict[int, int]) -> DataFrame:
 
 
 def _sample(docs: DataFrame, graded: DataFrame, fit_rows: int) -> DataFrame:
+    def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
+        return df if n <= fit_rows else df.where(F.pmod(F.xxhash64(*key), F.lit(UNIFORM)) < int(fit_rows / n * UNIFORM))
+
     known = graded.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
-    chance = int(min(1.0, fit_rows / max(1, known.count())) * UNIFORM)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(UNIFORM)) < chance)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("grade", "text")
+    # About ``fit_rows`` ids and grades: small enough for every task, and an id with many rows is not one task's work.
+    chosen = F.broadcast(stored(sampled(known, known.count(), "doc_id"), "chosen"))
+    n = docs.select("doc_id").join(chosen, "doc_id").count()
+    rows = sampled(docs.select("doc_id", "text"), n, "text", "doc_id").join(chosen, "doc_id")
+    return rows.distinct().select("grade", "text")
 
 
 def fit_severity(docs: DataFrame, graded: DataFrame, fit_rows: int = FIT_ROWS, levels: int = 1) -> Severity:
