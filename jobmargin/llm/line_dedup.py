@@ -109,7 +109,9 @@ def repeated_chunks(docs: DataFrame, marks: DataFrame | None = None) -> DataFram
     # The bytes are compared here: a passage is its own key, the hash only spreads and orders.
     place = F.struct("doc", "first")
     kept = cut.groupBy("hash", "passage").agg(F.min(place).alias("keeper"), F.max(place).alias("last")).where("keeper <> last")
-    return cut.join(kept, ["hash", "passage"]).where(place != F.col("keeper")).select("doc", "first", "lines")
+    kept = stored(kept.select(F.col("hash").alias("of_hash"), F.col("passage").alias("of_passage"), "keeper"), "chunk-keepers")
+    later = cut.join(kept.hint("shuffle_hash"), F.expr("hash = of_hash and passage = of_passage")).where(place != F.col("keeper"))
+    return later.select("doc", "first", "lines")
 
 
 def pieces_of(text: str | None) -> list[list[bytes]]:
