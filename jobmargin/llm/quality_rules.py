@@ -56,8 +56,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The caller's columns and the base statistics, all but those prefixed with ``llm__``.
 
     Words in repeated three-word windows: windows become 64-bit hashes, and only a document that has
-    an equal pair goes on. There each hash gives its low bits to the window's position; after one
-    sort of plain numbers equal windows are neighbours, and the positions they cover are counted.
+    an equal pair goes on. There one sort by hash and position makes equal windows neighbours, and the
+    positions they cover are counted.
     """
     own = docs.columns
     symbols = F.length("llm__text") - F.length(F.regexp_replace("llm__text", r"[#*$%&|<>]+", ""))
@@ -76,7 +76,6 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         symbols.alias("llm__n_symbols"),
         F.size("llm__lines").alias("llm__n_lines"),
         (F.size("llm__lines") - F.size(F.array_distinct("llm__lines"))).alias("llm__n_dup_lines"),
-        F.expr("length(bin(size(llm__words)))").alias("llm__shift"),
         F.expr(
             """if(size(llm__words) < 3, cast(array() as array<bigint>),
                transform(sequence(2, size(llm__words) - 1), i ->
@@ -86,19 +85,16 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     sorted_windows = counted.withColumn(
         "llm__sorted",
         F.expr(
-            """if(size(array_distinct(llm__windows)) = size(llm__windows), cast(array() as array<bigint>),
-               sort_array(transform(llm__windows, (h, i) ->
-                 shiftleft(shiftright(h, llm__shift), llm__shift) | cast(i as bigint))))"""
+            """if(size(array_distinct(llm__windows)) = size(llm__windows), cast(array() as array<struct<h: bigint, i: int>>),
+               sort_array(transform(llm__windows, (h, i) -> struct(h as h, i as i))))"""
         ),
     )
     repeated = sorted_windows.withColumn(
         "llm__repeated",
         F.expr(
             """transform(
-                 filter(llm__sorted, (h, k) ->
-                   shiftright(h, llm__shift) = shiftright(get(llm__sorted, k - 1), llm__shift)
-                   or shiftright(h, llm__shift) = shiftright(get(llm__sorted, k + 1), llm__shift)),
-                 h -> h & (shiftleft(1L, llm__shift) - 1))"""
+                 filter(llm__sorted, (w, k) -> w.h = get(llm__sorted, k - 1).h or w.h = get(llm__sorted, k + 1).h),
+                 w -> w.i)"""
         ),
     )
     covered = F.expr(
