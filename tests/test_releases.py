@@ -40,8 +40,8 @@ def test_a_run_that_breaks_between_two_tables_changes_nothing(spark, tmp_path, m
     before = state(spark, **names(mark))
     write = releases.Release.write
 
-    def breaks(self, df, table, partition_by=None):
-        stored = write(self, df, table, partition_by)
+    def breaks(self, df, table, partition_by=None, **options):
+        stored = write(self, df, table, partition_by, **options)
         if table.endswith(after):
             raise Broken
         return stored
